@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import chat, exact_dedup, mixing
+from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -52,6 +52,17 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits: a phrase in the middle, a heading, a new last character."""
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(at: Column, cut: int, put: str) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(cut).alias("cut"), F.lit(put).alias("put"))
+
+    edits = F.array(edit(F.floor(n / 2), 8, " was re-written"), edit(F.lit(0), 0, "Draft: "), edit(n + 13, 1, "!"))
+    return token_edits.count_edited(read(spark, sf_dir, "documents"), edits)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: sources weigh 5, 2, 1 in turn, share 150 % of all words, and stop at twice their size."""
     p = mixing.plan(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
@@ -89,6 +100,12 @@ FROM p
 """
 
 
+def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents through a lexicon of their frequent words, and decodes the ids again."""
+    docs = read(spark, sf_dir, "documents")
+    return lexicon.digests(docs, lexicon.fit(docs))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document, and whether it is the one that stays."""
     return exact_dedup.assign(read(spark, sf_dir, "documents"))
@@ -103,9 +120,17 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents as shards, and reads documents, offsets and checksums back from their bytes."""
+    return binary_ids.read_shards(binary_ids.write_shards(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_token_counts": op3_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_bpe_coding": op7_bpe_coding,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_binary_ids": op9_binary_ids,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
