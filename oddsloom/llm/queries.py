@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, token_edits
+from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -125,6 +125,18 @@ def op9_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_ids.read_shards(binary_ids.write_shards(read(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores the quality of all documents with a model of the labels outside the held-out fifth."""
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (~quality.in_training(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_token_counts": op3_token_counts,
@@ -132,5 +144,6 @@ QUERIES = {
     "op7_bpe_coding": op7_bpe_coding,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_binary_ids": op9_binary_ids,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
