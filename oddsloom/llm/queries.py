@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, quality, token_edits
+from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, near_dedup, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -63,6 +63,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_edits.count_edited(read(spark, sf_dir, "documents"), edits)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: bags of five-word shingles that overlap by 0.8 or more."""
+    return near_dedup.classes(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: sources weigh 5, 2, 1 in turn, share 150 % of all words, and stop at twice their size."""
     p = mixing.plan(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
@@ -140,6 +145,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_token_counts": op3_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe_coding": op7_bpe_coding,
     "op8_exact_dedup": op8_exact_dedup,
