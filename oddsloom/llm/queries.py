@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, exact_dedup, lexicon, mixing, near_dedup, quality, token_edits
+from oddsloom.llm import binary_ids, chat, ctw, exact_dedup, lexicon, mixing, near_dedup, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -52,6 +52,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents by context-tree weighting, learnt from those outside the held-out seventh."""
+    return ctw.score(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after three edits: a phrase in the middle, a heading, a new last character."""
     n = F.length(F.coalesce("text", F.lit("")))
@@ -144,6 +149,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
