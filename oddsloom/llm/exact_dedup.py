@@ -59,10 +59,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    digests = _digests(F.col("text"))
-    rows = docs.withColumns({f"_{k}": c for k, c in digests.items() if k == "text_sha256"})
-    kept = assign(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = rows.join(kept, (rows["_text_sha256"] == kept["_sha"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    same = Window.partitionBy("_text_sha256", "doc_id").orderBy("_text_sha256")
-    return rows.withColumn("_n", F.row_number().over(same)).filter("_n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns (names that begin with ``__dedup`` are taken)."""
+    rows = docs.withColumn("__dedup_sha", F.sha2(normalised(F.col("text")), 256))
+    kept = assign(docs).filter("kept").select(F.col("doc_id").alias("__dedup_id"), F.col("text_sha256").alias("__dedup_kept"))
+    rows = rows.join(kept, (F.col("__dedup_sha") == F.col("__dedup_kept")) & F.col("doc_id").eqNullSafe(F.col("__dedup_id")), "left_semi")
+    same = Window.partitionBy("__dedup_sha", "doc_id").orderBy("__dedup_sha")
+    return rows.withColumn("__dedup_n", F.row_number().over(same)).filter("__dedup_n = 1").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, ctw, exact_dedup, lexicon, mixing, near_dedup, quality, token_edits
+from oddsloom.llm import binary_ids, chat, ctw, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -68,6 +68,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_edits.count_edited(read(spark, sf_dir, "documents"), edits)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every text as a motion-JPEG file, reads the files back, and sums up their clips."""
+    out = media.read(media.store(read(spark, sf_dir, "documents")))
+    ends = F.array_join(F.transform("clips", lambda c: F.format_string("%.2f", c.end_s)), ",")
+    feature = F.concat_ws(" ", F.concat(F.lit("clips="), F.size("clips")), F.concat(F.lit("ends="), ends), F.concat(F.lit("mean="), F.format_string("%.3f", F.get("clips", F.lit(0)).mean)))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: bags of five-word shingles that overlap by 0.8 or more."""
     return near_dedup.classes(read(spark, sf_dir, "documents"))
@@ -151,6 +159,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_token_counts": op3_token_counts,
+    "op4_media": op4_media,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
     "op7_bpe_coding": op7_bpe_coding,
