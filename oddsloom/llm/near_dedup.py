@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
@@ -230,3 +230,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     out = rows.select("doc_id", "d0", "d1").join(ids, ["d0", "d1"]).select("doc_id", F.col("id").alias("class_id"))
     sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+
+
+def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each class, that of the smallest identifier, with all columns (names that begin with ``__near`` are taken).
+
+    Of rows that share that identifier one stays.
+    """
+    first = classes(docs, least).filter("doc_id = class_id").select(F.col("class_id").alias("__near_id")).distinct()
+    rows = docs.withColumn("__near_own", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    rows = rows.join(first, F.col("__near_own") == F.col("__near_id"), "left_semi")
+    same = Window.partitionBy("__near_own").orderBy("text")
+    return rows.withColumn("__near_n", F.row_number().over(same)).filter("__near_n = 1").select(*docs.columns)
