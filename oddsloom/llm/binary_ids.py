@@ -40,7 +40,7 @@ SHARD_IDS = 1 << 20
 EVERY = 64
 HEAD = struct.Struct("<4sBBBxIIIIII")
 MAGIC, VERSION = b"OLID", 1
-SHARD_SCHEMA = "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, doc_ids binary, blob binary"
+SHARD_SCHEMA = "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, ids_before long, doc_ids binary, blob binary"
 
 
 def pack(sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -114,9 +114,18 @@ class LibraryCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known = pretokens.Remembered(self.REMEMBERED)
 
     def _compute(self, words: list[str]) -> list[bytes]:
+        """All words in one text: its pre-tokens are the words, and a word's last token is one that ends words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.last[ids]) + 1
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +159,8 @@ _coders: dict[str, LibraryCoder] = {}
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes ``docs`` as shards in ascending order of ``doc_id`` to a table in the shared folder, and returns that table.
 
-    Columns: ``part, shard`` (in order), ``first_doc``, ``last_doc``, ``n_docs``, ``n_ids``, ``doc_ids`` (8 bytes each)
-    and ``blob``. Ranges of identifiers are dealt out to all executors. Null and empty texts have the end id alone;
+    Columns: ``part, shard`` (in order), ``first_doc``, ``last_doc``, ``n_docs``, ``n_ids``, ``ids_before`` (in its part),
+    ``doc_ids`` (8 bytes each) and ``blob``. Ranges of identifiers are dealt out to all executors. Null and empty texts have the end id alone;
     null identifiers come first, stored as the smallest 64-bit number; rows that repeat an identifier stay, in any order among themselves.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -159,14 +168,14 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coders.get(path) or _coders.setdefault(path, LibraryCoder(path))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        part, shard, n = None, 0, 0
+        part, shard, n, before = None, 0, 0, 0
 
         def shut() -> pa.RecordBatch:
-            nonlocal held, shard, n
+            nonlocal held, shard, n, before
             who, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = {"part": [part], "shard": [shard], "first_doc": [int(who[0])], "last_doc": [int(who[-1])], "n_docs": [len(who)], "n_ids": [len(ids)], "doc_ids": [who.astype("<i8").tobytes()], "blob": [pack(sizes, ids)]}
-            held, shard, n = [], shard + 1, 0
-            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "n_docs", "n_ids")), ("doc_ids", pa.binary()), ("blob", pa.binary())]))
+            row = {"part": [part], "shard": [shard], "first_doc": [int(who[0])], "last_doc": [int(who[-1])], "n_docs": [len(who)], "n_ids": [len(ids)], "ids_before": [before], "doc_ids": [who.astype("<i8").tobytes()], "blob": [pack(sizes, ids)]}
+            held, shard, n, before = [], shard + 1, 0, before + len(ids)
+            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "n_docs", "n_ids", "ids_before")), ("doc_ids", pa.binary()), ("blob", pa.binary())]))
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -198,14 +207,12 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
 def read_shards(shards: DataFrame) -> DataFrame:
     """One row per document from the shards' bytes: ``doc_id, start, n_tokens, ids_crc32``.
 
-    ``start`` is the number of ids of all documents before it. Sums over parts, then over the shards of a part, place
-    each shard, so no task sees more than one part's list of shards.
+    ``start`` is the number of ids of all documents before it: of the shards before in its part, and of all parts before.
+    Parts are the ranges that the shards were dealt out by, so their totals are a few thousand rows at most and are broadcast.
     """
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before_part = F.coalesce(F.sum("n").over(Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    places = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(parts.select("part", before_part.alias("before")), "part")
-    placed = shards.select("part", "shard", "doc_ids", "blob").join(places.select("part", "shard", (F.col("before") + F.col("inside")).alias("base")), ["part", "shard"])
+    placed = shards.join(F.broadcast(parts.select("part", before_part.alias("before"))), "part").withColumn("base", F.col("before") + F.col("ids_before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,8 +8,8 @@ the chance. Points are drawn only up to the time by which all components of a te
 further where some are not), so a text costs about ``M log M`` points whatever its length.
 
 Signatures are cut into ``BANDS`` bands. Texts that share a band are candidates: in each bucket members are held
-against a leader; buckets whose members are not yet one class try other leaders, and what is still apart in the end is
-compared pair by pair. Whole texts are verified: the multiset overlap must reach ``SIMILARITY``. Classes are the
+against a leader; buckets whose members are not yet one class try other leaders. Texts that are still apart are compared exactly in
+blocks, after those are left out whose shared shingles cannot reach the threshold. Whole texts are verified: the multiset overlap must reach ``SIMILARITY``. Classes are the
 connected components of verified links. A text of similarity 0.8 is missed by all bands with a chance below 0.0004.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from oddsloom.llm.tables import written
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 M = BANDS * ROWS
-#: Rounds with one leader a bucket before the rest is compared pair by pair.
-ROUNDS = 3
+#: Rounds with one leader a bucket before the rest is compared in blocks; in the first one, buckets agree on leaders.
+ROUNDS = 2
+#: Texts of a block, and shingles of a block's matrix at a time.
+BLOCK, COLUMNS = 256, 4096
 #: Bits of a shingle's hash; the others number the texts of a slice.
 HASH_BITS = 44
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -40,7 +43,8 @@ def bags(w: words.Words) -> np.ndarray:
     h, n = w.hashes(), np.diff(w.bounds)
     roll = h.copy()
     for k in range(1, SHINGLE):
-        roll[: len(h) - k] = words.mix(roll[: len(h) - k] * GOLDEN + h[k:])
+        m = max(len(h) - k, 0)
+        roll[:m] = words.mix(roll[:m] * GOLDEN + h[k:])
     size = np.where(n >= SHINGLE, n - SHINGLE + 1, 0)
     row = np.repeat(np.arange(len(n)), size)
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + w.bounds[:-1][row]
@@ -189,6 +193,72 @@ def relabelled(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(ids.join(new, ids["comp"] == new["old"], "left").select("id", F.coalesce("new", "comp").alias("comp")), "classes")
 
 
+def prospects(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Identifiers in ``rest`` (``id, comp``) that can still be linked to another class.
+
+    A shingle that no text of another class has can be in no overlap, so a text's similarity to any of them is at most
+    the shared ones' part. In a large family of copies that went far apart, texts are mostly ruled out by their own edits here.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words.scan(batch.column(3)):
+                row, shingle, weight = weighted(bags(w))
+                own = pa.array(row + w.first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(3)), pa.array(shingle.view(np.int64)), pa.array(weight)], names=["id", "comp", "own", "s", "c"])
+
+    texts = candidates.join(rest.select("id", "comp").distinct(), "id").select("id", "comp", F.xxhash64("text").alias("own"), "text")
+    rows = written(texts.mapInArrow(run, "id long, comp long, own long, s long, c long"), "shingles")
+    across = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    n = rows.groupBy("id", "own").agg(F.sum("c").alias("n"))
+    o = rows.join(across, "s", "left_semi").groupBy("id", "own").agg(F.sum("c").alias("o"))
+    able = n.join(o, ["id", "own"]).filter(F.col("o") >= least * F.col("n") - 1e-9)
+    return written(able.select("id").distinct(), "prospects")
+
+
+def compared(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between texts of different classes in ``rest`` (``band, h, id, comp``), found in blocks.
+
+    Texts that buckets connect are a family. A family is dealt into blocks of about ``BLOCK`` texts, and a task compares
+    two blocks: a product of their shingle matrices has the overlaps of all its pairs. Only links leave a task, one for
+    each two classes that it finds linked.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([bags(w) + (np.uint64(w.first) << np.uint64(HASH_BITS)) for w in words.scan(pa.array(pdf["text"], pa.string()))])
+        row = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        again = np.arange(len(keys)) - np.repeat(first, np.diff(first, append=len(keys)))
+        token, _ = pd.factorize(words.mix((keys & np.uint64((1 << HASH_BITS) - 1)) * GOLDEN + again.astype(np.uint64)))
+        n = np.bincount(row, minlength=len(pdf))
+        shared = np.bincount(token)[token] > 1
+        token, _ = pd.factorize(token[shared])
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[shared][order]
+        left, right = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("lo", "hi"))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for k in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
+            x, y = np.searchsorted(token, [k, k + COLUMNS])
+            m = np.zeros((len(pdf), COLUMNS), np.float32)
+            m[row[x:y], token[x:y] - k] = 1
+            both += m[left] @ m[right].T
+        a, b = np.nonzero(both >= least * (n[left][:, None] + n[right][None, :] - both) - 1e-6)
+        comp, ids = pdf["comp"].to_numpy(), pdf["id"].to_numpy()
+        a, b = left[a], right[b]
+        lo, hi = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+        out = pd.DataFrame({"a": ids[a], "b": ids[b], "lo": lo, "hi": hi})[lo != hi]
+        return out.drop_duplicates(["lo", "hi"])[["a", "b"]]
+
+    heads = rest.groupBy("band", "h").agg(F.min("id").alias("head"))
+    near = rest.join(heads, ["band", "h"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    family = components(near).select("id", F.col("comp").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = rest.select("id", "comp").distinct().join(family, "id").join(blocks, "family")
+    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.join(candidates, "id").select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp", "text")
+    return dealt.groupBy("family", "lo", "hi").applyInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id`` (smallest identifier of its class) and ``class_size``.
 
@@ -209,19 +279,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     tested: DataFrame | None = None
     for k in range(ROUNDS + 1):
         at = multi.withColumn("comp", F.col("id")) if comps is None else multi.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        apart = at.groupBy("band", "h").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("o"), F.col("id").alias("leader"), F.col("comp").alias("leads"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        apart = apart.select("band", "h", "x.leader", "x.leads")
-        if k < ROUNDS:
-            pairs = at.join(apart, ["band", "h"]).filter("comp <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+        order = F.xxhash64("id") if k == 0 else F.xxhash64(F.lit(k), "band", "id")
+        apart = at.groupBy("band", "h").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("comp").alias("leads"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        if k == ROUNDS:
+            rest = written(at.join(apart.select("band", "h"), ["band", "h"]).select("band", "h", "id", "comp"), "rest")
+            rest = rest.join(prospects(rest, candidates, least), "id")
+            links = written(compared(rest, candidates, least), "verified")
         else:
-            rest = at.join(apart.select("band", "h"), ["band", "h"])
-            pairs = rest.select("band", "h", F.col("id").alias("a"), F.col("comp").alias("ca")).join(rest.select("band", "h", F.col("id").alias("b"), F.col("comp").alias("cb")), ["band", "h"]).filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        links = written(verified(pairs, candidates, least), "verified")
-        tested = pairs if tested is None else tested.unionByName(pairs)
+            pairs = at.join(apart.select("band", "h", "x.leader", "x.leads"), ["band", "h"]).filter("comp <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = written(verified(pairs, candidates, least), "verified")
+            tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             comps = relabelled(comps, links)
     ids = nodes.select("d0", "d1", "id")

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ VOCABULARY = "byte_bpe_50k.json"
 BLOCK = 64
 #: Characters past its end that can decide where a pre-token ends: one, and one more behind a white run.
 AHEAD = 2
+#: Windows of up to so many characters, none of them from here on, are split by the pattern itself: arrays take longer to set up.
+SHORT, LATIN_END = 1024, "\u0250"
+PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
 class TokenTree:
@@ -77,7 +81,7 @@ class TokenTree:
             ends, j = begin + np.cumsum(self.blocks[k][0]), 0
         from_ = begin + int(self.blocks[k][0][:j].sum())
         # Read on, in growing windows, until a new boundary falls on an old one at or past the edit's end.
-        last, last_begin, window = k, begin, 256
+        last, last_begin, window = k, begin, 64
         while True:
             stop = min(len(self.text), at + len(put) + window)
             lengths, tokens = self.count(self.text[from_:stop])
@@ -115,8 +119,18 @@ class Counter:
 
     def __init__(self, path: str):
         self.coder = lexicon.Coder(None, path)
+        self.small: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if 0 < len(text) <= SHORT and max(text) < LATIN_END:
+            words = PATTERN.findall(text)
+            for w in words:
+                if w not in self.small:
+                    if len(self.small) >= lexicon.REMEMBERED:
+                        self.small.clear()
+                    self.small.update((x, len(i) >> 2) for x, i in zip(words, self.coder.ids_of(words), strict=True))
+                    break
+            return np.array([len(w) for w in words]), np.array([self.small[w] for w in words])
         lengths, tokens, _ = self.many([text])
         return lengths, tokens
 
