@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.llm import pretokens
-from oddsloom.llm.tables import written
+from oddsloom.llm.tables import in_batches, written
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 SHARD_IDS = 1 << 20
@@ -201,7 +201,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    return written(dealt.mapInArrow(run, SHARD_SCHEMA), "shards")
+    return written(in_batches(dealt, run, SHARD_SCHEMA), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
-from oddsloom.llm.tables import written
+from oddsloom.llm.tables import in_batches, written
 
 DEPTH = 5
 BROADCAST_ROWS = 6_000_000
@@ -130,7 +130,7 @@ def count(docs: DataFrame) -> DataFrame:
             if x.size:
                 yield sent(kind)
 
-    rows = docs.select("text", held_out(F.col("doc_id")).alias("out")).mapInArrow(run, "kind int, key long, n long")
+    rows = in_batches(docs.select("text", held_out(F.col("doc_id")).alias("out")), run, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -370,7 +370,7 @@ def score(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                 logs = _totals(w, np.log10(c + 1.0), w.bounds) + np.log10(end + 1.0)
                 yield _result(batch, w, n, v, known, logs, _totals(w, tree.get(windows(data, bounds)), bounds), np.diff(bounds))
 
-    return rows.mapInArrow(run, OUT)
+    return in_batches(rows, run, OUT)
 
 
 def _score_by_join(rows: DataFrame, vocabulary: DataFrame, lengths: DataFrame, n: int, v: int) -> DataFrame:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.llm.tables import in_batches
+
 BLOCKS_WIDE, BLOCKS_HIGH = 32, 18
 FRAME = BLOCKS_WIDE * BLOCKS_HIGH
 RATE = 25
@@ -29,7 +31,7 @@ BINS = 16
 #: Differences that a shot's end is held against, how many deviations it takes, and the least difference.
 WINDOW, DEVIATIONS, LEAST = 8, 3.0, 0.08
 #: Payload bytes that are worked on together; a longer file is worked on alone.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 #: The standard's code lengths for luminance DC differences (number of codes of 1, 2, ... 16 bits).
 DC_LENGTHS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
@@ -251,7 +253,7 @@ def store(docs: DataFrame) -> DataFrame:
                     k += n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(files, pa.binary())], names=["doc_id", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, media binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, media binary")
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -324,4 +326,4 @@ def read(media: DataFrame) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, pa.ListArray.from_arrays(own.astype(np.int32), clips)], names=NAMES)
 
-    return media.select("doc_id", "media").mapInArrow(run, READ)
+    return in_batches(media.select("doc_id", "media"), run, READ)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
-from oddsloom.llm.tables import written
+from oddsloom.llm.tables import in_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, rows), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["doc_id", "d0", "d1", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long")
+    return in_batches(rows, run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def prospects(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(3)), pa.array(shingle.view(np.int64)), pa.array(weight)], names=["id", "comp", "own", "s", "c"])
 
     texts = candidates.join(rest.select("id", "comp").distinct(), "id").select("id", "comp", F.xxhash64("text").alias("own"), "text")
-    rows = written(texts.mapInArrow(run, "id long, comp long, own long, s long, c long"), "shingles")
+    rows = written(in_batches(texts, run, "id long, comp long, own long, s long, c long"), "shingles")
     across = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
     n = rows.groupBy("id", "own").agg(F.sum("c").alias("n"))
     o = rows.join(across, "s", "left_semi").groupBy("id", "own").agg(F.sum("c").alias("o"))

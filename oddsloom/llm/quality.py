@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
+from oddsloom.llm.tables import in_batches
 
 BITS = 18
 SAMPLE_ROWS = 16_000
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
     learners = max(1, sample.count() // ROWS_PER_LEARNER)
     shares = chosen.repartition(learners, F.xxhash64(F.lit(5), "doc_id")).sortWithinPartitions(order, "doc_id", "text", "quality")
-    fitted = shares.select("text", F.col("quality").cast("int")).mapInArrow(learn, "place binary, weight binary, bias double, rows long").collect()
+    fitted = in_batches(shares.select("text", F.col("quality").cast("int")), learn, "place binary, weight binary, bias double, rows long").collect()
     weights, bias, rows = np.zeros(1 << BITS), 0.0, sum(r["rows"] for r in fitted)
     for r in sorted(fitted, key=lambda r: (r["rows"], r["bias"])):
         weights[np.frombuffer(r["place"], "<i4")] += np.frombuffer(r["weight"], "<f4") * (r["rows"] / rows)
@@ -152,4 +153,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out[w.first : w.last] = m.bias + np.bincount(row, value * m.weights[place], w.last - w.first)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*rest, "score"])
 
-    return docs.select(*rest).mapInArrow(run, docs.select(*rest).schema.add("score", "double"))
+    return in_batches(docs.select(*rest), run, docs.select(*rest).schema.add("score", "double"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import lexicon, pretokens
+from oddsloom.llm.tables import in_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of a leaf when the tree is built.
@@ -174,4 +175,4 @@ def count_edited(docs: DataFrame, edits: Column, vocabulary: str | None = None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], names=["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_edited", "rescanned_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", edits.alias("edits"))
-    return rows.mapInArrow(run, SCHEMA)
+    return in_batches(rows, run, SCHEMA)

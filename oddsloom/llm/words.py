@@ -15,7 +15,7 @@ import pyarrow as pa
 from oddsloom.llm.pretokens import FACTOR, INVERSE, powers
 
 #: Bytes that are worked on together; a longer text is worked on alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
