@@ -24,7 +24,7 @@ WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028
 #: Endings that an apostrophe starts.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters that are scanned together; a longer text is scanned alone.
-SLICE = 1 << 20
+SLICE = 1 << 21
 
 
 @functools.cache
@@ -166,10 +166,15 @@ class Remembered:
     def get_all(self, words: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
-        if self.old:
-            old = self.old
-            self.young.update({w: old[w] for w in words if w in old})
-        new = [w for w in words if w not in self.young]
-        if new:
-            self.young.update(zip(new, compute(new), strict=True))
-        return list(map(self.young.__getitem__, words))
+        out = list(map(self.young.get, words))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if self.old and missing:
+            for k in missing:
+                if (v := self.old.get(words[k])) is not None:
+                    self.young[words[k]] = out[k] = v
+            missing = [k for k in missing if out[k] is None]
+        if missing:
+            new = [words[k] for k in missing]
+            for k, w, v in zip(missing, new, compute(new), strict=True):
+                self.young[w] = out[k] = v
+        return out
