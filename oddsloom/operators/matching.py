@@ -8,6 +8,30 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions.text import text_similarity
 
+#: Rows of one key that meet others in one task; keys with more are dealt into blocks.
+BLOCK = 512
+SIDE = ("ord", "id", "platform", "title", "state", "office", "year")
+
+
+def dealt_join(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+    """Rows of ``a`` and ``b`` with equal keys, each two once; keys are not null and other columns have names of their own.
+
+    The rows of a key are dealt by the hash of their identifiers into blocks of about ``BLOCK``, and the join is on key,
+    block of ``a`` and block of ``b``: rows of a large key are repeated for each block of the other side, and its pairs
+    are spread over all tasks. Sizes are joined for keys of more than one block only.
+    """
+    count = lambda rows, n, m: rows.groupBy(*keys).agg(F.count("*").alias(n)).withColumn(m, F.lit(0).cast("long"))
+    sizes = count(a, "__m", "__n").unionByName(count(b, "__n", "__m")).groupBy(*keys).agg(F.sum("__m").alias("__m"), F.sum("__n").alias("__n"))
+    sizes = F.broadcast(sizes.filter(F.greatest("__m", "__n") > BLOCK).select(*keys, *(F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).alias(c) for c in ("__m", "__n"))))
+
+    def dealt(rows: DataFrame, by: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        rows = rows.join(sizes, keys, "left")
+        rows = rows.withColumn(own[1], F.pmod(F.xxhash64(by), F.coalesce(own[0], F.lit(1))))
+        return rows.withColumn(other[1], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other[0], F.lit(1)) - 1))).drop("__m", "__n")
+
+    left = dealt(a, a_id, ("__m", "__row"), ("__n", "__column"))
+    return left.join(dealt(b, b_id, ("__n", "__column"), ("__m", "__row")), [*keys, "__row", "__column"]).drop("__row", "__column")
+
 
 def political_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Confidence that two political titles are one race. ``a`` and ``b``: ``title, state, office, year``.
@@ -32,11 +56,21 @@ def political_score(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def entity_pairs(markets: DataFrame, least: int = 70) -> DataFrame:
     """Pairs of political markets of different platforms with a score of ``least`` or more.
 
-    ``markets`` has ``ord, id, platform, title, state, office, year``. A score needs equal states (or none), and offices
-    and years that are equal or missing, so state is the hash key and the rest is checked on its matches.
+    ``markets`` has ``ord, id, platform, title, state, office, year``. A score needs equal states (or none, and both
+    presidential), and offices and years that are equal or missing. So rows meet by state and by those of office and
+    year that both have: each row goes out once for every choice of the two that the other may have.
     """
-    b = markets.select(*(F.col(c).alias(f"b_{c}") for c in ("ord", "id", "platform", "title", "state", "office", "year")))
-    pairs = markets.join(b, F.lower("state").eqNullSafe(F.lower("b_state")) & (F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    low = lambda c: F.lower(F.trim(c))
+    office = F.when(low("office").rlike("house|representative"), "house").otherwise(low("office"))
+    has = F.when(F.col("office").isNull(), 0).otherwise(1) + F.when(F.col("year").isNull(), 0).otherwise(2)
+    rows = markets.filter(F.col("state").isNotNull() | F.col("title").rlike("(?i)president"))
+    keyed = rows.select(*SIDE, has.alias("__has"), F.explode(F.array(*map(F.lit, range(4)))).alias("__other"), F.coalesce(low("state"), F.lit("")).alias("__state"), office.alias("__office"), F.col("year").alias("__year"))
+    both = F.col("__has").bitwiseAND(F.col("__other"))
+    keyed = keyed.withColumn("__office", F.when(both.bitwiseAND(1) > 0, F.col("__office")).otherwise("")).withColumn("__year", F.when(both.bitwiseAND(2) > 0, F.col("__year")).otherwise(""))
+    keys = ["__state", "__office", "__year", "__a", "__b"]
+    a = keyed.withColumnsRenamed({"__has": "__a", "__other": "__b"})
+    b = keyed.withColumnsRenamed({"__has": "__b", "__other": "__a", **{c: f"b_{c}" for c in SIDE}})
+    pairs = dealt_join(a, b, keys, "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform"))).drop(*keys)
     side = lambda p: {c: F.col(p + c) for c in ("title", "state", "office", "year")}
     return pairs.withColumn("score", political_score(side(""), side("b_"))).filter(F.col("score") >= least)
 

@@ -553,11 +553,22 @@ def title_entities(m: DataFrame) -> DataFrame:
     rel.MARKET,
 )
 def entity_match_score(m: DataFrame) -> DataFrame:
-    politics = m.filter((F.col("id") <= 1500) & (text.title_category(F.col("title")) == "politics"))
+    """Only markets up to id 1500, as its SQL has it; ``entity_match_score_all`` covers all."""
+    return _entity_matches(m.filter("id <= 1500"))
+
+
+def _entity_matches(m: DataFrame) -> DataFrame:
+    politics = m.filter(text.title_category(F.col("title")) == "politics")
     e = politics.select("ord", "id", "platform", "title", *(text.entity(F.col("title"), k).alias(k) for k in ("state", "office", "year")))
     return matching.entity_pairs(e).select("id", "b_id", "score")
 
 
+@query(relation=rel.MARKET)
+def entity_match_score_all(m: DataFrame) -> DataFrame:
+    """The pairs of all markets; tests hold it against brute force."""
+    return _entity_matches(m)
+
+
 @query(
     """, t AS (SELECT id, platform, regexp_extract(title, '^(\\w+) vs (\\w+)$', 1) AS p, regexp_extract(title, '^(\\w+) vs (\\w+)$', 2) AS q FROM x),
     k AS (SELECT id, platform, least(p, q) || '|' || greatest(p, q) AS pair FROM t WHERE p <> '' AND p <> q)
