@@ -487,9 +487,25 @@ _NAMES = "SELECT DISTINCT p_name AS name FROM part"
     _NAMES,
 )
 def levenshtein_pairs(n: DataFrame) -> DataFrame:
-    a, b = n.select(F.col("name").alias("a"), F.substring("name", 1, 1).alias("c")), n.select(F.col("name").alias("b"), F.substring("name", 1, 1).alias("c"))
+    """Only pairs with the same first letter, as its SQL has it; ``levenshtein_pairs_all`` covers all."""
+    letter = F.substring("name", 1, 1).alias("c")
+    return _distances(n.select("name", letter).filter("c IS NOT NULL"))
+
+
+def _distances(n: DataFrame) -> DataFrame:
+    pairs = matching.dealt_join(n.withColumnRenamed("name", "a"), n.withColumnRenamed("name", "b"), ["c"], "a", "b").filter("a < b")
     d = F.levenshtein("a", "b")
-    return a.join(b, "c").filter("a < b").select("a", "b", d.alias("distance"), r6(1 - d / F.greatest(F.length("a"), F.length("b"))).alias("similarity"))
+    return pairs.select("a", "b", d.alias("distance"), r6(1 - d / F.greatest(F.length("a"), F.length("b"))).alias("similarity"))
+
+
+@query(
+    """SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance,
+      round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM x a JOIN x b ON a.name < b.name""",
+    _NAMES,
+)
+def levenshtein_pairs_all(n: DataFrame) -> DataFrame:
+    """All pairs of distinct names. They share one key, which is dealt into blocks that meet two by two."""
+    return _distances(n.withColumn("c", F.lit("")))
 
 
 _wsim = """CASE WHEN p = q THEN 1 WHEN contains(p, q) OR contains(q, p) THEN 0.8

@@ -45,3 +45,23 @@ def test_entity_pairs_with_missing_parts(spark, block):
     want = sorted(tuple(r) for r in every.select("id", "b_id", "score").collect())
     got = sorted(tuple(r) for r in matching.entity_pairs(df, 55).select("id", "b_id", "score").collect())
     assert got == want and len(want) > 500
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distances_of_all_pairs_of_names(spark, block):
+    names = sorted(r.name for r in spark.read.parquet(f"{SF}/part.parquet").selectExpr("p_name AS name").distinct().collect())
+    want = [(a, b, edits(a, b), round(1 - edits(a, b) / max(len(a), len(b)), 6)) for a, b in itertools.combinations(names, 2)]
+    got = sorted(tuple(r) for r in queries.QUERIES["levenshtein_pairs_all"](spark, SF).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
+    assert any(a[0] != b[0] for a, b, *_ in got)
+    few = sorted(tuple(r) for r in queries.QUERIES["levenshtein_pairs"](spark, SF).collect())
+    assert few == [x for x in got if x[0][0] == x[1][0]]
