@@ -109,15 +109,22 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: i
     return out
 
 
-SKETCH = "doc_id long, d0 long, d1 long, bands array<long>"
+SKETCH = "doc_id long, t0 long, t1 long, d0 long, d1 long, bands array<long>"
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row: ``__near_own``, its identifier or ``NO_ID``, and ``__near_t0, __near_t1``, a digest of its text. Rows of one key are copies."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.withColumns({"__near_own": own, "__near_t0": F.xxhash64("text"), "__near_t1": F.xxhash64(F.lit(1), "text")})
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row: a digest of the bag of shingles in two numbers, and the hash of each band."""
+    """Per row of ``doc_id, t0, t1, text``: its key, a digest of the bag of shingles in two numbers, and the hash of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in words.scan(batch.column(1)):
+            for w in words.scan(batch.column(3)):
                 rows = w.last - w.first
                 keys = bags(w)
                 at = np.searchsorted(keys, np.arange(rows + 1, dtype=np.uint64) << np.uint64(HASH_BITS))
@@ -130,9 +137,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     bands = words.mix(bands * GOLDEN + parts[:, :, k])
                 lists = pa.ListArray.from_arrays(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, rows), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["doc_id", "d0", "d1", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(w.first, rows) for k in range(3)), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["doc_id", "t0", "t1", "d0", "d1", "bands"])
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SKETCH)
+    return in_batches(docs.select("doc_id", "t0", "t1", "text"), run, SKETCH)
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -259,21 +266,20 @@ def compared(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("family", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id`` (smallest identifier of its class) and ``class_size``.
+def assigned(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: its key ``doc_id, t0, t1`` (see ``keyed``) and ``comp``, the name of its class.
 
-    Texts with equal bags of shingles are one text from the start, so copies are never compared with each other. Null
-    and empty texts have no shingle and form one class. Null identifiers count as the smallest 64-bit number; rows that
-    share an identifier and are each other's smallest fall into one class. An empty table gives no rows.
+    Texts with equal bags of shingles are one text from the start, so copies are never compared with each other; such a
+    text goes by the first number of its bag's digest, never by identifiers, which rows may lack or share. Its wording is that of one row.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    texts = keyed(docs).select(F.col("__near_own").alias("doc_id"), F.col("__near_t0").alias("t0"), F.col("__near_t1").alias("t1"), "text")
     rows = written(sketch(texts), "sketches")
-    nodes = written(rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "t0", "t1")).alias("row"), F.first("bands").alias("bands")).select(F.col("d0").alias("id"), "d0", "d1", "row.*", "bands"), "nodes")
     members = nodes.select("id", F.posexplode("bands").alias("band", "h"))
     shared = members.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").select("band", "h")
     multi = written(members.join(shared, ["band", "h"]), "members")
-    wanted = multi.select("id").distinct()
-    candidates = written(texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").distinct(), "candidates")
+    wanted = nodes.select("id", "doc_id", "t0", "t1").join(multi.select("id").distinct(), "id", "left_semi")
+    candidates = written(texts.join(wanted, ["doc_id", "t0", "t1"]).select("id", "text").distinct(), "candidates")
 
     comps: DataFrame | None = None
     tested: DataFrame | None = None
@@ -295,18 +301,28 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     ids = nodes.select("d0", "d1", "id")
     if comps is not None:
         ids = ids.join(comps, "id", "left").select("d0", "d1", F.coalesce("comp", "id").alias("id"))
-    out = rows.select("doc_id", "d0", "d1").join(ids, ["d0", "d1"]).select("doc_id", F.col("id").alias("class_id"))
-    sizes = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
+    return rows.select("doc_id", "t0", "t1", "d0", "d1").join(ids, ["d0", "d1"]).select("doc_id", "t0", "t1", F.col("id").alias("comp"))
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id`` (smallest identifier of its class) and ``class_size``.
+
+    Null and empty texts have no shingle and form one class. Null identifiers count as the smallest 64-bit number.
+    Rows with null or repeated identifiers are in one class only if their texts are; classes whose smallest identifier
+    is the same are told apart by nothing else here, but each has its own size. An empty table gives no rows.
+    """
+    out = assigned(docs, least).select("doc_id", "comp")
+    sizes = out.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return out.join(sizes, "comp").select("doc_id", "class_id", "class_size")
 
 
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class, that of the smallest identifier, with all columns (names that begin with ``__near`` are taken).
+    """One row of each class, one with the smallest identifier, with all columns (names that begin with ``__near`` are taken).
 
-    Of rows that share that identifier one stays.
+    Of several rows with that identifier the one with the smallest digest of its text stays, and of its copies one.
     """
-    first = classes(docs, least).filter("doc_id = class_id").select(F.col("class_id").alias("__near_id")).distinct()
-    rows = docs.withColumn("__near_own", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    rows = rows.join(first, F.col("__near_own") == F.col("__near_id"), "left_semi")
-    same = Window.partitionBy("__near_own").orderBy("text")
+    key = ["__near_own", "__near_t0", "__near_t1"]
+    first = assigned(docs, least).groupBy("comp").agg(F.min(F.struct(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t0", "t1"), key, strict=True)))).alias("row")).select("row.*")
+    rows = keyed(docs).join(first, key, "left_semi")
+    same = Window.partitionBy(*key).orderBy("text")
     return rows.withColumn("__near_n", F.row_number().over(same)).filter("__near_n = 1").select(*docs.columns)

@@ -89,3 +89,21 @@ def test_odd_rows(spark):
     assert of[2] == of[3] == of[6] == 2 and of[1] == 1
     assert near_dedup.classes(odd.docs(spark, [])).collect() == []
     assert sorted(r.doc_id or -1 for r in near_dedup.dedup(odd.docs(spark)).collect()) == [-1, 1, 2, 4, 7]
+
+
+def test_rows_without_or_with_repeated_identifiers_keep_their_own_classes(spark):
+    rng = random.Random(11)
+    texts = [" ".join(t) for t in ([f"c{k}.{i}" for i in range(40)] for k in range(8))]
+    edited = [t.replace(".39", ".x") for t in texts[:3]]  # a near copy of each of three texts
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[6]), (9, texts[7])]
+    rows += [(None, edited[0]), (7, edited[1]), (8, edited[2])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(d, t, None, None, 0, 0.0) for d, t in rows], odd.SCHEMA).repartition(3)
+    none = -(1 << 63)
+    sizes = sorted((r.doc_id, r.class_id, r.class_size) for r in near_dedup.classes(df).collect())
+    assert sizes == sorted([(none, none, 2)] * 6 + [(7, none, 2), (8, none, 2), (7, 7, 1), (7, 7, 2), (7, 7, 2), (8, 8, 1), (9, 9, 1)])
+    kept = near_dedup.dedup(df).collect()
+    home = {**{t: t for t in texts}, **dict(zip(edited, texts))}
+    assert sorted(home[r.text] for r in kept) == sorted(texts)
+    least = {t: min(none if d is None else d for d, u in rows if home[u] == t) for t in texts}
+    assert all((none if r.doc_id is None else r.doc_id) == least[home[r.text]] for r in kept)
