@@ -7,10 +7,16 @@ components, which keep the earliest: two texts agree in a component with exactly
 the chance. Points are drawn only up to the time by which all components of a text are expected to be filled (and
 further where some are not), so a text costs about ``M log M`` points whatever its length.
 
-Signatures are cut into ``BANDS`` bands. Texts that share a band are candidates: in each bucket members are held
-against a leader; buckets whose members are not yet one class try other leaders. Texts that are still apart are compared exactly in
-blocks, after those are left out whose shared shingles cannot reach the threshold. Whole texts are verified: the multiset overlap must reach ``SIMILARITY``. Classes are the
-connected components of verified links. A text of similarity 0.8 is missed by all bands with a chance below 0.0004.
+Signatures are cut into ``BANDS`` bands, and texts with the same band share a bucket. In each bucket members are held
+against a leader; buckets whose members are not yet one class try another leader. What is apart after that meets in blocks,
+first signatures of a bucket, then the texts of families, which are texts that buckets connect and signatures do not
+keep apart. Two texts are candidates if their signatures agree in ``AGREE`` components or more; of texts of similarity
+0.8, all bands miss fewer than 0.0004 and this rule fewer than 0.000002. Candidates are verified on whole texts: the
+overlap of their multisets must reach ``SIMILARITY``. Classes are the connected components of verified links.
+
+Multisets are compared by hashes of ``HASH_BITS`` bits. Two texts of n and m different shingles have a pair that only
+seems equal with a chance below ``n * m / 2**HASH_BITS``: one in ten million for texts of a thousand words, and such a
+pair moves a similarity by less than 0.001.
 """
 
 from __future__ import annotations
@@ -18,21 +24,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
-from oddsloom.llm.tables import in_batches, written
+from oddsloom.llm.tables import hot_join, in_batches, release, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 M = BANDS * ROWS
+#: Components that candidates agree in.
+AGREE = 60
 #: Rounds with one leader a bucket before the rest is compared in blocks; in the first one, buckets agree on leaders.
 ROUNDS = 2
-#: Texts of a block, and shingles of a block's matrix at a time.
-BLOCK, COLUMNS = 256, 4096
+#: Texts of a block of signatures, and bytes of a block of texts.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Keys up to which a set of wanted texts is broadcast (16 bytes each) so that only those texts are shuffled.
+BROADCAST_KEYS = 2_000_000
 #: Bits of a shingle's hash; the others number the texts of a slice.
 HASH_BITS = 44
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -109,7 +118,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: i
     return out
 
 
-SKETCH = "doc_id long, t0 long, t1 long, d0 long, d1 long, bands array<long>"
+SKETCH = "doc_id long, t0 long, t1 long, d0 long, d1 long, bands array<long>, signature binary"
 NO_ID = -(1 << 63)
 
 
@@ -119,8 +128,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__near_own": own, "__near_t0": F.xxhash64("text"), "__near_t1": F.xxhash64(F.lit(1), "text")})
 
 
+def fixed(values: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unfixed(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, M)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row of ``doc_id, t0, t1, text``: its key, a digest of the bag of shingles in two numbers, and the hash of each band."""
+    """Per row of ``doc_id, t0, t1, text``: its key, a digest of the bag of shingles in two numbers, the hash of each band, and a byte of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,12 +151,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for salt in (np.uint64(0xA5A5), np.uint64(0x5A5A)):
                     sums = np.append(np.uint64(0), np.cumsum(words.mix((keys & np.uint64((1 << HASH_BITS) - 1)) * GOLDEN + salt)))
                     digest.append(words.mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)))
-                parts = signatures(*weighted(keys), rows).reshape(rows, BANDS, ROWS)
-                bands = np.zeros((rows, BANDS), np.uint64)
+                parts = signatures(*weighted(keys), rows)
+                bands = np.tile(np.arange(BANDS, dtype=np.uint64), (rows, 1))
                 for k in range(ROWS):
-                    bands = words.mix(bands * GOLDEN + parts[:, :, k])
+                    bands = words.mix(bands * GOLDEN + parts.reshape(rows, BANDS, ROWS)[:, :, k])
                 lists = pa.ListArray.from_arrays(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32), bands.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(w.first, rows) for k in range(3)), *(pa.array(d.view(np.int64)) for d in digest), lists], names=["doc_id", "t0", "t1", "d0", "d1", "bands"])
+                columns = [*(batch.column(k).slice(w.first, rows) for k in range(3)), *(pa.array(d.view(np.int64)) for d in digest), lists, fixed((parts & np.uint64(255)).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "d0", "d1", "bands", "signature"])
 
     return in_batches(docs.select("doc_id", "t0", "t1", "text"), run, SKETCH)
 
@@ -157,6 +177,18 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.divide(both, either, out=np.zeros(len(a)), where=either > 0)
 
 
+def alike(pairs: DataFrame, signatures_of: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose signatures (``id, signature``) agree in ``AGREE`` components or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array((unfixed(batch.column(2)) == unfixed(batch.column(3))).sum(1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    side = lambda c: signatures_of.select(F.col("id").alias(c), F.col("signature").alias(f"signature_{c}"))
+    return in_batches(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b"), run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose texts' overlap reaches ``least``."""
 
@@ -184,8 +216,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("comp").alias("far"))
         new = written(step.join(jump, "next", "left").select("id", "was", F.least("next", F.coalesce("far", "next")).alias("comp")), "labels")
+        release(labels)
         labels = new.select("id", "comp")
         if new.filter("comp <> was").isEmpty():
+            release(both)
             return labels
 
 
@@ -197,111 +231,169 @@ def relabelled(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
     new = components(joined).select(F.col("id").alias("old"), F.col("comp").alias("new"))
     ids = comps.select("id", "comp").unionByName(new.join(comps, new["old"] == comps["id"], "left_anti").select(F.col("old").alias("id"), F.col("old").alias("comp")))
-    return written(ids.join(new, ids["comp"] == new["old"], "left").select("id", F.coalesce("new", "comp").alias("comp")), "classes")
+    out = written(ids.join(new, ids["comp"] == new["old"], "left").select("id", F.coalesce("new", "comp").alias("comp")), "classes")
+    release(comps, new)
+    return out
 
 
-def prospects(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """Identifiers in ``rest`` (``id, comp``) that can still be linked to another class.
+def agreeing(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``i, j`` of signatures in ``x`` and ``y`` that agree in ``AGREE`` components, some rows of ``x`` at a time."""
+    step = max(1, (1 << 22) // max(1, len(y)))
+    across = np.ascontiguousarray(y.T)
+    for at in range(0, len(x), step):
+        agree = np.zeros((len(x[at : at + step]), len(y)), np.uint8)
+        for k in range(M):
+            agree += x[at : at + step, k][:, None] == across[k]
+        i, j = np.nonzero(agree >= AGREE)
+        yield i + at, j
 
-    A shingle that no text of another class has can be in no overlap, so a text's similarity to any of them is at most
-    the shared ones' part. In a large family of copies that went far apart, texts are mostly ruled out by their own edits here.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words.scan(batch.column(3)):
-                row, shingle, weight = weighted(bags(w))
-                own = pa.array(row + w.first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in range(3)), pa.array(shingle.view(np.int64)), pa.array(weight)], names=["id", "comp", "own", "s", "c"])
+def dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """``rows`` with ``lo, hi, block``, once for each block of its key that a row's own block meets. ``blocks`` has their number per key, and ``n`` rows."""
+    own = hot_join(rows, blocks, [key], "n").drop("n").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
 
-    texts = candidates.join(rest.select("id", "comp").distinct(), "id").select("id", "comp", F.xxhash64("text").alias("own"), "text")
-    rows = written(in_batches(texts, run, "id long, comp long, own long, s long, c long"), "shingles")
-    across = rows.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-    n = rows.groupBy("id", "own").agg(F.sum("c").alias("n"))
-    o = rows.join(across, "s", "left_semi").groupBy("id", "own").agg(F.sum("c").alias("o"))
-    able = n.join(o, ["id", "own"]).filter(F.col("o") >= least * F.col("n") - 1e-9)
-    return written(able.select("id").distinct(), "prospects")
 
+def open_texts(rest: DataFrame) -> DataFrame:
+    """``a, b``: each text of ``rest`` (``h, id, comp, signature``) that is like one of another class in its bucket, with a first such text of the bucket.
 
-def compared(rest: DataFrame, candidates: DataFrame, least: float) -> DataFrame:
-    """Links ``a, b`` between texts of different classes in ``rest`` (``band, h, id, comp``), found in blocks.
+    A bucket is dealt into blocks of about ``BLOCK`` texts, and a task holds two blocks of one bucket at a time.
+    """
+
+    def found(block: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, comp: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(block == lo[0])
+        right = left if lo[0] == hi[0] else np.flatnonzero(block == hi[0])
+        some = np.zeros(len(ids), bool)
+        for i, j in agreeing(sign[left], sign[right]):
+            apart = comp[left[i]] != comp[right[j]]
+            some[left[i[apart]]] = some[right[j[apart]]] = True
+        mine = ids[some]
+        return mine, np.full(len(mine), mine.min(initial=np.iinfo(np.int64).max))
 
-    Texts that buckets connect are a family. A family is dealt into blocks of about ``BLOCK`` texts, and a task compares
-    two blocks: a product of their shingle matrices has the overlaps of all its pairs. Only links leave a task, one for
-    each two classes that it finds linked.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = [*(batch.column(k).to_numpy() for k in range(6)), unfixed(batch.column(6))]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[2][1:] != held[2][:-1]) | (held[3][1:] != held[3][:-1])) + 1
+            if len(change):
+                cuts = [0, *change.tolist()]
+                each = [found(*(x[p:q] for x in held[1:])) for p, q in zip(cuts, cuts[1:], strict=False)]
+                held = [x[cuts[-1] :] for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*each, strict=True)], names=["a", "b"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found(*held[1:])], names=["a", "b"])
+
+    blocks = written(rest.groupBy("h").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = dealt(rest, "h", blocks).select("h", "block", "lo", "hi", "id", "comp", "signature")
+    return in_batches(rows.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi"), run, "a long, b long").distinct()
+
+
+def compared(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between texts of different classes in ``rest`` (``id, comp, signature, family``), of one family each.
+
+    A family is dealt into blocks of about ``BLOCK_BYTES`` of text, and a task holds two blocks: it compares the bags of
+    those texts whose signatures agree. Only links leave a task, one for each two classes that it finds linked.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([bags(w) + (np.uint64(w.first) << np.uint64(HASH_BITS)) for w in words.scan(pa.array(pdf["text"], pa.string()))])
+    def run(table: pa.Table) -> pa.Table:
+        block, lo, hi, ids, comp = (table.column(k).to_numpy() for k in range(1, 6))
+        sign, text = unfixed(table.column(6)), table.column(7).combine_chunks()
+        keys = np.concatenate([bags(w) + (np.uint64(w.first) << np.uint64(HASH_BITS)) for w in words.scan(text)])
         row = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         again = np.arange(len(keys)) - np.repeat(first, np.diff(first, append=len(keys)))
-        token, _ = pd.factorize(words.mix((keys & np.uint64((1 << HASH_BITS) - 1)) * GOLDEN + again.astype(np.uint64)))
-        n = np.bincount(row, minlength=len(pdf))
-        shared = np.bincount(token)[token] > 1
-        token, _ = pd.factorize(token[shared])
-        order = np.argsort(token, kind="stable")
-        token, row = token[order], row[shared][order]
-        left, right = (np.flatnonzero(pdf["block"].to_numpy() == pdf[c].iloc[0]) for c in ("lo", "hi"))
-        both = np.zeros((len(left), len(right)), np.float32)
-        for k in range(0, int(token.max(initial=-1)) + 1, COLUMNS):
-            x, y = np.searchsorted(token, [k, k + COLUMNS])
-            m = np.zeros((len(pdf), COLUMNS), np.float32)
-            m[row[x:y], token[x:y] - k] = 1
-            both += m[left] @ m[right].T
-        a, b = np.nonzero(both >= least * (n[left][:, None] + n[right][None, :] - both) - 1e-6)
-        comp, ids = pdf["comp"].to_numpy(), pdf["id"].to_numpy()
-        a, b = left[a], right[b]
-        lo, hi = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-        out = pd.DataFrame({"a": ids[a], "b": ids[b], "lo": lo, "hi": hi})[lo != hi]
-        return out.drop_duplicates(["lo", "hi"])[["a", "b"]]
-
-    heads = rest.groupBy("band", "h").agg(F.min("id").alias("head"))
-    near = rest.join(heads, ["band", "h"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    family = components(near).select("id", F.col("comp").alias("family"))
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = rest.select("id", "comp").distinct().join(family, "id").join(blocks, "family")
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.join(candidates, "id").select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "comp", "text")
-    return dealt.groupBy("family", "lo", "hi").applyInPandas(run, "a long, b long")
-
-
-def assigned(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: its key ``doc_id, t0, t1`` (see ``keyed``) and ``comp``, the name of its class.
+        distinct, token = np.unique(words.mix((keys & np.uint64((1 << HASH_BITS) - 1)) * GOLDEN + again.astype(np.uint64)), return_inverse=True)
+        at = np.searchsorted(row, np.arange(len(ids) + 1))
+        n = np.diff(at)
+        mine = np.zeros(len(distinct), np.int64)
+        left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, j in agreeing(sign[left], sign[right]):
+            a, b = left[i], right[j]
+            apart = comp[a] != comp[b]
+            if lo[0] == hi[0]:
+                apart &= a < b
+            a, b = a[apart], b[apart]
+            for x, y in zip(cuts := np.flatnonzero(np.diff(a, prepend=-1)), np.append(cuts[1:], len(a)), strict=True):
+                here, others = a[x], b[x:y]
+                mine[token[at[here] : at[here + 1]]] = 1
+                size = n[others]
+                place = np.arange(size.sum()) + np.repeat(at[others] - np.cumsum(size) + size, size)
+                both = np.add.reduceat(mine[token[place]], np.cumsum(size) - size)
+                for k in others[both >= least * (n[here] + size - both) - 1e-9].tolist():
+                    links.setdefault((min(comp[here], comp[k]), max(comp[here], comp[k])), (ids[here], ids[k]))
+                mine[token[at[here] : at[here + 1]]] = 0
+        return pa.table([pa.array([x[k] for x in links.values()], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = written(rest.join(texts, "id"), "open")
+    size = F.sum(F.octet_length("text"))
+    blocks = written(rows.groupBy("family").agg(F.count("*").alias("n"), F.ceil(size / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
+    out = dealt(rows, "family", blocks).select("family", "block", "lo", "hi", "id", "comp", "signature", "text")
+    return out.groupBy("family", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
+def wordings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, text`` of the rows ``doc_id, t0, t1`` in ``wanted`` (written, with their ``id``)."""
+    key = F.xxhash64("doc_id", "t0", "t1").alias("key")
+    if wanted.count() <= BROADCAST_KEYS:
+        texts = texts.withColumn("key", key).join(F.broadcast(wanted.select(key)), "key", "left_semi").drop("key")
+    return texts.join(wanted, ["doc_id", "t0", "t1"]).select("id", "text").dropDuplicates(["id"])
+
+
+def assigned(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs`` with its key ``doc_id, t0, t1`` (see ``keyed``) and ``d0, d1``, and one per ``d0, d1``: ``comp``, the name of its class, its first key and number of rows.
 
     Texts with equal bags of shingles are one text from the start, so copies are never compared with each other; such a
     text goes by the first number of its bag's digest, never by identifiers, which rows may lack or share. Its wording is that of one row.
     """
     texts = keyed(docs).select(F.col("__near_own").alias("doc_id"), F.col("__near_t0").alias("t0"), F.col("__near_t1").alias("t1"), "text")
     rows = written(sketch(texts), "sketches")
-    nodes = written(rows.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "t0", "t1")).alias("row"), F.first("bands").alias("bands")).select(F.col("d0").alias("id"), "d0", "d1", "row.*", "bands"), "nodes")
-    members = nodes.select("id", F.posexplode("bands").alias("band", "h"))
-    shared = members.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").select("band", "h")
-    multi = written(members.join(shared, ["band", "h"]), "members")
-    wanted = nodes.select("id", "doc_id", "t0", "t1").join(multi.select("id").distinct(), "id", "left_semi")
-    candidates = written(texts.join(wanted, ["doc_id", "t0", "t1"]).select("id", "text").distinct(), "candidates")
+    first = F.min(F.struct("doc_id", "t0", "t1")).alias("row")
+    nodes = written(rows.groupBy("d0", "d1").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")).select(F.col("d0").alias("id"), "d0", "d1", "row.*", "n", "bands", "signature"), "nodes")
+    members = nodes.select("id", F.explode("bands").alias("h"))
+    # In the first round a bucket's leader is its smallest identifier, which is a hash.
+    buckets = written(members.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1"), "buckets")
+    multi = written(hot_join(members, buckets, ["h"], "n").select("h", "id", "leader"), "members")
+    some = nodes.join(multi.select("id").distinct(), "id", "left_semi")
+    signs = written(some.select("id", "doc_id", "t0", "t1", "signature"), "signatures")
+    candidates = written(wordings(texts, signs.drop("signature")), "candidates")
 
     comps: DataFrame | None = None
     tested: DataFrame | None = None
     for k in range(ROUNDS + 1):
-        at = multi.withColumn("comp", F.col("id")) if comps is None else multi.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        order = F.xxhash64("id") if k == 0 else F.xxhash64(F.lit(k), "band", "id")
-        apart = at.groupBy("band", "h").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("comp").alias("leads"))).alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        if k == ROUNDS:
-            rest = written(at.join(apart.select("band", "h"), ["band", "h"]).select("band", "h", "id", "comp"), "rest")
-            rest = rest.join(prospects(rest, candidates, least), "id")
-            links = written(compared(rest, candidates, least), "verified")
+        if k == 0:
+            pairs = multi.filter("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         else:
-            pairs = at.join(apart.select("band", "h", "x.leader", "x.leads"), ["band", "h"]).filter("comp <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            at = multi.select("h", "id") if comps is None else multi.select("h", "id").join(comps, "id", "left")
+            at = written(at.select("h", "id", F.coalesce("comp", "id").alias("comp") if comps is not None else F.col("id").alias("comp")), "apart")
+            turn = F.xxhash64(F.lit(k), "h")
+            apart = at.groupBy("h").agg(F.count("*").alias("n"), F.min(F.col("id").bitwiseXOR(turn)).alias("o"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+            apart = written(apart.select("h", "n", F.col("o").bitwiseXOR(turn).alias("leader")), "buckets")
+            rest = hot_join(at, apart, ["h"], "n")
+            if k < ROUNDS:
+                leads = at.select(F.col("id").alias("leader"), F.col("comp").alias("leads")).distinct()
+                pairs = rest.filter("id <> leader").select("id", "leader", "comp").distinct().join(leads, "leader").filter("comp <> leads")
+                pairs = pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        if k < ROUNDS:
+            pairs = written(alike(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), signs), "pairs")
             links = written(verified(pairs, candidates, least), "verified")
             tested = pairs if tested is None else tested.unionByName(pairs)
+        else:
+            rest = written(rest.select("h", "id", "comp").join(signs.select("id", "signature"), "id"), "rest")
+            family = components(open_texts(rest)).withColumnRenamed("comp", "family")
+            links = written(compared(rest.select("id", "comp", "signature").dropDuplicates(["id"]).join(family, "id"), candidates, least), "verified")
+            release(rest)
         if not links.isEmpty():
             comps = relabelled(comps, links)
-    ids = nodes.select("d0", "d1", "id")
+    release(candidates, signs, multi, buckets)
+    named = nodes.select("d0", "d1", "id", "doc_id", "t0", "t1", "n")
     if comps is not None:
-        ids = ids.join(comps, "id", "left").select("d0", "d1", F.coalesce("comp", "id").alias("id"))
-    return rows.select("doc_id", "t0", "t1", "d0", "d1").join(ids, ["d0", "d1"]).select("doc_id", "t0", "t1", F.col("id").alias("comp"))
+        named = named.join(comps, "id", "left").withColumn("id", F.coalesce("comp", "id"))
+    return rows.select("doc_id", "t0", "t1", "d0", "d1"), written(named.select("d0", "d1", F.col("id").alias("comp"), F.struct("doc_id", "t0", "t1").alias("row"), "n"), "classes")
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -311,9 +403,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Rows with null or repeated identifiers are in one class only if their texts are; classes whose smallest identifier
     is the same are told apart by nothing else here, but each has its own size. An empty table gives no rows.
     """
-    out = assigned(docs, least).select("doc_id", "comp")
-    sizes = out.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return out.join(sizes, "comp").select("doc_id", "class_id", "class_size")
+    rows, nodes = assigned(docs, least)
+    sizes = nodes.groupBy("comp").agg(F.min("row.doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    return hot_join(rows, nodes.join(sizes, "comp"), ["d0", "d1"], "n").select("doc_id", "class_id", "class_size")
 
 
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -322,7 +414,8 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Of several rows with that identifier the one with the smallest digest of its text stays, and of its copies one.
     """
     key = ["__near_own", "__near_t0", "__near_t1"]
-    first = assigned(docs, least).groupBy("comp").agg(F.min(F.struct(*(F.col(c).alias(k) for c, k in zip(("doc_id", "t0", "t1"), key, strict=True)))).alias("row")).select("row.*")
+    first = assigned(docs, least)[1].groupBy("comp").agg(F.min("row").alias("row"))
+    first = first.select(*(F.col(f"row.{c}").alias(k) for c, k in zip(("doc_id", "t0", "t1"), key, strict=True)))
     rows = keyed(docs).join(first, key, "left_semi")
     same = Window.partitionBy(*key).orderBy("text")
     return rows.withColumn("__near_n", F.row_number().over(same)).filter("__near_n = 1").select(*docs.columns)

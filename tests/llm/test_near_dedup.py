@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import odd
 import pyarrow as pa
+import pytest
 
-from oddsloom.llm import near_dedup, words
+from oddsloom.llm import near_dedup, tables, words
 
 
 def bag(t):
@@ -64,8 +65,14 @@ def test_signatures_estimate_the_overlap_without_bias():
     assert abs(error.mean()) < 0.01 and np.abs(error).max() < 0.25
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [(2048, 16 << 20), (7, 3000)])
+def test_classes_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)  # leave work for the blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", block[0])
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block[1])
+    if block[0] == 7:  # all buckets of some rows are hot, and wanted texts are joined
+        monkeypatch.setattr(tables, "HOT_ROWS", 3)
+        monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
     rng = random.Random(7)
     texts = []
     for k in range(6):
