@@ -20,8 +20,10 @@ longer document has one of its own), so their offsets need no 64 bits; a shard's
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import pretokens
+from oddsloom.llm import bpe, pretokens
 from oddsloom.llm.tables import in_batches, written
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -101,43 +103,40 @@ class Shard:
         return self.ids[self.select(k - 1) : self.select(k)]
 
 
-class LibraryCoder:
-    """The library's ids of whole texts, found by giving it each distinct pre-token once."""
+class WordCoder:
+    """The library's ids of whole texts: pre-tokens of whole batches, each different one merged once.
 
-    REMEMBERED = 250_000
+    Texts that hold a special string, or a character that Python's Unicode may treat otherwise, go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = pretokens.Remembered(self.REMEMBERED)
-
-    def _compute(self, words: list[str]) -> list[bytes]:
-        """All words in one text: its pre-tokens are the words, and a word's last token is one that ends words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.last[ids]) + 1
-        if len(cuts) == len(words) and cuts[-1] == len(ids):
-            raw, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _odd(self, texts: list[str]) -> list[int]:
+        odd = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
+        wide = [k for k, t in enumerate(texts) if not t.isascii()]
+        if wide:
+            codes = np.frombuffer("".join(texts[k] for k in wide).encode("utf-32-le"), np.uint32)
+            ends = np.cumsum([len(texts[k]) for k in wide])
+            odd.update(wide[i] for i in np.searchsorted(ends, np.flatnonzero(unsure()[codes]), side="right").tolist())
+        return sorted(odd)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the bounds of each text's. Texts with special strings go to the library whole."""
-        odd = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        """All ids in order, and the bounds of each text's."""
+        odd = self._odd(texts)
         plain = list(texts)
         for k in odd:
             plain[k] = ""
-        plain = [lower(t) for t in plain]
-        vocabulary, which, bounds = pretokens.distinct(plain, "bare")
-        ids, at = pretokens.gather(self.known.get_all(vocabulary, self._compute), which, np.uint32)
-        cut = at[bounds]
+        d = pretokens.distinct([lower(t) for t in plain], "bare")
+        ids, at = bpe.merge_many(self.path, d.data, d.begin, d.size)
+        ids, at = pretokens.spread(ids, at[:-1], np.diff(at), d.which)
+        cut = at[d.bounds]
         if odd:
             parts = np.split(ids, cut[1:-1])
             for k in odd:
@@ -146,6 +145,19 @@ class LibraryCoder:
         return ids, cut
 
 
+@functools.cache
+def unsure() -> np.ndarray:
+    """Code points that Python's tables may treat otherwise than the library's: those unknown to Python, and marks that the library does not put in order."""
+    from tokenizers import normalizers
+
+    last, nfc = "\u0345", normalizers.NFC()  # the mark that all others go before
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for c in range(sys.maxunicode + 1):
+        x = chr(c)
+        out[c] = unicodedata.category(x) == "Cn" or (unicodedata.combining(x) > 0 and nfc.normalize_str(last + x) != unicodedata.normalize("NFC", last + x))
+    return out
+
+
 def lower(text: str) -> str:
     """NFC and lower case of each character by itself (a final sigma like any other)."""
     if text.isascii():
@@ -153,7 +165,7 @@ def lower(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-_coders: dict[str, LibraryCoder] = {}
+_coders: dict[str, WordCoder] = {}
 
 
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -166,7 +178,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coders.get(path) or _coders.setdefault(path, LibraryCoder(path))
+        coder = _coders.get(path) or _coders.setdefault(path, WordCoder(path))
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         part, shard, n, before = None, 0, 0, 0
 

@@ -11,8 +11,9 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Vocabulary:
-    #: Id of each byte.
+    #: Id of each byte, and of each byte that ends a word.
     of_byte: list[int]
+    of_last: list[int]
     #: ``left << 32 | right`` to ``rank << 32 | merged id``.
     merges: dict[int, int]
     #: Bytes of every id, one after the other; where each begins, and its length.
@@ -47,7 +48,8 @@ def load(path: str) -> Vocabulary:
     for t, i in special.items():
         tokens[i] = t.encode()
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return Vocabulary([ids[c] for c in chars], merges, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size, special)
+    end = spec["model"]["end_of_word_suffix"] or ""
+    return Vocabulary([ids[c] for c in chars], [ids[c + end] for c in chars], merges, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size, special)
 
 
 NONE = 1 << 62
@@ -56,7 +58,7 @@ NONE = 1 << 62
 def merge(vocabulary: Vocabulary, word: bytes) -> list[int]:
     """Ids of one pre-token: the pair of lowest rank, leftmost first, is merged until no pair has a rank."""
     rank_of = vocabulary.merges.get
-    ids = [vocabulary.of_byte[b] for b in word]
+    ids = [*(vocabulary.of_byte[b] for b in word[:-1]), *(vocabulary.of_last[b] for b in word[-1:])]
     if len(ids) > LONG:
         return _merge_long(vocabulary, ids)
     pairs = [rank_of(a << 32 | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
@@ -146,13 +148,15 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], left: np.ndarray, right: np.nd
     return out
 
 
-def merge_many(path: str, words: list[bytes]) -> list[bytes]:
-    """Ids of many pre-tokens as little-endian bytes; each round merges the best pair of every word that still has one."""
+def merge_many(path: str, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the pre-tokens ``flat[begin[k]:begin[k] + size[k]]`` in order, and where each one's begin (one more at the end).
+
+    Each round merges the best pair of every pre-token that still has one.
+    """
     vocabulary, table = load(path), _ranks(path)
-    of_byte = np.array(vocabulary.of_byte, np.int64)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    flat, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
-    out: list[bytes] = [b""] * len(words)
+    of_byte, of_last = np.array(vocabulary.of_byte, np.int64), np.array(vocabulary.of_last, np.int64)
+    done_ids: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    count = np.zeros(len(size), np.int64)
     least = 0
     for most in GROUPS:
         group = np.flatnonzero((size > least) & (size <= most))
@@ -162,6 +166,7 @@ def merge_many(path: str, words: list[bytes]) -> list[bytes]:
         columns = np.arange(most)
         n = size[group]
         ids = of_byte[flat[np.minimum(begin[group, None] + columns, len(flat) - 1)]]
+        ids[np.arange(len(group)), n - 1] = of_last[flat[begin[group] + n - 1]]
         ranks = _lookup(table, ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(group), most - 1)
         ranks[columns[:-1] >= n[:, None] - 1] = NONE
         while len(group):
@@ -170,9 +175,8 @@ def merge_many(path: str, words: list[bytes]) -> list[bytes]:
             best = ranks[rows, where]
             done = best == NONE
             if done.any():
-                flats, ends = ids[done].astype("<u4"), n[done].tolist()
-                for k, row, end in zip(group[done].tolist(), flats, ends, strict=True):
-                    out[k] = row[:end].tobytes()
+                count[group[done]] = n[done]
+                done_ids.append((group[done], n[done], ids[done][columns < n[done][:, None]].astype(np.uint32)))
                 group, ids, ranks, n, where, best = group[~done], ids[~done], ranks[~done], n[~done], where[~done], best[~done]
                 rows = rows[: len(group)]
             past = columns[:-1] > where[:, None]
@@ -187,5 +191,16 @@ def merge_many(path: str, words: list[bytes]) -> list[bytes]:
             right = np.flatnonzero(where < n - 1)
             ranks[right, where[right]] = _lookup(table, ids[right, where[right]], ids[right, where[right] + 1])
     for k in np.flatnonzero(size > least).tolist():
-        out[k] = np.array(merge(vocabulary, words[k]), "<u4").tobytes()
-    return out
+        alone = np.array(merge(vocabulary, flat[begin[k] : begin[k] + size[k]].tobytes()), np.uint32)
+        count[k] = len(alone)
+        done_ids.append((np.array([k]), count[k : k + 1], alone))
+    at = np.append(0, np.cumsum(count))
+    out = np.empty(at[-1], np.uint32)
+    for group, n, ids in done_ids:
+        out[np.arange(len(ids)) + np.repeat(at[group] - np.cumsum(n) + n, n)] = ids
+    return out, at
+
+
+def merge_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return merge_many(path, np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)

@@ -32,8 +32,8 @@ from oddsloom.llm.tables import in_batches
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 1 << 16
 SAMPLE_DOCS = 20_000
-#: Words of each of the two generations that a worker remembers between batches.
-REMEMBERED = 250_000
+#: Different words that a task counts before it sends them on.
+HELD = 250_000
 
 
 def compile_lexicon(words: Iterable[str], vocabulary: str) -> bytes:
@@ -76,11 +76,9 @@ def compile_lexicon(words: Iterable[str], vocabulary: str) -> bytes:
     close(0)
     start = finish(path[0])
     table = np.array(sorted(transitions), np.int64).reshape(-1, 3)
-    ids = bpe.merge_many(vocabulary, entries)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    head = np.array([len(table), len(finals), len(entries), int(size.sum()), start], np.int64)
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    return b"".join(x.tobytes() for x in (head, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), np.append(0, np.cumsum(size)), np.array(finals, np.int64), flat.astype(np.int64)))
+    ids, at = bpe.merge_words(vocabulary, entries)
+    head = np.array([len(table), len(finals), len(entries), len(ids), start], np.int64)
+    return b"".join(x.tobytes() for x in (head, table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), at, np.array(finals, np.int64), ids.astype(np.int64)))
 
 
 class Lexicon:
@@ -93,13 +91,11 @@ class Lexicon:
         self.keys, self.targets, self.outputs, self.begin, self.finals, self.ids = parts
         assert len(self.ids) == ids
 
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word in the lexicon, -1 where it is not in it; all words walk the automaton together."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        state, place = np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64)
+    def find(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Place of each word ``flat[begin[k]:begin[k] + size[k]]`` in the lexicon, -1 where it is not in it; all words walk the automaton together."""
+        state, place = np.full(len(size), self.start, np.int64), np.zeros(len(size), np.int64)
         if not len(self.keys):
-            return np.full(len(words), -1, np.int64)
-        flat, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+            return np.full(len(size), -1, np.int64)
         walking, step = np.flatnonzero(size > 0), 0
         while len(walking):
             key = state[walking] << 8 | flat[begin[walking] + step]
@@ -113,9 +109,6 @@ class Lexicon:
         found = (state >= 0) & (self.finals[np.maximum(state, 0)] == 1)
         return np.where(found, place, -1)
 
-    def ids_at(self, place: int) -> bytes:
-        return self.ids[self.begin[place] : self.begin[place + 1]].astype("<u4").tobytes()
-
 
 class Coder:
     """Encodes and decodes whole batches of texts; one lives in each worker."""
@@ -123,18 +116,19 @@ class Coder:
     def __init__(self, lexicon: Lexicon | None, path: str):
         self.lexicon, self.path, self.vocabulary = lexicon, path, bpe.load(path)
         vocabulary = self.vocabulary
-        self.known = pretokens.Remembered(REMEMBERED)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words as little-endian bytes."""
-        return self.known.get_all(words, self._compute)
-
-    def _compute(self, words: list[str]) -> list[bytes]:
-        raw = [w.encode() for w in words]
-        places = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
-        unseen = iter(bpe.merge_many(self.path, [raw[k] for k in np.flatnonzero(places < 0).tolist()]))
-        return [self.lexicon.ids_at(p) if p >= 0 else next(unseen) for p in places.tolist()]
+    def ids_of(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ids, at, n``: those of word k are ``ids[at[k]:at[k] + n[k]]``, from the lexicon or merged."""
+        if not self.lexicon:
+            ids, at = bpe.merge_many(self.path, flat, begin, size)
+            return ids, at[:-1], np.diff(at)
+        place = self.lexicon.find(flat, begin, size)
+        unseen = np.flatnonzero(place < 0)
+        merged, cut = bpe.merge_many(self.path, flat, begin[unseen], size[unseen])
+        at, n = self.lexicon.begin[place], self.lexicon.begin[place + 1] - self.lexicon.begin[place]
+        at[unseen], n[unseen] = len(self.lexicon.ids) + cut[:-1], np.diff(cut)
+        return np.concatenate([self.lexicon.ids, merged]).astype(np.uint32), at, n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the bounds of each text's."""
@@ -146,8 +140,9 @@ class Coder:
                 pieces += parts
                 owner += [i] * len(parts)
                 marks += [*cuts, ""]
-        vocabulary, which, bounds = pretokens.distinct(pieces, "spaced")
-        ids, at = pretokens.gather(self.ids_of(vocabulary), which, np.uint32)
+        d = pretokens.distinct(pieces, "spaced")
+        ids, at = pretokens.spread(*self.ids_of(d.data, d.begin, d.size), d.which)
+        bounds = d.bounds
         cut = at[bounds]
         if owner is None:
             return ids, cut
@@ -185,9 +180,9 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, sample_docs: int = S
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in pretokens.slices(texts):
-                vocabulary, which, _ = pretokens.distinct(texts[a:b], "spaced")
-                seen.update(dict(zip(vocabulary, np.bincount(which, minlength=len(vocabulary)).tolist(), strict=True)))
-            if len(seen) > REMEMBERED:
+                d = pretokens.distinct(texts[a:b], "spaced")
+                seen.update(dict(zip(d.words(), np.bincount(d.which, minlength=len(d.size)).tolist(), strict=True)))
+            if len(seen) > HELD:
                 yield pa.RecordBatch.from_pydict({"word": list(seen.keys()), "n": list(seen.values())})
                 seen.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})

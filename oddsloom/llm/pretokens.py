@@ -12,15 +12,14 @@ from __future__ import annotations
 
 import functools
 import sys
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
-#: Code points with Unicode's property White_Space.
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+KINDS = {SPACE: r"\s+", LETTER: r"\p{L}+", NUMBER: r"\p{N}+"}
 #: Endings that an apostrophe starts.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters that are scanned together; a longer text is scanned alone.
@@ -29,14 +28,15 @@ SLICE = 1 << 21
 
 @functools.cache
 def _classes() -> np.ndarray:
+    """The class of each code point as the library's own expressions have it, whatever Unicode Python itself knows."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = np.delete(np.arange(sys.maxunicode + 1), np.arange(0xD800, 0xE000))
+    every = points.astype("<u4").tobytes().decode("utf-32-le")
     kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    for c in range(sys.maxunicode + 1):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = LETTER
-        elif k == "N":
-            kinds[c] = NUMBER
-    kinds[WHITE] = SPACE
+    for kind, pattern in KINDS.items():
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            kinds[points[a:b]] = kind
     return kinds
 
 
@@ -114,67 +114,57 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(20, int(n - 1).bit_length()))[:n]
 
 
-def distinct(texts: list[str], pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """``vocabulary, which, bounds``: pre-token k is ``vocabulary[which[k]]``; text i has those from ``bounds[i]`` to ``bounds[i + 1]``.
+@dataclass
+class Distinct:
+    """The different pre-tokens of some texts."""
+
+    #: UTF-8 of pre-token k is ``data[begin[k]:begin[k] + size[k]]``; it has ``chars[k]`` characters.
+    data: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    chars: np.ndarray
+    #: Which of them the pre-tokens are, in order; text i has those from ``bounds[i]`` to ``bounds[i + 1]``.
+    which: np.ndarray
+    bounds: np.ndarray
+
+    def words(self) -> list[str]:
+        raw = self.data.tobytes()
+        return [raw[a : a + n].decode() for a, n in zip(self.begin.tolist(), self.size.tolist(), strict=True)]
 
-    Equal pre-tokens are found by hash and then compared character by character.
-    """
+
+def distinct(texts: list[str], pattern: str) -> Distinct:
+    """Equal pre-tokens are found by hash and then compared character by character."""
     joined, starts, ends, bounds = scan(texts, pattern)
-    if not len(starts):
-        return [], np.empty(0, np.int64), bounds
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    data = np.frombuffer(joined.encode(), np.uint8)
+    if len(data) == len(codes):
+        place = np.arange(len(codes) + 1)
+    else:
+        place = np.append(0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes + np.uint32(1)).astype(np.uint64) * powers(FACTOR, len(codes)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * powers(INVERSE, len(codes))[starts]
-    which, _ = pd.factorize(hashes)
-    first = np.empty(which.max() + 1, np.int64)
-    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    size, model = ends - starts, first[which]
+    which, _ = pd.factorize((sums[ends] - sums[starts]) * powers(INVERSE, len(codes))[starts])
+
+    def firsts() -> np.ndarray:
+        first = np.empty(which.max(initial=-1) + 1, np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        return first
+
+    first, size = firsts(), ends - starts
+    model = first[which]
     same = np.array_equal(size, size[model])
     if same:
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        same = np.array_equal(codes[np.repeat(starts, size) + place], codes[np.repeat(starts[model], size) + place])
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        same = np.array_equal(codes[np.repeat(starts, size) + at], codes[np.repeat(starts[model], size) + at])
     if not same:
-        all_words = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        which, vocabulary = pd.factorize(np.array(all_words, object))
-        return list(vocabulary), which, bounds
-    return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], which, bounds
-
-
-def gather(values: list[bytes], which: np.ndarray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
-    """``values[k] for k in which`` as one array of ``dtype``, and where each begins (one more at the end)."""
-    flat = np.frombuffer(b"".join(values), dtype)
-    size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(dtype).itemsize
-    begin = np.cumsum(size) - size
-    return spread(flat, begin, size, which)
+        which, _ = pd.factorize(np.array([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+        first = firsts()
+    begin = place[starts[first]]
+    return Distinct(data, begin, place[ends[first]] - begin, size[first], which, bounds)
 
 
 def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[begin[k]:begin[k] + size[k]] for k in which`` as one array, and where each begins (one more at the end)."""
     mine = size[which]
     at = np.append(0, np.cumsum(mine))
     return flat[np.arange(at[-1]) + np.repeat(begin[which] - at[:-1], mine)], at
-
-
-class Remembered:
-    """Values of words in two generations: when the younger is full it becomes the older one, whose unused words go."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get_all(self, words: list[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        out = list(map(self.young.get, words))
-        missing = [k for k, v in enumerate(out) if v is None]
-        if self.old and missing:
-            for k in missing:
-                if (v := self.old.get(words[k])) is not None:
-                    self.young[words[k]] = out[k] = v
-            missing = [k for k in missing if out[k] is None]
-        if missing:
-            new = [words[k] for k in missing]
-            for k, w, v in zip(missing, new, compute(new), strict=True):
-                self.young[w] = out[k] = v
-        return out

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.llm import lexicon, pretokens
+from oddsloom.llm import bpe, lexicon, pretokens
 from oddsloom.llm.tables import in_batches
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -116,7 +116,9 @@ class TokenTree:
 
 
 class Counter:
-    """Token counts of pre-tokens, remembered between batches."""
+    """Token counts of pre-tokens; those of short windows are remembered, ``HELD`` words at most."""
+
+    HELD = 250_000
 
     def __init__(self, path: str):
         self.coder = lexicon.Coder(None, path)
@@ -125,22 +127,22 @@ class Counter:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if 0 < len(text) <= SHORT and max(text) < LATIN_END:
             words = PATTERN.findall(text)
-            for w in words:
-                if w not in self.small:
-                    if len(self.small) >= lexicon.REMEMBERED:
-                        self.small.clear()
-                    self.small.update((x, len(i) >> 2) for x, i in zip(words, self.coder.ids_of(words), strict=True))
-                    break
+            new = [w.encode() for w in words if w not in self.small]
+            if new:
+                if len(self.small) + len(new) > self.HELD:
+                    self.small.clear()
+                    new = [w.encode() for w in words]
+                _, at = bpe.merge_words(self.coder.path, new)
+                self.small.update(zip(map(bytes.decode, new), np.diff(at).tolist(), strict=True))
             return np.array([len(w) for w in words]), np.array([self.small[w] for w in words])
         lengths, tokens, _ = self.many([text])
         return lengths, tokens
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Length and tokens of all pre-tokens of ``texts``, and the bounds of each text's."""
-        vocabulary, which, bounds = pretokens.distinct(texts, "spaced")
-        n = np.fromiter((len(x) >> 2 for x in self.coder.ids_of(vocabulary)), np.int64, len(vocabulary))
-        size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
-        return size[which], n[which], bounds
+        d = pretokens.distinct(texts, "spaced")
+        _, _, n = self.coder.ids_of(d.data, d.begin, d.size)
+        return d.chars[d.which], n[d.which], d.bounds
 
 
 _counters: dict[str, Counter] = {}

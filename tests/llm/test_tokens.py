@@ -28,21 +28,45 @@ def test_pretokens_equal_the_pattern(pattern):
     form = {"spaced": public_tokenizers.PATTERN, "bare": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}[pattern]
     batch = texts(600)
     found, bounds = pretokens.words(batch, pattern)
-    vocabulary, which, again = pretokens.distinct(batch, pattern)
-    assert [vocabulary[k] for k in which] == found and again.tolist() == bounds
+    d = pretokens.distinct(batch, pattern)
+    vocabulary = d.words()
+    assert [vocabulary[k] for k in d.which] == found and d.bounds.tolist() == bounds
+    assert len(set(vocabulary)) == len(vocabulary) and d.chars.tolist() == list(map(len, vocabulary))
     for k, t in enumerate(batch):
         assert found[bounds[k] : bounds[k + 1]] == regex.findall(form, t)
 
 
+def found(lex, words):
+    size = np.array([len(w) for w in words])
+    return lex.find(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size).tolist()
+
+
+def test_all_code_points_equal_the_library():
+    """Each alone, after a letter, a space and a digit, and in a row of neighbours."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    batch = [f"a{x}a {x}{x}1{x} {x}b" for x in points] + ["".join(points[k : k + 50]) for k in range(0, len(points), 50)]
+    # Planes without any character are all alike: one code point in 50 will do.
+    planes = [k for k, x in enumerate(batch) if k >= len(points) or ord(points[k]) < 0x33500 or 0xE0000 <= ord(points[k]) < 0xE0200 or k % 50 == 0]
+    batch = [batch[k] for k in planes]
+    for coder, path in ((lexicon.Coder(None, BYTE), BYTE), (binary_ids.WordCoder(WORD), WORD)):
+        library = Tokenizer.from_file(path)
+        ids, cut = coder.encode(batch)
+        want = library.encode_batch_fast(batch, add_special_tokens=False)
+        wrong = [batch[k] for k, e in enumerate(want) if ids[cut[k] : cut[k + 1]].tolist() != e.ids]
+        assert not wrong, (path, len(wrong), wrong[:5])
+
+
 def test_lexicon_and_merges(tmp_path):
     library, batch = Tokenizer.from_file(BYTE), [*texts(600), "a" * 3000, "ab" * 700]
     some = pretokens.words(batch[:300], "spaced")[0]
     (tmp_path / "x.bin").write_bytes(lexicon.compile_lexicon(some, BYTE))
     known = lexicon.Lexicon(str(tmp_path / "x.bin"))
     raw = sorted({w.encode() for w in some})
-    assert known.find(raw).tolist() == list(range(len(raw))) and known.find([b"not there", b""]).tolist() == [-1, -1]
+    assert found(known, raw) == list(range(len(raw))) and found(known, [b"not there", b""]) == [-1, -1]
     assert len(known.finals) < len({w[:k] for w in raw for k in range(len(w) + 1)})  # endings are shared
-    assert bpe.merge_many(BYTE, raw) == [np.array(bpe.merge(bpe.load(BYTE), w), "<u4").tobytes() for w in raw]
+    for path in (BYTE, WORD):
+        ids, at = bpe.merge_words(path, [*raw, b"a" * 3000, b""])
+        assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [bpe.merge(bpe.load(path), w) for w in [*raw, b"a" * 3000, b""]]
     for lex in (known, None):
         coder = lexicon.Coder(lex, BYTE)
         ids, cut = coder.encode(batch)
