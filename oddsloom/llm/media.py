@@ -224,18 +224,18 @@ def cuts(frames: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = len(frames)
     slot = np.arange(n)[:, None] * BINS + (frames >> 4)
     h = np.bincount(slot.ravel(), minlength=n * BINS).reshape(n, BINS)
-    d = np.append(0.0, np.abs(np.diff(h, axis=0)).sum(1) / (2 * frames.shape[1]))
+    # Differences are whole numbers, so running sums are exact and a file's cuts do not depend on the files before it.
+    d = np.append(0, np.abs(np.diff(h, axis=0)).sum(1))
     d[first] = 0
+    whole = 2 * frames.shape[1]
     begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     low = np.maximum(begin + 1, np.arange(n) - WINDOW)
     count = np.maximum(np.arange(n) - low, 0)
     low = np.minimum(low, np.arange(n))
     s1, s2 = np.append(0, np.cumsum(d)), np.append(0, np.cumsum(d * d))
-    many = np.maximum(count, 1)
-    mean = (s1[:-1] - s1[low]) / many
-    spread = np.sqrt(np.maximum((s2[:-1] - s2[low]) / many - mean * mean, 0))
-    limit = np.where(count > 0, mean + DEVIATIONS * spread + LEAST, 3 * LEAST)
-    return first | (np.round(d - limit, 9) > 0)
+    many, total, squares = np.maximum(count, 1), s1[:-1] - s1[low], s2[:-1] - s2[low]
+    limit = np.where(count > 0, (total + DEVIATIONS * np.sqrt(many * squares - total * total)) / many + LEAST * whole, 3 * LEAST * whole)
+    return first | (d > limit)
 
 
 def store(docs: DataFrame) -> DataFrame:
