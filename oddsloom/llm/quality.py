@@ -70,9 +70,9 @@ def features(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, keys & (1 << BITS) - 1, value / norm[row]
 
 
-def in_training(doc_id: Column) -> Column:
-    """Rows that labels may be learnt from: crc32 of the identifier's text is no multiple of 5."""
-    return F.crc32(doc_id.cast("string")) % 5 != 0
+def held_out(doc_id: Column) -> Column:
+    """Rows that labels are never learnt from: crc32 of the identifier's text is a multiple of 5. A null identifier has none."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def _learn(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int) -> tuple[np.ndarray, float]:
@@ -98,13 +98,13 @@ def _learn(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns ``labels.quality`` from the texts of ``docs``, of rows that ``in_training`` allows.
+    """Learns ``labels.quality`` from the texts of ``docs``, of rows that are not ``held_out``.
 
     Null labels, and labels without a document, are left out; without any label all scores are 1/2. Rows that repeat a
     label count as often as they are there.
     """
     order = F.xxhash64("doc_id")
-    sample = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))).select("doc_id", "quality").orderBy(order, "doc_id").limit(sample_rows)
+    sample = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(order, "doc_id").limit(sample_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,9 +82,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixes all documents: sources weigh 5, 2, 1 in turn, share 150 % of all words, and stop at twice their size."""
+    """Mixes all documents: sources weigh 5, 2, 1 in turn, share 150 % of all words, and stop at twice their size.
+
+    The rows come in order of the training position of their first pass, those that the mix leaves out at the end;
+    ``position`` and ``position_again`` are null where a pass is not taken.
+    """
     p = mixing.plan(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
-    return p.select("doc_id", "size", "source_size", "target", "taken")
+    place = lambda k: F.round(F.get("positions", F.lit(k)), 9)
+    rows = p.select("doc_id", "size", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("position_again"))
+    return rows.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 OP6_SQL = r"""
@@ -96,7 +102,8 @@ WITH d AS (
   SELECT no_source, source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY no_source, source) AS rank
   FROM d GROUP BY no_source, source
 ), w AS (
-  SELECT *, source_size * 2.0::DOUBLE AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank - 1) % 3 + 1] AS weight FROM s
+  SELECT *, source_size * 2.0::DOUBLE AS cap, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(rank - 1) % 3 + 1] AS weight,
+    [0.5::DOUBLE, 0.0::DOUBLE, -0.5::DOUBLE][(rank - 1) % 3 + 1] AS ramp FROM s
 ), l AS (
   SELECT *, row_number() OVER line AS place,
     (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(cap) OVER past, 0))
@@ -108,14 +115,20 @@ WITH d AS (
     THEN min_by(level, place) FILTER (cap >= weight * level) OVER () * weight ELSE cap END AS target
   FROM l
 ), p AS (
-  SELECT d.*, source_size, target,
+  SELECT d.*, source_size, target, ramp,
     sum(size) OVER (PARTITION BY no_source, source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS middle
   FROM d JOIN t USING (no_source, source)
 )
 SELECT doc_id, size, source_size, target,
-  CAST(size * ((middle < target)::INT + (source_size + middle < target)::INT) AS BIGINT) AS taken
+  CAST(size * ((middle < target)::INT + (source_size + middle < target)::INT) AS BIGINT) AS taken,
+  CASE WHEN middle < target THEN round(due(middle / target, ramp), 9) END AS position,
+  CASE WHEN source_size + middle < target THEN round(due((source_size + middle) / target, ramp), 9) END AS position_again
 FROM p
 """
+for _at in ("middle", "(source_size + middle)"):
+    # Of a rate 1 + ramp * (2 t - 1), the time by which a share of the target is due.
+    _share, _rest = f"({_at} / target)", "(1.0::DOUBLE - ramp)"
+    OP6_SQL = OP6_SQL.replace(f"due({_at} / target, ramp)", f"(2 * {_share} / ({_rest} + sqrt({_rest} * {_rest} + 4 * ramp * {_share})))")
 
 
 def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +162,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, read(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
-        (~quality.in_training(F.col("doc_id"))).alias("held_out"),
+        quality.held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )

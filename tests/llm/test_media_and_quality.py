@@ -45,7 +45,7 @@ def test_quality_learns_and_takes_odd_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
-    scored = quality.score(docs, model).join(labels, "doc_id").filter(~quality.in_training(labels["doc_id"]))
+    scored = quality.score(docs, model).join(labels, "doc_id").filter(quality.held_out(labels["doc_id"]))
     rows = [(r.score >= quality.THRESHOLD, r.quality == 1) for r in scored.select("score", "quality").collect()]
     assert sum(a == b for a, b in rows) / len(rows) > 0.93
     assert all(a for a, b in rows if b)
