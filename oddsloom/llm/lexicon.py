@@ -5,14 +5,16 @@ endings. Its transitions carry numbers that add up to the word's place in the le
 ids: the automaton is a transducer from bytes to ids. It is one file of a few MB (bounded by ``LEXICON_WORDS``) that
 Spark hands to every executor and that workers map into memory. Words outside it are merged exactly, pair by pair.
 
-The lexicon is fitted on about ``SAMPLE_DOCS`` rows; it sets the speed only, as ids are the same with any lexicon.
+The lexicon's words are the most frequent of all documents; it sets the speed only, as ids are the same with any lexicon.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections import Counter
@@ -31,9 +33,8 @@ from oddsloom.llm.tables import in_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 1 << 16
-SAMPLE_DOCS = 20_000
 #: Different words that a task counts before it sends them on.
-HELD = 250_000
+HELD = 500_000
 
 
 def compile_lexicon(words: Iterable[str], vocabulary: str) -> bytes:
@@ -172,8 +173,8 @@ def _coder(file: str, vocabulary: str) -> Coder:
     return _coders[file, vocabulary]
 
 
-def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """The ``n`` most frequent pre-tokens of a sample of about ``sample_docs`` rows; ties go by the word."""
+def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
+    """The ``n`` most frequent pre-tokens of all texts; ties go by the word."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -187,18 +188,20 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS, sample_docs: int = S
                 seen.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
-    fraction = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.select("text").sample(fraction=fraction, seed=7) if fraction < 1 else docs.select("text")
-    counts = in_batches(sample, count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = in_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(n).select("word").toLocalIterator()]
 
 
-def fit(docs: DataFrame, vocabulary: str | None = None, n: int = LEXICON_WORDS, sample_docs: int = SAMPLE_DOCS) -> str:
-    """Compiles the lexicon and hands it to all executors; returns the name of its file there."""
+def fit(docs: DataFrame, vocabulary: str | None = None, n: int = LEXICON_WORDS) -> str:
+    """Compiles the lexicon and hands it to all executors; returns the name of its file there.
+
+    The driver keeps the file, a few MB, for executors that start later, and removes it when it ends.
+    """
     spark = docs.sparkSession
-    words = frequent_words(docs, n, sample_docs)
+    words = frequent_words(docs, n)
     data = compile_lexicon(words, vocabulary or public_tokenizers.path(VOCABULARY))
     folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with open(f"{folder}/{name}", "wb") as f:
         f.write(data)
