@@ -1,21 +1,21 @@
-"""Token ids as binary shards whose document boundaries are Elias-Fano coded.
-
-A shard is one byte string, so it survives any store that Spark writes to:
-
-========  =======================================================================================
-part      content
-========  =======================================================================================
-head      magic ``OLID``, version, width of an id in bytes, low bits ``l``; 32-bit numbers of
-          documents ``n``, ids ``u`` and bytes of each part that follows
-high      unary codes of the boundaries' high parts, one bit for each boundary and each step
-low       ``l`` low bits of each boundary
-samples   place in ``high`` of every ``EVERY``-th boundary's bit, 32 bits each
-ids       the ids, end to end, little-endian
-========  =======================================================================================
-
-Boundary k is where document k ends; with ``n`` boundaries up to ``u`` that takes about ``2 + log2(u / n)`` bits a
-document, and ``select`` finds one boundary from a sample and a short scan. Shards hold at most ``SHARD_IDS`` ids (a
-longer document has one of its own), so their offsets need no 64 bits; a shard's place in the whole corpus is a column.
+"""Token ids as binary shards whose document boundaries and identifiers are Elias-Fano coded.
+
+A shard is one byte string in a row of a Parquet table, so it survives any store that Spark writes to:
+
+=========  ======================================================================================
+part       content
+=========  ======================================================================================
+head       magic ``OLID``, version, width of an id in bytes; numbers of documents, of documents
+           without identifier and of ids; the smallest identifier; bytes of each part that follows
+ends       the place behind each document's last id: high bits, low bits, samples
+documents  the identifiers, less the smallest: high bits, low bits, samples
+ids        the ids, end to end, little-endian
+=========  ======================================================================================
+
+Numbers that grow, ``n`` of them up to ``u``, are kept as ``l`` low bits each and unary codes of the high ones, which
+takes about ``2 + log2(u / n)`` bits a number; ``select`` finds any of them from the sample before it and a short scan.
+Shards hold at most ``SHARD_IDS`` ids (a longer document has one of its own), so their offsets need no 64 bits; a
+shard's place in the whole corpus is a column.
 """
 
 from __future__ import annotations
@@ -40,67 +40,90 @@ from oddsloom.llm.tables import in_batches, written
 VOCABULARY, END = "word_bpe_49k.json", 1
 SHARD_IDS = 1 << 20
 EVERY = 64
-HEAD = struct.Struct("<4sBBBxIIIIII")
-MAGIC, VERSION = b"OLID", 1
-SHARD_SCHEMA = "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, ids_before long, doc_ids binary, blob binary"
-
-
-def pack(sizes: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard of documents that have ``sizes[k]`` ids each."""
-    n, u = len(sizes), int(sizes.sum())
-    ends = np.cumsum(sizes).astype(np.int64)
-    low_bits = max(0, int(u // max(n, 1)).bit_length() - 1)
-    high = np.zeros((u >> low_bits) + n + 1, np.uint8)
-    at = (ends >> low_bits) + np.arange(n)
-    high[at] = 1
-    low = (ends[:, None] >> np.arange(low_bits)) & 1
+HEAD = struct.Struct("<4sBBIIIq7I")
+MAGIC, VERSION = b"OLID", 2
+SHARD_SCHEMA = "part int, shard int, first_doc long, last_doc long, n_docs long, n_ids long, ids_before long, blob binary"
+NO_ID = -(1 << 63)
+#: Set bits of each byte, and the place of the j-th of them from the top.
+ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+PLACES = np.array([[*np.flatnonzero(np.unpackbits(np.uint8(b)))] + [0] * (8 - ONES[b]) for b in range(256)])
+
+
+class Growing:
+    """Whole numbers from 0 that never fall, Elias-Fano coded in three byte strings."""
+
+    def __init__(self, parts: list[bytes], n: int):
+        self.n = n
+        self.low_bits = parts[1][0] if n else 0
+        self.high, self.low, self.samples = np.frombuffer(parts[0], np.uint8), np.frombuffer(parts[1], np.uint8)[1:], np.frombuffer(parts[2], "<u4")
+
+    @staticmethod
+    def coded(values: np.ndarray) -> list[bytes]:
+        n = len(values)
+        if not n:
+            return [b"", b"", b""]
+        low_bits = max(0, int(values[-1] // n).bit_length() - 1)
+        at = (values >> low_bits) + np.arange(n)
+        high = np.zeros(int(at[-1]) + 1, np.uint8)
+        high[at] = 1
+        low = (values[:, None] >> np.arange(low_bits)) & 1
+        return [np.packbits(high).tobytes(), bytes([low_bits]) + np.packbits(low.astype(np.uint8).ravel()).tobytes(), at[::EVERY].astype("<u4").tobytes()]
+
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The k-th numbers, from 0."""
+        at = self.samples[k // EVERY].astype(np.int64)
+        left, byte = k % EVERY, at // 8
+        bits = self.high[byte] & (0xFF >> (at % 8)).astype(np.uint8)
+        open_ = np.flatnonzero(left >= ONES[bits])
+        while len(open_):
+            left[open_] -= ONES[bits[open_]]
+            byte[open_] += 1
+            bits[open_] = self.high[byte[open_]]
+            open_ = open_[left[open_] >= ONES[bits[open_]]]
+        high = byte * 8 + PLACES[bits, left] - k
+        low = np.zeros(len(k), np.int64)
+        for j in range(self.low_bits):
+            bit = k * self.low_bits + j
+            low |= ((self.low[bit // 8] >> (7 - bit % 8)) & 1).astype(np.int64) << j
+        return high << self.low_bits | low
+
+
+def pack(who: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """A shard of documents with identifiers ``who``, in order, that have ``sizes[k]`` ids each. ``NO_ID`` is none."""
+    none = int((who == NO_ID).sum())
+    known = who[none:]
+    first = int(known[0]) if len(known) else 0
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    parts = [np.packbits(high).tobytes(), np.packbits(low.astype(np.uint8).ravel()).tobytes(), at[::EVERY].astype("<u4").tobytes(), ids.astype(f"<u{width}").tobytes()]
-    return HEAD.pack(MAGIC, VERSION, width, low_bits, n, u, *map(len, parts)) + b"".join(parts)
+    parts = [*Growing.coded(np.cumsum(sizes).astype(np.int64)), *Growing.coded(known - first), ids.astype(f"<u{width}").tobytes()]
+    return HEAD.pack(MAGIC, VERSION, width, len(sizes), none, len(ids), first, *map(len, parts)) + b"".join(parts)
 
 
 class Shard:
-    """A shard read back."""
+    """A shard read back: ``n`` documents, their boundaries ``ends``, ``ids``."""
 
     def __init__(self, data: bytes):
-        magic, version, width, self.low_bits, self.n, self.u, *sizes = HEAD.unpack_from(data)
+        magic, version, width, self.n, self.none, self.u, self.first, *sizes = HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of token ids")
         cut = np.append(HEAD.size, HEAD.size + np.cumsum(sizes)).tolist()
         if cut[-1] != len(data):
             raise ValueError("a shard is cut short")
-        part = [memoryview(data)[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        self.high, self.low = np.frombuffer(part[0], np.uint8), np.frombuffer(part[1], np.uint8)
-        self.samples, self.ids = np.frombuffer(part[2], "<u4"), np.frombuffer(part[3], f"<u{width}")
-
-    def _lows(self, first: int, last: int) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(last - first, np.int64)
-        a, b = first * self.low_bits, last * self.low_bits
-        bits = np.unpackbits(self.low[a // 8 : -(-b // 8)])[a % 8 : a % 8 + b - a]
-        return bits.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
-
-    def select(self, k: int) -> int:
-        """Where document k ends; -1 is the shard's start."""
-        if k < 0:
-            return 0
-        at = int(self.samples[k // EVERY])
-        left, byte = k % EVERY, at // 8
-        bits = np.unpackbits(self.high[byte : byte + 1])
-        bits[: at % 8] = 0
-        while (ones := int(bits.sum())) <= left:
-            left, byte = left - ones, byte + 1
-            bits = np.unpackbits(self.high[byte : byte + 1])
-        place = byte * 8 + int(np.flatnonzero(bits)[left])
-        return (place - k) << self.low_bits | int(self._lows(k, k + 1)[0])
-
-    def ends(self) -> np.ndarray:
-        """All boundaries at once."""
-        at = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        return (at - np.arange(self.n)) << self.low_bits | self._lows(0, self.n)
+        part = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        self.ends, self.known = Growing(part[:3], self.n), Growing(part[3:6], self.n - self.none)
+        self.ids = np.frombuffer(part[6], f"<u{width}")
+
+    def bounds(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Where documents ``first .. last - 1`` begin, and where the last of them ends."""
+        last = self.n if last is None else last
+        before = self.ends.select(np.arange(max(first - 1, 0), last))
+        return before if first else np.append(0, before)
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids[self.select(k - 1) : self.select(k)]
+        a, b = self.bounds(k, k + 1).tolist()
+        return self.ids[a:b]
+
+    def identifiers(self) -> np.ndarray:
+        return np.append(np.full(self.none, NO_ID), self.first + self.known.select(np.arange(self.n - self.none)))
 
 
 class WordCoder:
@@ -171,8 +194,8 @@ _coders: dict[str, WordCoder] = {}
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes ``docs`` as shards in ascending order of ``doc_id`` to a table in the shared folder, and returns that table.
 
-    Columns: ``part, shard`` (in order), ``first_doc``, ``last_doc``, ``n_docs``, ``n_ids``, ``ids_before`` (in its part),
-    ``doc_ids`` (8 bytes each) and ``blob``. Ranges of identifiers are dealt out to all executors. Null and empty texts have the end id alone;
+    Columns: ``part, shard`` (in order), ``first_doc``, ``last_doc``, ``n_docs``, ``n_ids``, ``ids_before`` (in its part)
+    and ``blob``, the shard. Ranges of identifiers are dealt out to all executors. Null and empty texts have the end id alone;
     null identifiers come first, stored as the smallest 64-bit number; rows that repeat an identifier stay, in any order among themselves.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
@@ -185,9 +208,9 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
         def shut() -> pa.RecordBatch:
             nonlocal held, shard, n, before
             who, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = {"part": [part], "shard": [shard], "first_doc": [int(who[0])], "last_doc": [int(who[-1])], "n_docs": [len(who)], "n_ids": [len(ids)], "ids_before": [before], "doc_ids": [who.astype("<i8").tobytes()], "blob": [pack(sizes, ids)]}
+            row = {"part": [part], "shard": [shard], "first_doc": [int(who[0])], "last_doc": [int(who[-1])], "n_docs": [len(who)], "n_ids": [len(ids)], "ids_before": [before], "blob": [pack(who, sizes, ids)]}
             held, shard, n, before = [], shard + 1, 0, before + len(ids)
-            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "n_docs", "n_ids", "ids_before")), ("doc_ids", pa.binary()), ("blob", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("first_doc", "last_doc", "n_docs", "n_ids", "ids_before")), ("blob", pa.binary())]))
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -211,7 +234,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
         if held:
             yield shut()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     return written(in_batches(dealt, run, SHARD_SCHEMA), "shards")
 
@@ -228,14 +251,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, blob, base in zip(*(batch.column(c) for c in ("doc_ids", "blob", "base")), strict=True):
+            for blob, base in zip(batch.column(0), batch.column(1), strict=True):
                 shard, base = Shard(blob.as_py()), base.as_py()
-                ends = shard.ends()
-                starts = np.append(0, ends[:-1])
-                raw = memoryview(shard.ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                ids = np.frombuffer(who.as_py(), "<i8")
-                mask = ids == -(1 << 63)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=mask), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return placed.select("doc_ids", "blob", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                bounds, ids = shard.bounds(), shard.identifiers()
+                raw, at = memoryview(shard.ids.astype("<u4").tobytes()), (4 * bounds).tolist()
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return in_batches(placed.select("blob", "base"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

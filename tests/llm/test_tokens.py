@@ -78,7 +78,7 @@ def test_lexicon_and_merges(tmp_path):
 def test_coding_query(spark):
     df = odd.docs(spark)
     library = Tokenizer.from_file(BYTE)
-    file = lexicon.fit(df, n=20, sample_docs=5)
+    file = lexicon.fit(df, n=20)
     rows = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in lexicon.digests(df, file).collect()}
     want = set()
     for d, t, *_ in odd.ROWS:
@@ -116,14 +116,19 @@ def test_edits_equal_a_full_count(spark):
 
 
 def test_shards(spark):
-    for sizes in ([], [0], [3], [0, 0, 5], [1] * 200, [5000, 0, 1]):
+    rng = np.random.default_rng(1)
+    for sizes in ([0], [3], [0, 0, 5], [1] * 200, [5000, 0, 1], [0] * 70 + [1 << 18], rng.integers(0, 2000, 500).tolist()):
         n = np.array(sizes, np.int64)
-        shard = binary_ids.Shard(binary_ids.pack(n, np.arange(n.sum()) % 70_000))
-        assert shard.ends().tolist() == np.cumsum(n).tolist()
-        assert [shard.select(k) for k in range(len(n))] == np.cumsum(n).tolist()
-        assert all(len(shard.document(k)) == n[k] for k in range(len(n)))
+        who = np.sort(rng.integers(-(1 << 40), 1 << 40, len(n)))
+        who[: len(n) // 3] = binary_ids.NO_ID
+        shard = binary_ids.Shard(binary_ids.pack(who, n, np.arange(n.sum()) % 70_000))
+        assert shard.bounds().tolist() == [0, *np.cumsum(n).tolist()] and shard.identifiers().tolist() == who.tolist()
+        for k in range(len(n)):
+            assert shard.document(k).tolist() == (np.arange(n[:k].sum(), n[: k + 1].sum()) % 70_000).tolist()
+    big = np.arange(0, 10_000_000, 977)
+    assert sum(map(len, binary_ids.Growing.coded(big))) < len(big) * 2  # 16 bits a number
     with pytest.raises(ValueError):
-        binary_ids.Shard(binary_ids.pack(np.array([3]), np.arange(3))[:-1])
+        binary_ids.Shard(binary_ids.pack(np.array([1]), np.array([3]), np.arange(3))[:-1])
     library = Tokenizer.from_file(WORD)
     rows = [(k, t, None, None, 0, 0.0) for k, t in enumerate(texts(120))] + odd.ROWS
     got = sorted(binary_ids.read_shards(binary_ids.write_shards(odd.docs(spark, rows), shard_ids=300)).collect(), key=lambda r: r.start)
