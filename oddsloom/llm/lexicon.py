@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsloom.llm import bpe, pretokens
-from oddsloom.llm.tables import in_batches
+from oddsloom.llm.tables import in_batches, release, written
 
 VOCABULARY = "byte_bpe_50k.json"
 LEXICON_WORDS = 1 << 16
@@ -174,7 +174,11 @@ def _coder(file: str, vocabulary: str) -> Coder:
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
-    """The ``n`` most frequent pre-tokens of all texts; ties go by the word."""
+    """The ``n`` most frequent pre-tokens of all texts; ties go by the word.
+
+    Words are first told apart by their level, a 64th of a doubling of the count: those of lower levels than the n-th
+    word's, which are nearly all, are not sorted.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -188,8 +192,18 @@ def frequent_words(docs: DataFrame, n: int = LEXICON_WORDS) -> list[str]:
                 seen.clear()
         yield pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
-    counts = in_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(n).select("word").toLocalIterator()]
+    counts = written(in_batches(docs.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * 64)
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()  # 4096 rows at most
+    least, above = 0, 0
+    for row in sizes:
+        least, above = row["level"], above + row["words"]
+        if above >= n:
+            break
+    best = counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(n).select("word")
+    words = [r["word"] for r in best.toLocalIterator()]
+    release(counts)
+    return words
 
 
 def fit(docs: DataFrame, vocabulary: str | None = None, n: int = LEXICON_WORDS) -> str:
