@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.functions.expressions import bound
 from oddsloom.functions.numbers import parse_volume
 
 # Words that a query's terms leave out.
@@ -169,7 +170,7 @@ def search(markets: DataFrame, query: str) -> DataFrame:
     """Adds ``score`` and leaves out what is no match: exact phrase, then a ladder from category to single words.
 
     ``markets`` has ``title``, ``outcomes`` (array of names) and ``volume_text``. Which terms and synonyms a market has
-    is worked out once, in two arrays of flags.
+    is worked out once, in a flag for each.
     """
     q = query.strip().lower()
     plain = lambda x: re.sub(r"[^a-z0-9\s]", "", x)
@@ -180,16 +181,16 @@ def search(markets: DataFrame, query: str) -> DataFrame:
     wanted = [*originals, *synonyms]
     text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.array_join("outcomes", " ")))
     m = markets.withColumn("__text", text)
-    m = m.withColumn("__whole", F.array(*(whole_word(F.col("__text"), t) for t in wanted)))
-    anywhere = F.array(*(F.lit(False) if len(t) <= 3 else F.col("__text").contains(t) for t in wanted))
-    m = m.withColumn("__hit", F.zip_with("__whole", anywhere, lambda a, b: a | b))
-    yes = lambda c: F.size(F.filter(c, lambda x: x))
+    m = m.withColumns({f"__w{k}": whole_word(F.col("__text"), t) for k, t in enumerate(wanted)})
+    whole = [F.col(f"__w{k}") for k in range(len(wanted))]
+    m = m.withColumns({f"__h{k}": w if len(t) <= 3 else w | F.col("__text").contains(t) for k, (w, t) in enumerate(zip(whole, wanted, strict=True))})
+    hit = [F.col(f"__h{k}") for k in range(len(wanted))]
     of_asked = F.lit(asked != "Other") & (keyword_category(F.col("__text"), API_CATEGORIES, "Other") == asked)
     m = m.withColumns({
-        "__n": yes(F.col("__hit")),
-        "__w": yes(F.col("__whole")),
-        "__s": yes(F.slice("__hit", len(originals) + 1, max(len(synonyms), 1))),
-        "__every": F.forall(F.slice("__hit", 1, len(originals)), lambda x: x),
+        "__n": _count(hit),
+        "__w": _count(whole),
+        "__s": _count(hit[len(originals):]),
+        "__every": reduce(lambda a, b: a & b, hit[: len(originals)], F.lit(True)),
         "__of_asked": of_asked,
         "__exact": F.lower("title").contains(q),
     })
@@ -224,20 +225,24 @@ def word_similarity(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.9 of the length ratio if one holds the other, else the best of word overlap and fuzzy long-word overlap."""
-    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    long_ = lambda t: F.filter(words(t), lambda w: F.length(w) > 3)
-    common = F.size(F.filter(words(x), lambda w: F.array_contains(words(y), w)))
-    dice = common * 2 / (F.size(words(x)) + F.size(words(y)))
-    like = F.size(F.filter(long_(x), lambda p: F.exists(long_(y), lambda q: p.contains(q) | q.contains(p) | (word_similarity(p, q) > 0.7))))
-    key = like / F.greatest(F.size(long_(x)), F.size(long_(y)), F.lit(1))
-    shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-    return (
-        F.when(x == y, 1.0)
-        .when((x == "") | (y == ""), 0.0)
-        .when(x.contains(y) | y.contains(x), shorter / longer * 0.9)
-        .otherwise(F.greatest(dice, key * 0.85, dice * 0.6 + key * 0.4))
-    )
+
+    def overlap(wx: Column, wy: Column) -> Column:
+        long_ = lambda words: F.filter(words, lambda w: F.length(w) > 3)
+        common = F.size(F.filter(wx, lambda w: F.array_contains(wy, w)))
+
+        def best(dice: Column, lx: Column, ly: Column) -> Column:
+            like = F.size(F.filter(lx, lambda p: F.exists(ly, lambda q: p.contains(q) | q.contains(p) | (word_similarity(p, q) > 0.7))))
+            key = like / F.greatest(F.size(lx), F.size(ly), F.lit(1))
+            return bound(lambda k: F.greatest(dice, k * 0.85, dice * 0.6 + k * 0.4), key)
+
+        return bound(best, common * 2 / (F.size(wx) + F.size(wy)), long_(wx), long_(wy))
+
+    def of(x: Column, y: Column) -> Column:
+        words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+        shorter, longer = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
+        return F.when(x == y, 1.0).when((x == "") | (y == ""), 0.0).when(x.contains(y) | y.contains(x), shorter / longer * 0.9).otherwise(bound(overlap, words(x), words(y)))
+
+    return bound(of, F.trim(F.lower(a)), F.trim(F.lower(b)))
 
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()

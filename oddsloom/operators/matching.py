@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +83,14 @@ def team_set_pairs(markets: DataFrame) -> DataFrame:
     """Pairs of markets of different platforms about the same two teams, in any order. ``markets``: ``ord, id, platform, teams``."""
     keyed = markets.filter(F.size(F.array_distinct("teams")) == 2).withColumn("pair", F.array_join(F.array_sort("teams"), "|"))
     b = keyed.select("pair", F.col("ord").alias("b_ord"), F.col("id").alias("b_id"), F.col("platform").alias("b_platform"))
-    return keyed.join(b, "pair").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform"))).select("id", "b_id", "pair", F.lit(100).alias("confidence"))
+    pairs = dealt_join(keyed, b, ["pair"], "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    return pairs.select("id", "b_id", "pair", F.lit(100).alias("confidence"))
 
 
 def similar_pairs(items: DataFrame, block: str, text: str, least: float) -> DataFrame:
     """Pairs within a block whose texts are similar by ``least`` or more. ``items``: ``ord``, the block and the text."""
     b = items.select(block, F.col("ord").alias("b_ord"), F.col(text).alias("b_text"))
-    pairs = items.join(b, block).filter(F.col("ord") < F.col("b_ord"))
+    pairs = dealt_join(items, b, [block], "ord", "b_ord").filter(F.col("ord") < F.col("b_ord"))
     return pairs.withColumn("similarity", text_similarity(F.col(text), F.col("b_text"))).filter(F.col("similarity") >= least)
 
 
@@ -104,28 +109,28 @@ def band_pairs(a: DataFrame, b: DataFrame, key: str, day: str, days: int = 1) ->
 def greedy_groups(markets: DataFrame) -> DataFrame:
     """Groups of one team pair in order of arrival: a market joins the group of its own date, else of the day before, else after.
 
-    ``markets``: ``ord, id, signature, day`` (null if undated). Adds ``group_day``, the first date of the group. The
-    outcome depends on order, so each signature's few markets are walked in Python.
+    ``markets``: ``ord, id, signature, day`` (null if undated). Adds ``group_day``, the first date of the group. A day
+    opens a group only with its first market, so the days of a pair with their first ``ord`` are all that has to be
+    walked in order; then each market takes the first group that was open when it came.
     """
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        open_: list = []
-        out = []
+        opened: set = set()
+        one = pd.Timedelta(days=1).to_pytimedelta()
         for d in pdf["day"]:
-            if d is None or pd.isna(d):
-                out.append(None)
-                continue
-            near = [d, d - pd.Timedelta(days=1).to_pytimedelta(), d + pd.Timedelta(days=1).to_pytimedelta()]
-            home = next((x for x in near if x in open_), None)
-            if home is None:
-                open_.append(d)
-                home = d
-            out.append(home)
-        return pdf.assign(group_day=pd.Series(out, index=pdf.index, dtype=object))
+            if opened.isdisjoint((d - one, d + one)):
+                opened.add(d)
+        return pdf[pdf["day"].isin(list(opened))]
 
     rows = markets.select("ord", "id", "signature", "day")
-    return rows.groupBy("signature").applyInPandas(walk, "ord long, id long, signature string, day date, group_day date")
+    first = rows.filter("day IS NOT NULL AND signature IS NOT NULL").groupBy("signature", "day").agg(F.min("ord").alias("ord"))
+    opened = first.groupBy("signature").applyInPandas(walk, "signature string, day date, ord long")
+    seen = F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), F.date_add("day", shift).alias("day")) for rank, shift in enumerate((0, 1, -1)))))
+    seen = opened.select("signature", "ord", F.col("day").alias("group_day"), seen.alias("s"))
+    homes = seen.groupBy("signature", F.col("s.day").alias("day")).agg(F.array_sort(F.collect_list(F.struct("s.rank", "ord", "group_day"))).alias("homes"))
+    home = F.get(F.filter("homes", lambda x: x.ord <= F.col("ord")), F.lit(0)).group_day
+    return rows.join(homes, ["signature", "day"], "left").select("ord", "id", "signature", "day", home.alias("group_day"))
 
 
 def slug_hits(events: DataFrame, slugs: DataFrame) -> DataFrame:
@@ -147,40 +152,94 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Vectors of a block; a task multiplies two blocks.
+VECTORS = 2048
+
+
+def _cosine_blocks(vectors: DataFrame, keep: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``keep`` makes of the pairs of two blocks of a category: ``id, b_id, category, similarity``, ``id < b_id``, platforms differ.
+
+    The vectors of a category are dealt by hash into blocks, and each two blocks are one matrix product in one task, so
+    pairs are never rows unless ``keep`` returns them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        category, lo, hi = (table.column(c)[0].as_py() for c in ("category", "lo", "hi"))
+        block, ids, platform = (table.column(c).to_numpy() for c in ("block", "id", "platform"))
+        vec = np.stack(table.column("vec").to_numpy(zero_copy_only=False)).astype(np.float64)
+        size = np.linalg.norm(vec, axis=1)
+        vec /= np.where(size > 0, size, 1.0)[:, None]
+        left = np.flatnonzero(block == lo)
+        right = left if lo == hi else np.flatnonzero(block == hi)
+        i, j = np.nonzero(platform[left][:, None] != platform[right][None, :])
+        if lo == hi:
+            i, j = i[i < j], j[i < j]
+        found = (vec[left] @ vec[right].T)[i, j]
+        a, b = ids[left[i]], ids[right[j]]
+        pairs = pd.DataFrame({"id": np.minimum(a, b), "b_id": np.maximum(a, b), "category": category, "similarity": found})
+        kinds = {"id": table.schema.field("id").type, "b_id": table.schema.field("id").type, "category": table.schema.field("category").type, "n": pa.int64()}
+        kept = keep(pairs)
+        return pa.table({c: pa.array(kept[c], kinds.get(c, pa.float64())) for c in kept.columns})
+
+    rows = vectors.filter("category IS NOT NULL").select("id", "category", "platform", "vec")
+    blocks = rows.groupBy("category").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("blocks"))
+    own = rows.join(F.broadcast(blocks), "category").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("category", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "platform", "vec")
+    return dealt.groupBy("category", "lo", "hi").applyInArrow(run, schema)
+
+
+def _pair_schema(vectors: DataFrame) -> str:
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    return f"id {kind['id']}, b_id {kind['id']}, category {kind['category']}, similarity double"
+
+
 def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """Pairs of one category and different platforms by cosine similarity over ``least``; a zero vector is similar to none.
 
-    ``vectors``: ``id, category, platform, vec``. Norms are worked out once per row before the join.
+    ``vectors``: ``id, category, platform, vec``; vectors are of one length. Only pairs over ``least`` leave a task.
     """
-    v = vectors.withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    b = v.select("category", *(F.col(c).alias(f"b_{c}") for c in ("id", "platform", "vec", "norm")))
-    pairs = v.join(b, "category").filter((F.col("id") < F.col("b_id")) & (F.col("platform") != F.col("b_platform")))
-    size = F.col("norm") * F.col("b_norm")
-    sim = F.when(size > 0, dot(F.col("vec"), F.col("b_vec")) / size).otherwise(0.0)
-    return pairs.select("id", "b_id", "category", sim.alias("similarity")).filter(F.col("similarity") > least)
+    return _cosine_blocks(vectors, lambda p: p[p["similarity"] > least], _pair_schema(vectors))
+
+
+def cosine_top(vectors: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most similar pairs, similarities of six digits, ties by identifiers; each task sends its own best."""
+
+    def best(p: pd.DataFrame) -> pd.DataFrame:
+        p["similarity"] = p["similarity"].round(6)
+        return p.sort_values(["similarity", "id", "b_id"], ascending=[False, True, True]).head(n)
+
+    return _cosine_blocks(vectors, best, _pair_schema(vectors)).orderBy(F.desc("similarity"), "id", "b_id").limit(n)
+
+
+def cosine_counts(vectors: DataFrame) -> DataFrame:
+    """``similarity`` of six digits and ``n`` pairs that have it: at most two million rows, whatever the number of pairs."""
+
+    def counted(p: pd.DataFrame) -> pd.DataFrame:
+        return p["similarity"].round(6).value_counts().rename_axis("similarity").reset_index(name="n")
+
+    return _cosine_blocks(vectors, counted, "similarity double, n long").groupBy("similarity").agg(F.sum("n").alias("n"))
 
 
-def similarity_stats(pairs: DataFrame) -> DataFrame:
-    """Smallest, mean, largest and upper median similarity.
+def similarity_stats(counts: DataFrame) -> DataFrame:
+    """Smallest, mean, largest and upper median similarity of counted pairs (``similarity, n``).
 
-    The upper median is the smallest value that half of all, rounded down, and one more reach; values are counted
-    before they are ranked, so what is sorted in one place is distinct rounded values.
+    The upper median is the smallest value that half of all, rounded down, and one more reach.
     """
-    counts = pairs.groupBy(F.round("similarity", 6).alias("s")).agg(F.count("*").alias("n"))
-    line = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.orderBy("similarity").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("n").over(line)).withColumn("all", F.sum("n").over(Window.partitionBy()))
     return ranked.agg(
-        F.sum("n").alias("pairs"),
-        F.min("s").alias("lo"),
-        F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 4).alias("mean"),
-        F.max("s").alias("hi"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("s"))).alias("median"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"),
+        F.min("similarity").alias("lo"),
+        F.round(F.sum(F.col("similarity") * F.col("n")) / F.sum("n"), 4).alias("mean"),
+        F.max("similarity").alias("hi"),
+        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("similarity"))).alias("median"),
     )
 
 
-def similarity_histogram(pairs: DataFrame) -> DataFrame:
-    """Five bands of similarity in percent, the first open below, with their share."""
+def similarity_histogram(counts: DataFrame) -> DataFrame:
+    """Five bands of similarity in percent, the first open below, with their share of counted pairs (``similarity, n``)."""
     bands = ["0-20%", "20-40%", "40-60%", "60-80%", "80-100%"]
     at = F.least(F.greatest(F.floor(F.col("similarity") * 5), F.lit(0)), F.lit(4)).cast("int")
-    counts = pairs.groupBy(F.element_at(F.array(*map(F.lit, bands)), at + 1).alias("band")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 6))
+    sums = counts.groupBy(F.element_at(F.array(*map(F.lit, bands)), at + 1).alias("band")).agg(F.sum("n").alias("n"))
+    return sums.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 6))

@@ -26,11 +26,58 @@ def round_robin(df: DataFrame, platform: str, platform_order: list[str], limit:
     return first.withColumn("place", F.row_number().over(Window.orderBy("round", "__turn"))).drop("__turn")
 
 
-def proportional_merge(df: DataFrame, platform: str, *order: Column | str) -> DataFrame:
+def round_robin_tail(df: DataFrame, platform: str, platform_order: list[str], limit: int, *order: Column | str) -> DataFrame:
+    """``round_robin`` and, behind it, the rows of other platforms that it did not take, best first, up to ``limit`` in all."""
+    taken = round_robin(df, platform, platform_order, limit, *order).select("id", "place")
+    rest = df.join(taken.select("id"), "id", "left_anti").orderBy(*order).limit(limit).withColumn("k", F.row_number().over(Window.orderBy(*order)))
+    head = taken.select("id", F.lit(0).alias("tail"), F.col("place").alias("k"))
+    both = head.unionByName(rest.select("id", F.lit(1).alias("tail"), "k")).orderBy("tail", "k").limit(limit)
+    return both.select("id", F.row_number().over(Window.orderBy("tail", "k")).alias("place"))
+
+
+def interleaved(df: DataFrame, platform: str, platform_order: list[str], rounds: int, *order: Column | str) -> DataFrame:
+    """All rows in two phases: adds ``phase, round, turn``, the key to sort by.
+
+    The first phase takes one row of each platform in turn, for at most ``rounds`` rounds and a third of the largest
+    platform's; the second takes what is left the same way, also of no other platforms.
+    """
+    turn = F.coalesce(*(F.when(F.col(platform) == p, k) for k, p in enumerate(platform_order)))
+    ranked = rank_in(df.withColumn("turn", turn).filter("turn IS NOT NULL"), [platform], *order, name="round")
+    largest = df.groupBy(platform).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    ranked = ranked.withColumn("__rounds", F.least(F.lit(rounds), F.ceil(largest / len(platform_order))))
+    late = F.col("round") > F.col("__rounds")
+    return ranked.withColumn("phase", F.when(late, 1).otherwise(0)).withColumn("round", F.when(late, F.col("round") - F.col("__rounds")).otherwise(F.col("round"))).drop("__rounds")
+
+
+def rank_by_buckets(df: DataFrame, by: str, bucket: Column, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Rank in each group from 1, in two levels: rows are numbered inside ``(by, bucket)`` and the buckets' sizes add up.
+
+    ``bucket`` must grow with the order, so that all rows of a lower bucket come first. Only buckets are sorted in one
+    task each, not groups.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    sizes = rows.groupBy(by, "__bucket").agg(F.count("*").alias("__size"))
+    past = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(by).alias("__by"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__size").over(past), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__bucket").orderBy(*order))
+    ranked = rows.withColumn("__k", inside).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("__by")) & F.col("__bucket").eqNullSafe(F.col("__of")))
+    return ranked.withColumn(name, F.col("__k") + F.col("__before")).drop("__bucket", "__by", "__of", "__before", "__k")
+
+
+def volume_level(volume: Column, id_: Column) -> Column:
+    """A bucket for an order of falling volume, then of rising number: a sixteenth of a doubling; zero volumes by number, 65,536 together.
+
+    There are at most some thousands of buckets of volume above zero, so their sizes are a small table.
+    """
+    level = F.when(volume > 0, -F.floor(F.log2(volume) * 16)).otherwise(F.lit(1 << 40))
+    return F.struct(level.alias("level"), F.when(volume > 0, F.lit(0)).otherwise(F.floor(id_ / 65536)).alias("run"))
+
+
+def proportional_merge(df: DataFrame, platform: str, bucket: Column, *order: Column | str) -> DataFrame:
     """Platforms merged so that each prefix holds them in proportion: adds ``share``, the key to sort by."""
-    w = Window.partitionBy(platform)
-    ranked = df.withColumn("__n", F.count("*").over(w)).withColumn("__k", F.row_number().over(w.orderBy(*order)))
-    return ranked.withColumn("share", (F.col("__k") - 0.5) / F.col("__n")).drop("__n", "__k")
+    sizes = df.groupBy(F.col(platform).alias("__p")).agg(F.count("*").alias("__n"))
+    ranked = rank_by_buckets(df, platform, bucket, *order, name="__r").join(F.broadcast(sizes), F.col(platform).eqNullSafe(F.col("__p")))
+    return ranked.withColumn("share", (F.col("__r") - 0.5) / F.col("__n")).drop("__n", "__r", "__p")
 
 
 def dedupe_first(df: DataFrame, key: str, order: str = "ord") -> DataFrame:

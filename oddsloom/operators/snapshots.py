@@ -140,3 +140,21 @@ def time_ticks(df: DataFrame, time: str, n: int = 7) -> DataFrame:
 def slim(data: Column, fields: list[str]) -> Column:
     """A JSON payload with the named fields alone."""
     return F.to_json(F.struct(*(F.get_json_object(data, f"$.{f}").alias(f) for f in fields)))
+
+
+def insert_metrics(rows: DataFrame) -> DataFrame:
+    """One row on a batch of snapshots: rows, markets, rows of outcomes."""
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("market_id").alias("markets"), F.count_if(F.col("outcome_index").isNotNull()).alias("outcome_rows"))
+
+
+def report_json(report: DataFrame, done_at: Column) -> DataFrame:
+    """A retention report as one JSON text, with success flag and time."""
+    fields = [F.lit(True).alias("success"), "deleted", "remaining", F.col("cutoff").cast("string").alias("cutoff"), done_at.cast("string").alias("timestamp")]
+    return report.select(F.to_json(F.struct(*fields)).alias("report"))
+
+
+def payload_size(df: DataFrame, sample: int = 10) -> DataFrame:
+    """Average length of the payloads of the first ``sample`` rows, and the megabytes that all rows would have at that."""
+    some = df.orderBy("event_id").limit(sample).agg(F.avg(F.coalesce(F.length("data"), F.lit(0))).alias("mean_length"))
+    rows = df.agg(F.count("*").alias("n")).scalar()
+    return some.select("mean_length", (F.col("mean_length") * rows / (1024 * 1024)).alias("megabytes"))

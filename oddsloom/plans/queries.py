@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.functions import numbers, teams, text
+from oddsloom.functions.expressions import once
 from oddsloom.operators import arbitrage, matching, ranking, snapshots
 from oddsloom.plans import relations as rel
+from oddsloom.plans.registry import query, r6, table
 from oddsloom.streaming import snapshots as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-31 00:00:00"
-
-
-def query(sql: str | None = None, relation: str | None = None):
-    """Registers a query by its name; with ``relation`` it gets that relation and its oracle the same as ``x``."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(rel.relation(spark, sf_dir, relation)) if relation else f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ORACLES[f.__name__] = (f"WITH x AS ({relation}) " if relation else "") + sql
-        return f
-
-    return register
-
-
-def r6(c) -> F.Column:
-    return F.round(c, 6)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 PLATFORMS = ["Polymarket", "Kalshi", "PredictIt"]
 PLATFORM_ORD = "CASE platform WHEN 'Polymarket' THEN 0 WHEN 'Kalshi' THEN 1 ELSE 2 END"
 
@@ -68,7 +41,7 @@ def platform_round_robin_mix(m: DataFrame) -> DataFrame:
     rel.MARKET,
 )
 def platform_proportional_merge(m: DataFrame) -> DataFrame:
-    return ranking.proportional_merge(m, "platform", F.desc("volume"), "id").select("id", "platform", r6("share").alias("share"))
+    return ranking.proportional_merge(m, "platform", ranking.volume_level(F.col("volume"), F.col("id")), F.desc("volume"), "id").select("id", "platform", r6("share").alias("share"))
 
 
 @query("SELECT market_id, event_id, price FROM x QUALIFY row_number() OVER (PARTITION BY market_id ORDER BY event_id) = 1", rel.SNAPSHOT)
@@ -483,13 +456,12 @@ _NAMES = "SELECT DISTINCT p_name AS name FROM part"
 @query(
     """, n AS (SELECT name, row_number() OVER (ORDER BY name) AS ord FROM x)
     SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance,
-      round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON a.ord < b.ord AND a.name[1] = b.name[1]""",
+      round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON a.ord < b.ord""",
     _NAMES,
 )
 def levenshtein_pairs(n: DataFrame) -> DataFrame:
-    """Only pairs with the same first letter, as its SQL has it; ``levenshtein_pairs_all`` covers all."""
-    letter = F.substring("name", 1, 1).alias("c")
-    return _distances(n.select("name", letter).filter("c IS NOT NULL"))
+    """All pairs of distinct names. They share one key, which is dealt into blocks that meet two by two."""
+    return _distances(n.withColumn("c", F.lit("")))
 
 
 def _distances(n: DataFrame) -> DataFrame:
@@ -504,7 +476,7 @@ def _distances(n: DataFrame) -> DataFrame:
     _NAMES,
 )
 def levenshtein_pairs_all(n: DataFrame) -> DataFrame:
-    """All pairs of distinct names. They share one key, which is dealt into blocks that meet two by two."""
+    """The same as ``levenshtein_pairs``, by the name that it had while that one was cut."""
     return _distances(n.withColumn("c", F.lit("")))
 
 
@@ -558,19 +530,18 @@ def title_entities(m: DataFrame) -> DataFrame:
 # --- matching ---------------------------------------------------------------------------------------------------------
 
 
-@query(
-    rf""", e AS (SELECT id, platform, title, lower(nullif(regexp_extract(title, '{text.ENTITIES['state']}', 1), '')) AS state,
+_ENTITIES = rf""", e AS (SELECT id, platform, title, lower(nullif(regexp_extract(title, '{text.ENTITIES['state']}', 1), '')) AS state,
       lower(nullif(regexp_extract(title, '{text.ENTITIES['office']}', 1), '')) AS office, nullif(regexp_extract(title, '{text.ENTITIES['year']}', 1), '') AS year FROM x
-      WHERE regexp_matches(title, '(?i){text.TITLE_CATEGORIES[1][1]}') AND NOT regexp_matches(title, '(?i){text.TITLE_CATEGORIES[0][1]}') AND id <= 1500),
+      WHERE regexp_matches(title, '(?i){text.TITLE_CATEGORIES[1][1]}') AND NOT regexp_matches(title, '(?i){text.TITLE_CATEGORIES[0][1]}')),
     p AS (SELECT a.id, b.id AS b_id, 50 + CASE WHEN a.office IS NULL OR b.office IS NULL THEN 10 ELSE 30 END + CASE WHEN a.year = b.year THEN 15 ELSE 0 END + 5 AS score
       FROM e a JOIN e b ON a.state = b.state AND a.id < b.id AND a.platform <> b.platform
       WHERE (a.office IS NULL OR b.office IS NULL OR a.office = b.office) AND (a.year IS NULL OR b.year IS NULL OR a.year = b.year))
-    SELECT id, b_id, score FROM p WHERE score >= 70""",
-    rel.MARKET,
-)
+    SELECT id, b_id, score FROM p WHERE score >= 70"""
+
+
+@query(_ENTITIES, rel.MARKET)
 def entity_match_score(m: DataFrame) -> DataFrame:
-    """Only markets up to id 1500, as its SQL has it; ``entity_match_score_all`` covers all."""
-    return _entity_matches(m.filter("id <= 1500"))
+    return _entity_matches(m)
 
 
 def _entity_matches(m: DataFrame) -> DataFrame:
@@ -579,9 +550,9 @@ def _entity_matches(m: DataFrame) -> DataFrame:
     return matching.entity_pairs(e).select("id", "b_id", "score")
 
 
-@query(relation=rel.MARKET)
+@query(_ENTITIES, rel.MARKET)
 def entity_match_score_all(m: DataFrame) -> DataFrame:
-    """The pairs of all markets; tests hold it against brute force."""
+    """The same as ``entity_match_score``, by the name that it had while that one was cut."""
     return _entity_matches(m)
 
 
@@ -633,13 +604,9 @@ _COSINE = """, p AS (SELECT a.id, b.id AS b_id, a.category, round(list_cosine_si
   FROM x a JOIN x b ON a.category = b.category AND a.id < b.id AND a.platform <> b.platform) """
 
 
-def _cosines(v: DataFrame) -> DataFrame:
-    return matching.cosine_pairs(v, -2.0).withColumn("similarity", r6("similarity"))
-
-
 @query(_COSINE + "SELECT * FROM p WHERE similarity > 0.3", rel.VECTOR)
 def embedding_cosine_pairs(v: DataFrame) -> DataFrame:
-    return _cosines(v).filter("similarity > 0.3")
+    return matching.cosine_pairs(v, 0.2999).withColumn("similarity", r6("similarity")).filter("similarity > 0.3")
 
 
 @query(
@@ -648,7 +615,7 @@ def embedding_cosine_pairs(v: DataFrame) -> DataFrame:
     rel.VECTOR,
 )
 def embedding_similarity_stats(v: DataFrame) -> DataFrame:
-    return matching.similarity_stats(_cosines(v))
+    return matching.similarity_stats(matching.cosine_counts(v))
 
 
 @query(
@@ -657,21 +624,24 @@ def embedding_similarity_stats(v: DataFrame) -> DataFrame:
     rel.VECTOR,
 )
 def embedding_similarity_histogram(v: DataFrame) -> DataFrame:
-    return matching.similarity_histogram(_cosines(v))
+    return matching.similarity_histogram(matching.cosine_counts(v))
 
 
 @query(_COSINE + "SELECT * FROM p ORDER BY similarity DESC, id, b_id LIMIT 20", rel.VECTOR)
 def embedding_topk(v: DataFrame) -> DataFrame:
-    return _cosines(v).orderBy(F.desc("similarity"), "id", "b_id").limit(20)
+    return matching.cosine_top(v, 20)
 
 
 @query(relation=rel.MARKET)
 def teams_from_text(m: DataFrame) -> DataFrame:
-    """Tests hold it against golden rows."""
+    """Tests hold it against golden rows and a plain loop."""
     return m.select("id", F.array_join(teams.teams_from_text(F.col("title")), "|").alias("teams"))
 
 
 @query(relation=rel.MARKET)
 def outcome_team(m: DataFrame) -> DataFrame:
-    found = teams.teams_from_text(F.col("title"))
-    return m.select("id", teams.outcome_team(F.lit("Yes"), F.col("title"), found, F.lit(None).cast("string")).alias("yes_team"), teams.valid_for(found, "nfl").alias("nfl_game"))
+    """Both outcomes of every market, every fourth with the feed's own name of the team; tests hold it against golden rows and a plain loop."""
+    found = once(m.select("id", "k", "title"), teams=teams.teams_from_text(F.col("title")))
+    named = F.when(F.col("id") % 4 == 0, F.element_at(F.array(*map(F.lit, ["Minnesota", "Milwaukee", "Rams"])), (F.col("k") % 3 + 1).cast("int")))
+    team = lambda name: teams.outcome_team(F.lit(name), F.col("title"), F.col("teams"), named)
+    return found.select("id", team("Yes").alias("yes_team"), team("No").alias("no_team"), teams.valid_for(F.col("teams"), "nfl").alias("nfl_game"))

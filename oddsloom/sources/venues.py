@@ -152,7 +152,7 @@ def predictit(markets: DataFrame) -> DataFrame:
         F.concat(F.lit("predictit:"), F.col("id").cast("string")).alias("id"),
         F.lit("PredictIt").alias("platform"),
         F.col("name").alias("title"),
-        by_percentage(F.transform(contracts, lambda c: outcome(c.name, price(c))), 1 << 20).alias("outcomes"),
+        by_percentage(F.transform(contracts, lambda c: outcome(c["name"], price(c))), 1 << 20).alias("outcomes"),
         volume.alias("volume"),
         currency_label(volume, "N/A").alias("volume_text"),
         F.date_format(F.expr("try_to_timestamp(contracts[0].dateEnd)"), "MMM d").alias("date"),

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from oddsloom.operators import matching
-from oddsloom.plans import queries
+from oddsloom.plans import queries, registry  # noqa: F401
 from oddsloom.plans import relations as rel
 
 SF = "/root/testdata/sf0.01"
@@ -28,11 +28,10 @@ def test_entity_matches_cover_all_markets(spark, block):
     rows = [(r.id, r.platform, race(r.title)) for r in rel.relation(spark, SF, rel.MARKET).collect()]
     rows = sorted(r for r in rows if r[2] and r[2][0])
     want = {(a[0], b[0], 100) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and a[2] == b[2]}
-    got = [tuple(r) for r in queries.QUERIES["entity_match_score_all"](spark, SF).collect()]
+    got = [tuple(r) for r in registry.QUERIES["entity_match_score_all"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert max(b for _, b, _ in got) > 1500
-    few = {tuple(r) for r in queries.QUERIES["entity_match_score"](spark, SF).collect()}
-    assert few == {x for x in want if x[1] <= 1500}
+    assert {tuple(r) for r in registry.QUERIES["entity_match_score"](spark, SF).collect()} == want
 
 
 def test_entity_pairs_with_missing_parts(spark, block):
@@ -59,9 +58,8 @@ def edits(a, b):
 def test_distances_of_all_pairs_of_names(spark, block):
     names = sorted(r.name for r in spark.read.parquet(f"{SF}/part.parquet").selectExpr("p_name AS name").distinct().collect())
     want = [(a, b, edits(a, b), round(1 - edits(a, b) / max(len(a), len(b)), 6)) for a, b in itertools.combinations(names, 2)]
-    got = sorted(tuple(r) for r in queries.QUERIES["levenshtein_pairs_all"](spark, SF).collect())
+    got = sorted(tuple(r) for r in registry.QUERIES["levenshtein_pairs_all"](spark, SF).collect())
     assert [x[:3] for x in got] == [x[:3] for x in want]
     assert [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=2e-6)
     assert any(a[0] != b[0] for a, b, *_ in got)
-    few = sorted(tuple(r) for r in queries.QUERIES["levenshtein_pairs"](spark, SF).collect())
-    assert few == [x for x in got if x[0][0] == x[1][0]]
+    assert sorted(tuple(r) for r in registry.QUERIES["levenshtein_pairs"](spark, SF).collect()) == got
