@@ -133,15 +133,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     return Model(weights.astype(np.float32), bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score``, the chance of label 1, to ``docs``.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Adds ``name``, the chance of label 1, to ``docs``.
 
-    Null and empty texts score by the bias alone. Repeated rows are scored each; other columns stay, one named
-    ``score`` is replaced. An empty table gives no rows.
+    Null and empty texts score by the bias alone. Repeated rows are scored each; other columns stay, one of this name
+    is replaced. An empty table gives no rows.
     """
     # 2**BITS weights of four bytes: 1 MB, whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "score"]
+    rest = [c for c in docs.columns if c != name]
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +151,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for w in words.scan(batch.column(at)):
                 row, place, value = features(w)
                 out[w.first : w.last] = m.bias + np.bincount(row, value * m.weights[place], w.last - w.first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=[*rest, name])
 
-    return in_batches(docs.select(*rest), run, docs.select(*rest).schema.add("score", "double"))
+    return in_batches(docs.select(*rest), run, docs.select(*rest).schema.add(name, "double"))
