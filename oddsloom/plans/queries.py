@@ -127,11 +127,11 @@ def _fixed_sql(x: str, digits: int) -> str:
     return f"printf('%.{digits}f', CASE WHEN {tie} THEN ({x}) + {0.001 if digits else 0.01} ELSE ({x}) END)"
 
 
-_label = f"""CASE WHEN v = 0 THEN '$0' WHEN v >= 1e9 THEN '$' || {_fixed_sql('v / 1e9', 1)} || 'B' WHEN v >= 1e6 THEN '$' || {_fixed_sql('v / 1e6', 1)} || 'M'
+label_sql = f"""CASE WHEN v = 0 THEN '$0' WHEN v >= 1e9 THEN '$' || {_fixed_sql('v / 1e9', 1)} || 'B' WHEN v >= 1e6 THEN '$' || {_fixed_sql('v / 1e6', 1)} || 'M'
   WHEN v >= 1e3 THEN '$' || {_fixed_sql('v / 1e3', 1)} || 'K' ELSE '$' || {_fixed_sql('v', 0)} END"""
 
 
-@query(f"SELECT o_orderkey, {_label} AS label FROM (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 64 ELSE 0.001 END AS v FROM orders) o")
+@query(f"SELECT o_orderkey, {label_sql} AS label FROM (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 64 ELSE 0.001 END AS v FROM orders) o")
 def format_currency_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
     v = F.col("o_totalprice") * F.when(k == 0, 0.0).when(k == 1, 1.0).when(k == 2, 64.0).otherwise(0.001)

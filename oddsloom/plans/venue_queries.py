@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions import text
 from oddsloom.operators import histories, ranking, sports
 from oddsloom.plans import relations as rel
-from oddsloom.plans.queries import _label
+from oddsloom.plans.queries import label_sql
 from oddsloom.plans.registry import query, table
 from oddsloom.sources import venues
 
@@ -71,7 +71,7 @@ _POLYMARKET = f"""
         UNION ALL SELECT o_orderkey, 0, NULL, u, CASE u WHEN 0 THEN 'Yes' ELSE 'No' END, 50 FROM orders, unnest([0, 1]) t(u) WHERE o_orderkey NOT IN (SELECT o FROM c)),
       g AS (SELECT o, max(n) AS n, max(first_slug) AS slug, {_NAMED} AS outcomes FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY percentage DESC, k) AS r FROM e) r WHERE r <= 2 GROUP BY o),
       p AS (SELECT *, CASE WHEN o % 3 = 0 THEN o_totalprice * 64 ELSE o_totalprice END AS v FROM g JOIN orders ON o_orderkey = o WHERE o % 50 <> 0)
-    SELECT 'polymarket:' || o AS id, 'Polymarket' AS platform, CASE WHEN o % 7 <> 0 THEN 'Event ' || o ELSE 'Asked' END AS title, outcomes, round(v, 4) AS volume, {_label} AS volume_text,
+    SELECT 'polymarket:' || o AS id, 'Polymarket' AS platform, CASE WHEN o % 7 <> 0 THEN 'Event ' || o ELSE 'Asked' END AS title, outcomes, round(v, 4) AS volume, {label_sql} AS volume_text,
       strftime(o_orderdate, '%Y-%m-%d') AS date, 'https://polymarket.com/event/' || coalesce(slug, 'event-' || o) AS link, CAST(n AS INTEGER) AS markets FROM p
 """
 
@@ -113,7 +113,7 @@ _KALSHI = f"""
       t AS (SELECT *, CASE WHEN o % 2 = 0 THEN 'KXNFLGAME' ELSE 'KXNBAGAME' END AS series FROM g)
     SELECT 'kalshi:' || series || '-' || o AS id, 'Kalshi' AS platform,
       CASE WHEN o % 3 = 0 AND o % 2 = 1 AND length('Event number ' || o) > 10 THEN 'Event number ' || o WHEN o % 2 = 0 THEN 'Professional Football Game' ELSE 'Market title 0' END AS title,
-      outcomes, round(v, 4) AS volume, {_label} AS volume_text, '2025-12-18' AS date, 'https://kalshi.com/markets/' || lower(series) || '/' || lower(series) || '-' || o AS link, CAST(n AS INTEGER) AS markets FROM t
+      outcomes, round(v, 4) AS volume, {label_sql} AS volume_text, '2025-12-18' AS date, 'https://kalshi.com/markets/' || lower(series) || '/' || lower(series) || '-' || o AS link, CAST(n AS INTEGER) AS markets FROM t
 """
 
 
@@ -141,7 +141,7 @@ _PREDICTIT = f"""
         floor(coalesce(CASE WHEN l_linenumber % 3 > 0 AND l_quantity <> 0 THEN l_quantity / 64 END, CASE WHEN l_linenumber % 2 > 0 THEN 0.25 END, 0) * 100 + 0.5) AS percentage FROM lineitem),
       g AS (SELECT o, count(*) AS n, sum(shares) AS shares, {_NAMED} AS outcomes FROM c GROUP BY o),
       p AS (SELECT o_orderkey AS o, coalesce(n, 0) AS n, coalesce(shares, 0)::DOUBLE AS v, coalesce(outcomes, '') AS outcomes FROM orders LEFT JOIN g ON o_orderkey = o WHERE o_orderkey % 40 <> 0)
-    SELECT 'predictit:' || o AS id, 'PredictIt' AS platform, 'Market ' || o AS title, outcomes, v AS volume, replace({_label}, '$0', CASE WHEN v = 0 THEN 'N/A' ELSE '$0' END) AS volume_text,
+    SELECT 'predictit:' || o AS id, 'PredictIt' AS platform, 'Market ' || o AS title, outcomes, v AS volume, replace({label_sql}, '$0', CASE WHEN v = 0 THEN 'N/A' ELSE '$0' END) AS volume_text,
       CASE WHEN n > 0 THEN 'Dec 8' END AS date, 'https://predictit.example/' || o AS link, CAST(n AS INTEGER) AS markets FROM p
 """
 
