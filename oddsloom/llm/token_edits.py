@@ -116,7 +116,7 @@ class TokenTree:
 
 
 class Counter:
-    """Token counts of pre-tokens; those of short windows are remembered, ``HELD`` words at most."""
+    """Token counts of pre-tokens. Those of the last texts are remembered, ``HELD`` or so, as windows around edits hold them again."""
 
     HELD = 250_000
 
@@ -127,13 +127,9 @@ class Counter:
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         if 0 < len(text) <= SHORT and max(text) < LATIN_END:
             words = PATTERN.findall(text)
-            new = [w.encode() for w in words if w not in self.small]
-            if new:
-                if len(self.small) + len(new) > self.HELD:
-                    self.small.clear()
-                    new = [w.encode() for w in words]
-                _, at = bpe.merge_words(self.coder.path, new)
-                self.small.update(zip(map(bytes.decode, new), np.diff(at).tolist(), strict=True))
+            for w in words:
+                if w not in self.small:
+                    self.small[w] = len(bpe.merge(self.coder.vocabulary, w.encode()))
             return np.array([len(w) for w in words]), np.array([self.small[w] for w in words])
         lengths, tokens, _ = self.many([text])
         return lengths, tokens
@@ -142,6 +138,9 @@ class Counter:
         """Length and tokens of all pre-tokens of ``texts``, and the bounds of each text's."""
         d = pretokens.distinct(texts, "spaced")
         _, _, n = self.coder.ids_of(d.data, d.begin, d.size)
+        if len(self.small) > self.HELD:
+            self.small.clear()
+        self.small.update(zip(d.words(), n.tolist(), strict=True))
         return d.chars[d.which], n[d.which], d.bounds
 
 
