@@ -216,6 +216,12 @@ def normalise_title(title: Column) -> Column:
     return F.trim(out)
 
 
+def parsed(markets: DataFrame) -> DataFrame:
+    """Adds what structured matching compares: ``category``, the entities and ``normal``, the normal form of each title."""
+    title = F.col("title")
+    return markets.withColumns({"category": title_category(title), **{k: entity(title, k) for k in ENTITIES}, "normal": normalise_title(title)})
+
+
 def word_similarity(a: Column, b: Column) -> Column:
     """1 if equal, 0.8 if one holds the other, else shared distinct letters over the larger number of them."""
     letters = lambda x: F.array_distinct(F.split(x, ""))

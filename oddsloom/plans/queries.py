@@ -378,10 +378,10 @@ def category_keywords_home(m: DataFrame) -> DataFrame:
     return m.select("id", text.keyword_category(F.col("title"), text.HOME_CATEGORIES, "All").alias("category"))
 
 
-_title_case = "CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in text.TITLE_CATEGORIES) + " ELSE 'other' END"
+title_case_sql = "CASE " + " ".join(f"WHEN regexp_matches(title, '(?i){p}') THEN '{n}'" for n, p in text.TITLE_CATEGORIES) + " ELSE 'other' END"
 
 
-@query(f"SELECT id, {_title_case} AS category FROM x", rel.MARKET)
+@query(f"SELECT id, {title_case_sql} AS category FROM x", rel.MARKET)
 def category_regex_first(m: DataFrame) -> DataFrame:
     return m.select("id", text.title_category(F.col("title")).alias("category"))
 
@@ -435,7 +435,7 @@ def search_ladder_score(m: DataFrame) -> DataFrame:
     return found.select("id", r6("score").alias("score"))
 
 
-def _normal_sql(x: str) -> str:
+def normal_sql(x: str) -> str:
     out = f"lower({x})"
     for team, city in text.TITLE_CITIES.items():
         out = f"regexp_replace({out}, '\\b{team}\\b', '{city}', 'g')"
@@ -445,7 +445,7 @@ def _normal_sql(x: str) -> str:
     return f"trim({out})"
 
 
-@query(f"SELECT id, {_normal_sql('title')} AS normal FROM x", rel.MARKET)
+@query(f"SELECT id, {normal_sql('title')} AS normal FROM x", rel.MARKET)
 def title_normalize(m: DataFrame) -> DataFrame:
     return m.select("id", text.normalise_title(F.col("title")).alias("normal"))
 

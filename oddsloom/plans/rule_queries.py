@@ -9,6 +9,7 @@ from oddsloom.functions import display, rules, teams, text
 from oddsloom.functions.expressions import once
 from oddsloom.operators import matching, ranking, sports
 from oddsloom.plans import relations as rel
+from oddsloom.plans.queries import normal_sql, title_case_sql
 from oddsloom.plans.registry import query, r6, table
 
 # --- teams of titles --------------------------------------------------------------------------------------------------
@@ -68,6 +69,21 @@ def event_signatures(m: DataFrame) -> DataFrame:
     return rows.select("id", "signature", same.alias("same_event"), facing.alias("opposing"))
 
 
+_PARSED = ", ".join(f"nullif(regexp_extract(title, '{p}', 1), '') AS {k}" for k, p in text.ENTITIES.items())
+
+
+@query(
+    f""", p AS (SELECT id, {title_case_sql} AS category, {_PARSED}, {normal_sql('title')} AS normal FROM x)
+    SELECT p.*, p.category = q.category AS same_category FROM p JOIN p q ON q.id = p.id + 9""",
+    rel.MARKET,
+)
+def parsed_markets(m: DataFrame) -> DataFrame:
+    """What every title holds, and whether the market nine further is of its category."""
+    p = text.parsed(m.select("id", "title")).drop("title")
+    other = p.select((F.col("id") - 9).alias("id"), F.col("category").alias("b_category"))
+    return p.join(other, "id").withColumn("same_category", F.col("category") == F.col("b_category")).drop("b_category")
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
