@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, ctw, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
+from oddsloom.llm import binary_ids, chat, ctw, divergence, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -168,6 +168,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart in their terms, and the terms that each uses more than its language."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d
+), w AS (SELECT rid, lang, source, unnest(words) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), l AS (SELECT lang, coalesce(count(term), 0) AS v, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM g) LEFT JOIN k USING (lang) GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL
+), s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (s.total + 5 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+  FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_lm_scoring": op2_lm_scoring,
@@ -179,5 +209,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_binary_ids": op9_binary_ids,
     "op10_quality": op10_quality,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op13_source_divergence": OP13_SQL}

@@ -1,6 +1,6 @@
 """Hashes of all words of a batch of texts, from their bytes in Arrow's buffers.
 
-Words are ``[^\\x20\\x09-\\x0D]+``. One running sum over the bytes gives the hash of every word: a polynomial modulo
+Words are ``[^\\x20\\x09-\\x0D]+``, or runs of other bytes that a caller names. One running sum over the bytes gives the hash of every word: a polynomial modulo
 2**64 whose start is divided out, then mixed. Two different words share one with a chance of about 2**-64 a pair.
 """
 
@@ -20,6 +20,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]`` and of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]``; all bytes of a character beyond ASCII count alike.
+TERM = np.array([chr(b).isascii() and chr(b).isalpha() or b > 0x7F for b in range(256)])
+LOWER_OR_DIGIT = np.array([0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b > 0x7F for b in range(256)])
 #: A fixed random 64-bit value for each byte.
 VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -54,20 +57,21 @@ class Words:
         return mix((sums[self.ends] - sums[self.starts]) * powers(INVERSE, len(self.data))[self.starts])
 
 
-def scan(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """Slices of a column of texts, null as empty."""
+def scan(column: pa.Array, lower: bool = False, of: np.ndarray | None = None, size: int = SLICE) -> Iterator[Words]:
+    """Slices of about ``size`` bytes of a column of texts, null as empty; ``of`` are the bytes of words if not all that are not white."""
+    of = ~WHITE if of is None else of
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
-        size = np.diff(offsets[first : last + 1])
-        at = np.append(0, np.cumsum(size + 1))
-        data = np.insert(raw[offsets[first] : offsets[last]], np.cumsum(size), 10)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        sizes = np.diff(offsets[first : last + 1])
+        at = np.append(0, np.cumsum(sizes + 1))
+        data = np.insert(raw[offsets[first] : offsets[last]], np.cumsum(sizes), 10)
         if lower:
             data = LOWER[data]
-        black = ~WHITE[data]
+        black = of[data]
         change = np.flatnonzero(np.diff(black, prepend=False, append=False))
         starts, ends = change[::2], change[1::2]
         yield Words(first, last, data, at, starts, ends, np.append(0, np.searchsorted(starts, at[1:])))
