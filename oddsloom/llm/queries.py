@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, ctw, divergence, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
+from oddsloom.llm import binary_ids, chat, ctw, decontamination, divergence, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
 from oddsloom.llm.tables import read
 
 
@@ -168,6 +168,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie in passages of ten words of a benchmark item."""
+    return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), s AS (SELECT item_id, words, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos FROM b WHERE len(words) > 0
+), w AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS w FROM s
+), p AS (SELECT rid, n, words, unnest(range(1, len(words) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM w) WHERE len(words) >= n
+), h AS (SELECT rid, pos, w.n, item_id FROM (SELECT rid, pos, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') AS w FROM p) x JOIN w ON x.n = w.n AND x.w = w.w
+), c AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY rid
+), i AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language are apart in their terms, and the terms that each uses more than its language."""
     return divergence.audit(read(spark, sf_dir, "documents"))
@@ -209,6 +234,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_binary_ids": op9_binary_ids,
     "op10_quality": op10_quality,
+    "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_decontamination": OP12_SQL, "op13_source_divergence": OP13_SQL}
