@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsloom.llm import binary_ids, chat, ctw, decontamination, divergence, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits
+from oddsloom.llm import binary_ids, chat, ctw, decontamination, divergence, exact_dedup, lexicon, media, mixing, near_dedup, quality, token_edits, whitening
 from oddsloom.llm.tables import read
 
 
@@ -168,6 +168,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in the coordinates of their first eight components, each of variance one."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that lie in passages of ten words of a benchmark item."""
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -234,6 +239,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_binary_ids": op9_binary_ids,
     "op10_quality": op10_quality,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
 }
