@@ -122,9 +122,12 @@ def shard_counts(docs: DataFrame) -> DataFrame:
 
 
 def _parts(count: Column, total: Column, kept: Column) -> Column:
-    """A smoothed share in parts of ``PARTS``, rounded down and raised by one; products are decimals, so no count is too large."""
+    """A smoothed share in parts of ``PARTS``, rounded down and raised by one; products are decimals, so no count is too large.
+
+    Without kept terms there is nothing to share, and what this gives is not used.
+    """
     wide = (count + SMOOTH).cast("decimal(20,0)") * F.lit(PARTS).cast("decimal(10,0)")
-    return F.call_function("div", wide, (total + kept * SMOOTH).cast("decimal(20,0)")) + F.lit(1).cast("long")
+    return F.call_function("div", wide, F.greatest(total + kept * SMOOTH, F.lit(1)).cast("decimal(20,0)")) + F.lit(1).cast("long")
 
 
 def kept_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
