@@ -11,7 +11,7 @@ from oddsloom.functions import rules, teams
 from oddsloom.functions.expressions import once
 from oddsloom.functions.numbers import parse_volume
 from oddsloom.functions.text import extract_date
-from oddsloom.operators import arbitrage, matching, ranking
+from oddsloom.operators import arbitrage, matching, ranking, similarity
 
 KALSHI, POLYMARKET = "Kalshi", "Polymarket"
 
@@ -154,7 +154,7 @@ def similar_opportunities(vectors: DataFrame, markets: DataFrame, least: float =
     usable = markets.filter(rules.usable_title(F.col("title"))).withColumn("category", rules.vector_category(F.col("title")))
     place = F.create_map(*(F.lit(x) for i, p in enumerate((POLYMARKET, KALSHI, "PredictIt")) for x in (p, i)))
     rows = usable.join(vectors, "id").select("id", "category", F.element_at(place, F.col("platform")).alias("platform"), "vec")
-    pairs = matching.cosine_pairs(rows, least)
+    pairs = similarity.cosine_pairs(rows, least)
     side = lambda p: usable.select(F.col("id").alias(f"{p}id"), F.col("title").alias(f"{p}title"), F.col("price").alias(f"{p}price"))
     pairs = pairs.join(side(""), "id").join(side("b_"), "b_id")
     agree = F.when(F.col("category") == "sports", rules.sports_agree(F.col("title"), F.col("b_title"))).when(F.col("category") == "politics", rules.politics_agree(F.col("title"), F.col("b_title"))).otherwise(True)

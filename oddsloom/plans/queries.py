@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import numbers, teams, text
 from oddsloom.functions.expressions import once
-from oddsloom.operators import arbitrage, matching, ranking, snapshots
+from oddsloom.operators import arbitrage, matching, ranking, similarity, snapshots
 from oddsloom.plans import relations as rel
 from oddsloom.plans.registry import query, r6, table
 from oddsloom.streaming import snapshots as streaming
@@ -606,7 +606,7 @@ _COSINE = """, p AS (SELECT a.id, b.id AS b_id, a.category, round(list_cosine_si
 
 @query(_COSINE + "SELECT * FROM p WHERE similarity > 0.3", rel.VECTOR)
 def embedding_cosine_pairs(v: DataFrame) -> DataFrame:
-    return matching.cosine_pairs(v, 0.2999).withColumn("similarity", r6("similarity")).filter("similarity > 0.3")
+    return similarity.cosine_pairs(v, 0.2999).withColumn("similarity", r6("similarity")).filter("similarity > 0.3")
 
 
 @query(
@@ -615,7 +615,7 @@ def embedding_cosine_pairs(v: DataFrame) -> DataFrame:
     rel.VECTOR,
 )
 def embedding_similarity_stats(v: DataFrame) -> DataFrame:
-    return matching.similarity_stats(matching.cosine_counts(v))
+    return similarity.similarity_stats(similarity.cosine_counts(v))
 
 
 @query(
@@ -624,12 +624,12 @@ def embedding_similarity_stats(v: DataFrame) -> DataFrame:
     rel.VECTOR,
 )
 def embedding_similarity_histogram(v: DataFrame) -> DataFrame:
-    return matching.similarity_histogram(matching.cosine_counts(v))
+    return similarity.similarity_histogram(similarity.cosine_counts(v))
 
 
 @query(_COSINE + "SELECT * FROM p ORDER BY similarity DESC, id, b_id LIMIT 20", rel.VECTOR)
 def embedding_topk(v: DataFrame) -> DataFrame:
-    return matching.cosine_top(v, 20)
+    return similarity.cosine_top(v, 20)
 
 
 @query(relation=rel.MARKET)

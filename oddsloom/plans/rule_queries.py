@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import display, rules, teams, text
 from oddsloom.functions.expressions import once
-from oddsloom.operators import matching, ranking, sports
+from oddsloom.operators import matching, ranking, similarity, sports
 from oddsloom.plans import relations as rel
 from oddsloom.plans.queries import normal_sql, title_case_sql
 from oddsloom.plans.registry import query, r6, table
@@ -171,7 +171,7 @@ def title_subjects(m: DataFrame) -> DataFrame:
 def subject_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = rel.relation(spark, sf_dir, rel.MARKET).select("id", display.subject(F.col("title")).alias("category"), F.crc32("platform").alias("platform"))
     v = rel.relation(spark, sf_dir, rel.VECTOR).select("id", "vec")
-    return matching.cosine_pairs(m.join(v, "id"), 0.3).withColumn("similarity", r6("similarity"))
+    return similarity.cosine_pairs(m.join(v, "id"), 0.3).withColumn("similarity", r6("similarity"))
 
 
 @query(relation=rel.MARKET)
