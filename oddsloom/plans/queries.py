@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import numbers, teams, text
 from oddsloom.functions.expressions import once
-from oddsloom.operators import arbitrage, matching, ranking, similarity, snapshots
+from oddsloom.operators import arbitrage, matching, ranking, similarity, snapshots, text_joins
 from oddsloom.plans import relations as rel
 from oddsloom.plans.registry import query, r6, table
 from oddsloom.streaming import snapshots as streaming
@@ -500,6 +500,51 @@ def text_similarity_pairs(n: DataFrame) -> DataFrame:
     return pairs.filter("similarity >= 0.5").select(F.col("name").alias("a"), F.col("b_text").alias("b"), "similarity")
 
 
+@query(
+    """SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance
+    FROM x a JOIN x b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 3""",
+    _NAMES,
+)
+def levenshtein_close_pairs(n: DataFrame) -> DataFrame:
+    """Pairs of distinct names at a distance of at most three."""
+    return text_joins.edit_pairs(n, most=3)
+
+
+@query(
+    """SELECT a.name AS a, b.name AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity
+    FROM x a JOIN x b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= floor(0.25::DOUBLE * greatest(length(a.name), length(b.name)))""",
+    _NAMES,
+)
+def levenshtein_similar_pairs(n: DataFrame) -> DataFrame:
+    """Pairs of distinct names of which at most a quarter differs."""
+    pairs = text_joins.edit_pairs(n, least=0.75)
+    return pairs.select("a", "b", r6(1 - F.col("distance") / F.greatest(F.length("a"), F.length("b"))).alias("similarity"))
+
+
+_FUZZY = ["entertainment", "economics", "weather", "other"]
+
+
+@query(
+    f""", n AS (SELECT id, platform, {title_case_sql} AS category, {normal_sql('title')} AS normal FROM x),
+    t AS (SELECT DISTINCT category, normal, string_split(normal, ' ') AS w, list_filter(string_split(normal, ' '), lambda v: length(v) > 3) AS l FROM n
+      WHERE category IN ({', '.join(f"'{c}'" for c in _FUZZY)})),
+    p AS (SELECT a.category, a.normal AS a, b.normal AS b, a.w AS wa, b.w AS wb, a.l AS la, b.l AS lb FROM t a JOIN t b ON a.category = b.category),
+    k AS (SELECT *, 2 * len(list_filter(wa, lambda v: list_contains(wb, v))) / (len(wa) + len(wb)) AS dice,
+      (SELECT count(*) FROM (SELECT unnest(la) AS p) u WHERE EXISTS (SELECT 1 FROM (SELECT unnest(lb) AS q) z WHERE ({_wsim}) > 0.7 )) / greatest(len(la), len(lb), 1) AS key FROM p),
+    s AS (SELECT category, a, b, CASE WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) * 0.9
+      ELSE greatest(dice, key * 0.85, dice * 0.6 + key * 0.4) END AS similarity FROM k)
+    SELECT a.id, b.id AS b_id, category, round(similarity * 100, 6) AS confidence FROM n a JOIN s USING (category) JOIN n b USING (category)
+    WHERE a.normal = s.a AND b.normal = s.b AND similarity >= 0.9 AND a.id < b.id AND a.platform <> b.platform""",
+    rel.MARKET,
+)
+def category_title_pairs(m: DataFrame) -> DataFrame:
+    """Markets of two venues in one of the four categories without a matcher of their own, whose titles are similar by 0.9."""
+    rows = text.parsed(m).filter(F.col("category").isin(_FUZZY)).select("ord", "id", "platform", "category", "normal")
+    pairs = text_joins.similar_pairs(rows, "category", "normal", 0.9)
+    other = rows.select(F.col("ord").alias("b_ord"), F.col("id").alias("b_id"), F.col("platform").alias("b_platform"))
+    return pairs.join(other, "b_ord").filter("platform <> b_platform").select("id", "b_id", "category", r6(F.col("similarity") * 100).alias("confidence"))
+
+
 _DATES = """SELECT o_orderkey AS id, CASE o_orderkey % 6
     WHEN 0 THEN 'nfl-la-sea-' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN lower(strftime(o_orderdate, '%y%b%d'))
     WHEN 2 THEN 'on ' || strftime(o_orderdate, '%m/%d/%y') WHEN 3 THEN strftime(o_orderdate, '%b %d, %Y') || ' game'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import display, rules, teams, text
 from oddsloom.functions.expressions import once
-from oddsloom.operators import matching, ranking, similarity, sports
+from oddsloom.operators import matching, ranking, similarity, sports, text_joins
 from oddsloom.plans import relations as rel
 from oddsloom.plans.queries import normal_sql, title_case_sql
 from oddsloom.plans.registry import query, r6, table
@@ -177,11 +177,10 @@ def subject_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(relation=rel.MARKET)
 def subject_text_pairs(m: DataFrame) -> DataFrame:
     """Titles of two venues with one main subject that are similar by 0.9; tests hold it against a plain loop."""
-    rows = m.select("ord", "id", "platform", F.col("title").alias("raw"), text.normalise_title(F.col("title")).alias("normal"), display.main_subject(F.col("title")).alias("subject"))
-    b = rows.select("subject", F.col("ord").alias("b_ord"), F.col("id").alias("b_id"), F.col("platform").alias("b_platform"), F.col("normal").alias("b_normal"))
-    pairs = matching.dealt_join(rows.filter("subject IS NOT NULL"), b.filter("subject IS NOT NULL"), ["subject"], "ord", "b_ord").filter("ord < b_ord AND platform <> b_platform")
-    similar = pairs.withColumn("confidence", text.text_similarity(F.col("normal"), F.col("b_normal")) * 100).filter("confidence >= 90")
-    return similar.select("id", "b_id", "subject", r6("confidence").alias("confidence"))
+    rows = m.select("ord", "id", "platform", text.normalise_title(F.col("title")).alias("normal"), display.main_subject(F.col("title")).alias("subject"))
+    pairs = text_joins.similar_pairs(rows, "subject", "normal", 0.9)
+    other = rows.select(F.col("ord").alias("b_ord"), F.col("id").alias("b_id"), F.col("platform").alias("b_platform"))
+    return pairs.join(other, "b_ord").filter("platform <> b_platform").select("id", "b_id", "subject", r6(F.col("similarity") * 100).alias("confidence"))
 
 
 @query("SELECT DISTINCT title FROM x", rel.MARKET)
