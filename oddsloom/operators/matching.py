@@ -22,7 +22,7 @@ def dealt_join(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str
     """
     count = lambda rows, n, m: rows.groupBy(*keys).agg(F.count("*").alias(n)).withColumn(m, F.lit(0).cast("long"))
     sizes = count(a, "__m", "__n").unionByName(count(b, "__n", "__m")).groupBy(*keys).agg(F.sum("__m").alias("__m"), F.sum("__n").alias("__n"))
-    sizes = F.broadcast(sizes.filter(F.greatest("__m", "__n") > BLOCK).select(*keys, *(F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).alias(c) for c in ("__m", "__n"))))
+    sizes = sizes.filter(F.greatest("__m", "__n") > BLOCK).select(*keys, *(F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).alias(c) for c in ("__m", "__n")))
 
     def dealt(rows: DataFrame, by: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
         rows = rows.join(sizes, keys, "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oddsloom.functions.expressions import bound
+
 
 def rank_in(df: DataFrame, by: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -35,48 +39,64 @@ def round_robin_tail(df: DataFrame, platform: str, platform_order: list[str], li
     return both.select("id", F.row_number().over(Window.orderBy("tail", "k")).alias("place"))
 
 
-def interleaved(df: DataFrame, platform: str, platform_order: list[str], rounds: int, *order: Column | str) -> DataFrame:
-    """All rows in two phases: adds ``phase, round, turn``, the key to sort by.
+def interleaved(df: DataFrame, platform: str, platform_order: list[str], rounds: int, *keys: Column | str) -> DataFrame:
+    """All rows in two phases: adds ``phase, round, turn``, the key to sort by. ``keys`` rise with the rank.
 
     The first phase takes one row of each platform in turn, for at most ``rounds`` rounds and a third of the largest
     platform's; the second takes what is left the same way, also of no other platforms.
     """
     turn = F.coalesce(*(F.when(F.col(platform) == p, k) for k, p in enumerate(platform_order)))
-    ranked = rank_in(df.withColumn("turn", turn).filter("turn IS NOT NULL"), [platform], *order, name="round")
+    ranked = rank_by_ranges(df.withColumn("turn", turn).filter("turn IS NOT NULL"), platform, *keys, name="round")
     largest = df.groupBy(platform).agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
     ranked = ranked.withColumn("__rounds", F.least(F.lit(rounds), F.ceil(largest / len(platform_order))))
     late = F.col("round") > F.col("__rounds")
     return ranked.withColumn("phase", F.when(late, 1).otherwise(0)).withColumn("round", F.when(late, F.col("round") - F.col("__rounds")).otherwise(F.col("round"))).drop("__rounds")
 
 
-def rank_by_buckets(df: DataFrame, by: str, bucket: Column, *order: Column | str, name: str = "rank") -> DataFrame:
-    """Rank in each group from 1, in two levels: rows are numbered inside ``(by, bucket)`` and the buckets' sizes add up.
+#: Ranges that rows are dealt into for their ranks, and rows that the bounds of the ranges are taken from.
+RANGES, SAMPLED = 1024, 32_768
 
-    ``bucket`` must grow with the order, so that all rows of a lower bucket come first. Only buckets are sorted in one
-    task each, not groups.
-    """
-    rows = df.withColumn("__bucket", bucket)
-    sizes = rows.groupBy(by, "__bucket").agg(F.count("*").alias("__size"))
-    past = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(by).alias("__by"), F.col("__bucket").alias("__of"), F.coalesce(F.sum("__size").over(past), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(by, "__bucket").orderBy(*order))
-    ranked = rows.withColumn("__k", inside).join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("__by")) & F.col("__bucket").eqNullSafe(F.col("__of")))
-    return ranked.withColumn(name, F.col("__k") + F.col("__before")).drop("__bucket", "__by", "__of", "__before", "__k")
 
+def _splitters(keys: DataFrame) -> DataFrame:
+    """One row: at most ``RANGES`` bounds between keys (column ``k``), equally far apart in the ``SAMPLED`` keys of the smallest hashes."""
+    some = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLED)
+    line = some.agg(F.array_sort(F.collect_list("k")).alias("k"), F.ceil(F.count("*") / RANGES).cast("int").alias("step"))
+    every = F.filter("k", lambda _, place: place % F.greatest("step", F.lit(1)) == 0)
+    return line.select(F.array_distinct(every).alias("splitters"))
 
-def volume_level(volume: Column, id_: Column) -> Column:
-    """A bucket for an order of falling volume, then of rising number: a sixteenth of a doubling; zero volumes by number, 65,536 together.
 
-    There are at most some thousands of buckets of volume above zero, so their sizes are a small table.
-    """
-    level = F.when(volume > 0, -F.floor(F.log2(volume) * 16)).otherwise(F.lit(1 << 40))
-    return F.struct(level.alias("level"), F.when(volume > 0, F.lit(0)).otherwise(F.floor(id_ / 65536)).alias("run"))
+def _range_of(key: Column, splitters: Column) -> Column:
+    """How many of the sorted bounds are at most ``key``, found in a block of bounds and then inside the block."""
+    size = math.isqrt(RANGES)
+    upto = lambda some: F.size(F.filter(some, lambda s: s <= key))
+    heads = F.filter(splitters, lambda _, place: place % size == 0)
+    return bound(lambda block: F.when(block == 0, 0).otherwise((block - 1) * size + upto(F.slice(splitters, (block - 1) * size + 1, size))), upto(heads))
+
 
+def rank_by_ranges(df: DataFrame, by: str, *keys: Column | str, name: str = "rank") -> DataFrame:
+    """Ranks in each group from 1 by rising ``keys``, without a task that holds a group.
 
-def proportional_merge(df: DataFrame, platform: str, bucket: Column, *order: Column | str) -> DataFrame:
-    """Platforms merged so that each prefix holds them in proportion: adds ``share``, the key to sort by."""
+    Bounds sampled from all rows cut the order of (group, keys) into ranges. Rows are numbered in their range, and the
+    rows of the ranges before it are added: of ranges there are at most ``RANGES`` and one more a group. The bounds only
+    decide how even ranges are. Rows of equal keys are ranked in any order, in one range. The order must be of values
+    that rise as they rank: a falling number is given negated.
+    """
+    key = F.struct(F.col(by).alias("g"), *(k if isinstance(k, Column) else F.col(k) for k in keys))
+    rows = df.withColumn("__k", key)
+    cut = _splitters(rows.select(F.col("__k").alias("k"))).scalar()
+    rows = rows.withColumn("__cut", cut).withColumn("__range", _range_of(F.col("__k"), F.col("__cut"))).drop("__cut")
+    sizes = rows.groupBy(by, "__range").agg(F.count("*").alias("__size"))
+    past = Window.partitionBy(by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(by).alias("__by"), F.col("__range").alias("__of"), F.coalesce(F.sum("__size").over(past), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by, "__range").orderBy("__k"))
+    ranked = rows.withColumn("__row", inside).join(sizes, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__of")))
+    return ranked.withColumn(name, F.col("__row") + F.col("__before")).drop("__k", "__range", "__by", "__of", "__before", "__row")
+
+
+def proportional_merge(df: DataFrame, platform: str, *keys: Column | str) -> DataFrame:
+    """Platforms merged so that each prefix holds them in proportion: adds ``share``, the key to sort by. ``keys`` rise with the rank."""
     sizes = df.groupBy(F.col(platform).alias("__p")).agg(F.count("*").alias("__n"))
-    ranked = rank_by_buckets(df, platform, bucket, *order, name="__r").join(F.broadcast(sizes), F.col(platform).eqNullSafe(F.col("__p")))
+    ranked = rank_by_ranges(df, platform, *keys, name="__r").join(sizes, F.col(platform).eqNullSafe(F.col("__p")))
     return ranked.withColumn("share", (F.col("__r") - 0.5) / F.col("__n")).drop("__n", "__r", "__p")
 
 

@@ -41,7 +41,7 @@ def platform_round_robin_mix(m: DataFrame) -> DataFrame:
     rel.MARKET,
 )
 def platform_proportional_merge(m: DataFrame) -> DataFrame:
-    return ranking.proportional_merge(m, "platform", ranking.volume_level(F.col("volume"), F.col("id")), F.desc("volume"), "id").select("id", "platform", r6("share").alias("share"))
+    return ranking.proportional_merge(m, "platform", -F.col("volume"), "id").select("id", "platform", r6("share").alias("share"))
 
 
 @query("SELECT market_id, event_id, price FROM x QUALIFY row_number() OVER (PARTITION BY market_id ORDER BY event_id) = 1", rel.SNAPSHOT)

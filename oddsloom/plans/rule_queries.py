@@ -303,5 +303,5 @@ def round_robin_with_tail(m: DataFrame) -> DataFrame:
     rel.MARKET,
 )
 def platform_interleave(m: DataFrame) -> DataFrame:
-    out = ranking.interleaved(m.select("id", "platform", "volume"), "platform", _VENUES, 50, F.desc("volume"), "id")
+    out = ranking.interleaved(m.select("id", "platform", "volume"), "platform", _VENUES, 50, -F.col("volume"), "id")
     return out.select("id", "turn", "phase", F.col("round").cast("long").alias("round"))
