@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from oddsloom.functions.expressions import bound, lookup
+from oddsloom.functions.rewriting import replaced
 from oddsloom.functions.teams import names_in, teams_from_text
 from oddsloom.functions.text import extract_date
 
@@ -79,19 +79,14 @@ def longest_first(table: dict[str, str]) -> list[str]:
     return sorted(table, key=lambda k: -len(k))
 
 
-def words_replaced(text: Column, table: dict[str, str], order: list[str]) -> Column:
-    return reduce(lambda t, k: F.regexp_replace(t, rf"\b{re.escape(k)}\b", table[k]), order, text)
-
-
 def vector_title(title: Column) -> Column:
     """A title as it is turned into a vector: short forms spelt out, cities for nicknames and back for some, without fillers.
 
     Names are replaced one after the other, the longest first, so a city that was put in may be replaced again.
     """
-    out = words_replaced(F.lower(F.coalesce(title, F.lit(""))), VECTOR_SHORT, list(VECTOR_SHORT))
-    out = words_replaced(out, VECTOR_CITIES, longest_first(VECTOR_CITIES))
-    out = words_replaced(out, VECTOR_TEAMS, list(VECTOR_TEAMS))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\b(will|does|the|a|an)\b", " "), r"\s+", " "))
+    steps = [*VECTOR_SHORT.items(), *((k, VECTOR_CITIES[k]) for k in longest_first(VECTOR_CITIES)), *VECTOR_TEAMS.items()]
+    out = replaced(F.lower(F.coalesce(title, F.lit(""))), [*steps, *((w, " ") for w in ("will", "does", "the", "a", "an"))])
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def vector_category(title: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions.expressions import bound
 from oddsloom.functions.numbers import parse_volume
+from oddsloom.functions.rewriting import replaced
 
 # Words that a query's terms leave out.
 STOP_WORDS = "the a an and or but in on at to for of with by will be is are was were".split()
@@ -208,10 +209,8 @@ def search(markets: DataFrame, query: str) -> DataFrame:
 
 def normalise_title(title: Column) -> Column:
     """Lower case, cities for teams, without fillers and punctuation; amounts and percentages in words."""
-    out = F.lower(F.coalesce(title, F.lit("")))
-    for team, city in TITLE_CITIES.items():
-        out = F.regexp_replace(out, rf"\b{team}\b", city)
-    for pattern, put in ((rf"\b({FILLERS})\b", " "), (r"\$(\d+)([kmb]?)", "$1$2"), (r"(\d+)%", "$1 percent"), (r"[?!.,;:()\[\]{}'\"]", " "), (r"\s+", " ")):
+    out = replaced(F.lower(F.coalesce(title, F.lit(""))), [*TITLE_CITIES.items(), *((w, " ") for w in FILLERS.split("|"))])
+    for pattern, put in ((r"\$(\d+)([kmb]?)", "$1$2"), (r"(\d+)%", "$1 percent"), (r"[?!.,;:()\[\]{}'\"]", " "), (r"\s+", " ")):
         out = F.regexp_replace(out, pattern, put)
     return F.trim(out)
 
