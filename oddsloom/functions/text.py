@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oddsloom.functions.expressions import bound
+from oddsloom.functions.expressions import bound, once
 from oddsloom.functions.numbers import parse_volume
 from oddsloom.functions.rewriting import replaced
 
@@ -181,20 +181,20 @@ def search(markets: DataFrame, query: str) -> DataFrame:
     asked = next((name for name, words in API_CATEGORIES if any(k in f"{q} " for k in words)), "Other")
     wanted = [*originals, *synonyms]
     text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.array_join("outcomes", " ")))
-    m = markets.withColumn("__text", text)
-    m = m.withColumns({f"__w{k}": whole_word(F.col("__text"), t) for k, t in enumerate(wanted)})
-    whole = [F.col(f"__w{k}") for k in range(len(wanted))]
-    m = m.withColumns({f"__h{k}": w if len(t) <= 3 else w | F.col("__text").contains(t) for k, (w, t) in enumerate(zip(whole, wanted, strict=True))})
-    hit = [F.col(f"__h{k}") for k in range(len(wanted))]
+    # Flags are worked out once a row, as arrays: an expression for each use of each flag is too much code to compile.
+    m = once(markets, __text=text)
+    m = once(m, __whole=F.array(*(whole_word(F.col("__text"), t) for t in wanted)))
+    m = once(m, __hit=F.array(*(F.get("__whole", F.lit(k)) | (F.lit(len(t) > 3) & F.col("__text").contains(t)) for k, t in enumerate(wanted))))
+    count = lambda flags: F.size(F.filter(flags, lambda x: x))
     of_asked = F.lit(asked != "Other") & (keyword_category(F.col("__text"), API_CATEGORIES, "Other") == asked)
-    m = m.withColumns({
-        "__n": _count(hit),
-        "__w": _count(whole),
-        "__s": _count(hit[len(originals):]),
-        "__every": reduce(lambda a, b: a & b, hit[: len(originals)], F.lit(True)),
-        "__of_asked": of_asked,
-        "__exact": F.lower("title").contains(q),
-    })
+    m = once(m, __c=F.struct(
+        count("__hit").alias("n"),
+        count("__whole").alias("w"),
+        count(F.slice("__hit", len(originals) + 1, len(wanted))).alias("s"),
+        F.forall(F.slice("__hit", 1, len(originals)), lambda x: x).alias("every"),
+        of_asked.alias("of_asked"),
+        F.lower("title").contains(q).alias("exact"),
+    )).select(*markets.columns, *(F.col(f"__c.{c}").alias(f"__{c}") for c in ("n", "w", "s", "every", "of_asked", "exact")))
     n, w, s, every = (F.col(f"__{c}") for c in ("n", "w", "s", "every"))
     ladder = (
         F.when(F.col("__of_asked"), 100 + F.when(every, 100).otherwise(n * 20) + s * 10)

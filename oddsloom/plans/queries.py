@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import numbers, teams, text
 from oddsloom.functions.expressions import once
-from oddsloom.operators import arbitrage, matching, ranking, similarity, snapshots, text_joins
+from oddsloom.operators import arbitrage, matching, ranking, search, similarity, snapshots, text_joins
 from oddsloom.plans import relations as rel
 from oddsloom.plans.registry import query, r6, table
 from oddsloom.streaming import snapshots as streaming
@@ -435,6 +435,40 @@ def search_ladder_score(m: DataFrame) -> DataFrame:
     return found.select("id", r6("score").alias("score"))
 
 
+#: Queries made of titles: their first two words and their last two.
+_SEARCHES = """SELECT min(id) AS qid, query FROM (
+    SELECT id * 2 AS id, regexp_extract(title, '^([^ ]+ [^ ]+)', 1) AS query FROM x UNION ALL SELECT id * 2 + 1, regexp_extract(title, '([^ ]+ [^ ]+)$', 1) FROM x) w WHERE query <> '' GROUP BY query"""
+_stops = ", ".join(f"'{w}'" for w in text.SEARCH_STOP_WORDS)
+_wider = ", ".join(f"('{t}', '{s}')" for t, many in text.SYNONYMS.items() for s in many)
+
+
+@query(
+    f""", q AS (SELECT qid, lower(query) AS q, {_classes_sql("lower(query) || ' '", text.API_CATEGORIES, 'Other')} AS asked FROM ({_SEARCHES}) s),
+    w AS (SELECT DISTINCT qid, regexp_replace(w, '[^a-z0-9]', '', 'g') AS term FROM (SELECT qid, unnest(string_split(q, ' ')) AS w FROM q) u WHERE length(w) > 1 AND w NOT IN ({_stops}) AND regexp_matches(w, '[a-z0-9]')),
+    o AS (SELECT qid, term, TRUE AS own FROM w UNION ALL SELECT qid, regexp_replace(q, '[^a-z0-9\\s]', '', 'g'), TRUE FROM q WHERE qid NOT IN (SELECT qid FROM w)),
+    y AS (SELECT DISTINCT qid, syn AS term, FALSE AS own FROM w JOIN (VALUES {_wider}) v(t, syn) ON t = term WHERE (qid, syn) NOT IN (SELECT (qid, term) FROM w)),
+    t AS (SELECT * FROM o UNION ALL SELECT * FROM y),
+    d AS (SELECT *, lower(title) || ' yes no' AS t, regexp_extract_all(lower(title) || ' yes no', '[a-z0-9_]+') AS runs, {_classes_sql("(lower(title) || ' yes no')", text.API_CATEGORIES, 'Other')} AS category FROM x),
+    h AS (SELECT id, term, CASE WHEN contains(term, ' ') THEN contains(t, term) AND regexp_matches(t, '\\b' || term || '\\b') ELSE list_contains(runs, term) END AS whole, length(term) > 3 AND contains(t, term) AS part
+      FROM d, (SELECT DISTINCT term FROM t) a),
+    c AS (SELECT qid, id, count(*) FILTER (whole OR part) AS n, count(*) FILTER (whole) AS w, count(*) FILTER ((whole OR part) AND NOT own) AS s,
+      bool_and(whole OR part) FILTER (own) AS every, count(*) FILTER (own) AS terms FROM h JOIN t USING (term) GROUP BY qid, id),
+    l AS (SELECT c.*, contains(lower(title), q) AS exact, volume_text, CASE WHEN asked <> 'Other' AND asked = category THEN 100 + CASE WHEN every THEN 100 ELSE n * 20 END + s * 10
+      WHEN every THEN 150 + w * 20 + s * 10 WHEN n >= ceil(terms * 0.7::DOUBLE) THEN n * 15 + s * 5 WHEN terms = 1 AND n > 0 THEN 50 + s * 5 END AS ladder
+      FROM c JOIN q USING (qid) JOIN d USING (id))
+    SELECT qid, id, round(coalesce(ladder, 0) + CASE WHEN exact THEN 200 ELSE 0 END + least(
+      coalesce(try_cast(regexp_extract(volume_text, '(?i)([0-9.]+)\\s*([KMB]?)', 1) AS DOUBLE) * CASE upper(regexp_extract(volume_text, '(?i)([0-9.]+)\\s*([KMB]?)', 2))
+        WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END, 0) / 10000, 5), 6) AS score FROM l WHERE ladder IS NOT NULL OR exact""",
+    rel.MARKET,
+)
+def search_many_scores(m: DataFrame) -> DataFrame:
+    """What each of many queries finds, by one job over an index of tokens."""
+    head, tail = (m.select((F.col("id") * 2 + k).alias("id"), F.regexp_extract("title", p, 1).alias("query")) for k, p in enumerate(("^([^ ]+ [^ ]+)", "([^ ]+ [^ ]+)$")))
+    asked = head.unionByName(tail).filter("query != ''").groupBy("query").agg(F.min("id").alias("qid"))
+    markets = m.select("id", "title", "volume_text", F.array(F.lit("Yes"), F.lit("No")).alias("outcomes"))
+    return search.search_many(markets, asked).select("qid", "id", r6("score").alias("score"))
+
+
 def normal_sql(x: str) -> str:
     out = f"lower({x})"
     for team, city in text.TITLE_CITIES.items():
