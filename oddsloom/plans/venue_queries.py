@@ -12,7 +12,7 @@ from oddsloom.operators import histories, ranking, sports
 from oddsloom.plans import relations as rel
 from oddsloom.plans.queries import label_sql
 from oddsloom.plans.registry import query, table
-from oddsloom.sources import venues
+from oddsloom.sources import pages, venues
 
 # --- feeds ------------------------------------------------------------------------------------------------------------
 
@@ -81,6 +81,38 @@ def polymarket_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(venues.polymarket(polymarket_feed(spark, sf_dir)))
 
 
+def polymarket_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events fifty orders a page, in turn a bare list, under ``data``, under ``events``, an error and a text that breaks off, with bad entries."""
+    e = polymarket_feed(spark, sf_dir).withColumn("o", F.regexp_extract("slug", r"(\d+)$", 1).cast("long"))
+    text = F.to_json(F.struct(*(c for c in e.columns if c != "o")))
+    listed = e.groupBy(F.floor(F.col("o") / 50).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o", text.alias("t")))).alias("es"))
+    bad = ['"oops"', "17", "null", '{"id": null}', '{"title": "No identifier", "volumeNum": "many"}']
+    rows = F.concat(F.lit("["), F.array_join(F.concat(F.array(*map(F.lit, bad)), F.transform("es", lambda x: x.t)), ","), F.lit("]"))
+    kind = F.col("page_id") % 5
+    page = (
+        F.when(kind == 0, rows)
+        .when(kind == 1, F.concat(F.lit('{"data": '), rows, F.lit(', "events": 3}')))
+        .when(kind == 2, F.concat(F.lit('{"data": {}, "events": '), rows, F.lit("}")))
+        .when(kind == 3, F.concat(F.lit('{"error": "busy", "data": null}')))
+        .otherwise(F.expr("substring(rows, 1, length(rows) - 9)"))
+    )
+    return listed.withColumn("rows", rows).select("page_id", page.alias("page"))
+
+
+@query(f"SELECT * FROM ({_POLYMARKET}) p WHERE CAST(floor(CAST(split_part(id, ':', 2) AS BIGINT) / 50) AS BIGINT) % 5 < 3")
+def polymarket_trending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(venues.polymarket(pages.events(polymarket_pages(spark, sf_dir), venues.POLYMARKET)))
+
+
+@query(
+    """SELECT ['array', 'data', 'events', 'other', 'corrupt'][k + 1] AS shape, count(*) AS pages, CAST(sum(CASE WHEN k < 3 THEN n + 5 ELSE 0 END) AS BIGINT) AS events,
+      CAST(sum(CASE WHEN k < 3 THEN gone + 5 ELSE 0 END) AS BIGINT) AS dropped
+    FROM (SELECT CAST(floor(o_orderkey / 50) AS BIGINT) % 5 AS k, count(*) AS n, count(*) FILTER (o_orderkey % 50 = 0) AS gone FROM orders GROUP BY k, floor(o_orderkey / 50)) p GROUP BY k"""
+)
+def polymarket_page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.report(polymarket_pages(spark, sf_dir), venues.POLYMARKET)
+
+
 def kalshi_feed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Markets, events and series."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
