@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oddsloom.functions import questions
 from oddsloom.functions.text import text_similarity
 
 #: Rows of one key that meet others in one task; keys with more are dealt into blocks.
@@ -142,3 +143,23 @@ def slug_hits(events: DataFrame, slugs: DataFrame) -> DataFrame:
     known = slugs.groupBy("slug").agg(F.max("slug_id").alias("slug_id"))
     found = tried.join(known, "slug")
     return found.groupBy("id").agg(F.min(F.struct("priority", "slug", "slug_id")).alias("x")).select("id", "x.*")
+
+
+def question_pairs(markets: DataFrame) -> DataFrame:
+    """Pairs of markets of different platforms that ask the same: equal signature and subject, agreeing times and outcomes.
+
+    ``markets``: ``ord, id, platform, title, signature, subject, outcome, timeframe``; titles without a signature are left
+    out. A market with a year meets those of its year and the years beside it, and those without one: rows go out for
+    each, so that all meet by equal keys, and times of years far apart never do.
+    """
+    rows = markets.filter("signature != 'unknown' AND subject IS NOT NULL").withColumn("__year", questions.year_of(F.col("timeframe")))
+    dated, undated = F.lit(-1), F.lit(-2)
+    year = F.col("__year")
+    # Where a row stands: at its year, and with all that have one; those without stand together. And where it looks.
+    stands = F.when(year.isNull(), F.array(undated)).otherwise(F.array(year, dated))
+    looks = F.when(year.isNull(), F.array(undated, dated)).otherwise(F.array(year - 1, year, year + 1, undated))
+    left, right = rows.withColumn("__key", F.explode(looks)), rows.withColumn("__key", F.explode(stands))
+    columns = ["ord", "id", "platform", "title", "outcome", "timeframe"]
+    right = right.select("signature", "subject", "__key", *(F.col(c).alias(f"b_{c}") for c in columns))
+    pairs = dealt_join(left.select("signature", "subject", "__key", *columns), right, ["signature", "subject", "__key"], "id", "b_id").filter("ord < b_ord AND platform <> b_platform")
+    return pairs.filter(questions.same_outcome(F.col("title"), F.col("b_title"), F.col("outcome"), F.col("b_outcome"))).drop("__key")

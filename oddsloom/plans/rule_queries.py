@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.functions import display, rules, teams, text
+from oddsloom.functions import display, questions, rules, teams, text
 from oddsloom.functions.expressions import once
 from oddsloom.operators import matching, ranking, similarity, sports, text_joins
 from oddsloom.plans import relations as rel
@@ -305,3 +305,43 @@ def round_robin_with_tail(m: DataFrame) -> DataFrame:
 def platform_interleave(m: DataFrame) -> DataFrame:
     out = ranking.interleaved(m.select("id", "platform", "volume"), "platform", _VENUES, 50, -F.col("volume"), "id")
     return out.select("id", "turn", "phase", F.col("round").cast("long").alias("round"))
+
+
+# --- what titles ask --------------------------------------------------------------------------------------------------
+
+
+def _kind_sql(x: str, kinds: dict[str, list[str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f"""contains({x}, '{w}')""" for w in words)} THEN '{name}'" for name, words in kinds.items()) + f" ELSE {default} END"
+
+
+_OBJECTS = " ".join(rf"WHEN regexp_matches(title, '(?i){p}') THEN " + (rf"lower(regexp_extract(title, '(?i){p}'))" if name is None else f"'{name}'") for p, name in questions.OBJECTS)
+_TIMES = rf"coalesce(nullif(regexp_extract(normal, '\b(20\d\d)\b', 1), ''), {_kind_sql('normal', {m: [m] for m in text.LONG_MONTHS}, 'NULL')}, nullif(regexp_extract(normal, 'q[1-4]'), ''), CASE WHEN contains(normal, 'eoy') OR contains(normal, 'end of year') THEN 'end of year' WHEN contains(normal, 'this year') THEN 'this year' WHEN contains(normal, 'next year') THEN 'next year' END)"
+_ASKED = f"""SELECT id, id AS ord, platform, title, {_kind_sql('lower(title)', questions.SIGNATURES, "'unknown'")} AS signature, {_kind_sql('normal', questions.EVENTS, "'event'")} AS event_type,
+      {_kind_sql('normal', questions.ACTIONS, "'unknown'")} AS action, {_kind_sql('normal', questions.OUTCOMES, "'unknown'")} AS outcome, CASE {_OBJECTS} ELSE '' END AS object,
+      {_kind_sql("(' ' || lower(title))", {w: [f' {w} '] for w in questions.ASKED}, "'unknown'")} AS question_type, {_TIMES} AS timeframe,
+      coalesce(lower(nullif(regexp_extract(title, '(?i)\\$[\\d.]+[kmb]?'), '')), nullif(regexp_extract(title, '\\b(20\\d\\d)\\b', 1), ''), nullif(regexp_extract(title, '\\d+%'), '')) AS target,
+      array_to_string(list_filter(string_split(normal, ' '), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(f"'{w}'" for w in questions.NO_KEYWORD)}], w))[:5], '|') AS keywords
+    FROM (SELECT *, {normal_sql('title')} AS normal FROM x) n"""
+
+
+@query(f"SELECT id, signature, event_type, action, outcome, object, question_type, timeframe, target, keywords FROM ({_ASKED}) a", rel.MARKET)
+def question_components(m: DataFrame) -> DataFrame:
+    c = questions.components(m.select("id", "title"))
+    return c.select("id", "signature", "event_type", "action", "outcome", "object", "question_type", "timeframe", "target", F.array_join("keywords", "|").alias("keywords"))
+
+
+_YEAR = lambda side: rf"CAST(nullif(regexp_extract({side}.timeframe, '^20\d\d$'), '') AS INTEGER)"
+_SAME = " AND ".join(f"(contains(lower(a.title), '{w}') = contains(lower(b.title), '{w}') OR (contains(lower(b.title), '{w}') AND contains(lower(a.title), 'winner')))" for w in questions.DIRECTIONS)
+
+
+@query(
+    f""", q AS ({_ASKED})
+    SELECT a.id, b.id AS b_id, a.signature FROM q a JOIN q b ON a.signature = b.signature AND a.object = b.object AND a.ord < b.ord AND a.platform <> b.platform
+    WHERE a.signature <> 'unknown' AND (a.timeframe IS NULL OR b.timeframe IS NULL OR {_YEAR('a')} IS NULL OR {_YEAR('b')} IS NULL OR abs({_YEAR('a')} - {_YEAR('b')}) <= 1)
+      AND {_SAME} AND (a.outcome = b.outcome OR a.outcome = 'unknown' OR b.outcome = 'unknown') AND a.id % 4 = b.id % 4""",
+    rel.MARKET,
+)
+def question_same_pairs(m: DataFrame) -> DataFrame:
+    """Markets of two venues with one kind of question about one object (and one of four groups, in place of a subject)."""
+    c = questions.components(m.select("id", "ord", "platform", "title")).withColumn("subject", F.concat_ws("|", "object", F.col("id") % 4))
+    return matching.question_pairs(c).select("id", "b_id", "signature")
