@@ -10,6 +10,7 @@ from oddsloom.functions.expressions import once
 from oddsloom.operators import arbitrage, matching, ranking, search, similarity, snapshots, text_joins
 from oddsloom.plans import relations as rel
 from oddsloom.plans.registry import query, r6, table
+from oddsloom.sources import venues
 from oddsloom.streaming import snapshots as streaming
 
 AS_OF = "2024-01-31 00:00:00"
@@ -90,11 +91,9 @@ def filler_anti_join(m: DataFrame) -> DataFrame:
     JOIN (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey WHERE rank <= 120"""
 )
 def ranked_lookup_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(120)
-    listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("c_acctbal")).alias("a"), "c_custkey"))).alias("list"))
-    ranked = listed.select(F.posexplode("list").alias("place", "c")).select(F.col("c.c_custkey").alias("ticker"), (F.col("place") + 1).cast("long").alias("rank"))
-    events = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ticker")).agg(F.max("o_orderkey").alias("event"))
-    return events.join(F.broadcast(ranked), "ticker").orderBy("rank").select("ticker", "rank", "event")
+    listed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ticker"), F.struct((-F.col("c_acctbal")).alias("a"), "c_custkey").alias("place"))
+    events = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.col("o_orderkey").alias("ord"))
+    return venues.in_listed_order(events, listed, "ticker").select("ticker", "rank", F.col("ord").alias("event"))
 
 
 @query(

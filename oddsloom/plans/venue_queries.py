@@ -351,3 +351,34 @@ def kalshi_event_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fallback = other.select("ticker", own.alias("own"), F.when(F.col("c_custkey") % 2 == 0, F.col("markets")).otherwise(empty).alias("markets"))
     found = histories.event_markets(asked.select("ticker"), events, listed, fallback)
     return found.select("ticker", "source", F.array_join("markets", ",").alias("markets"))
+
+
+# --- the venues' own lists --------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT ticker, title FROM (SELECT o_orderkey AS ord, 'KX' || CASE WHEN o_orderkey % 2 = 0 THEN 'NFL' ELSE 'NBA' END || 'GAME-' || o_orderkey AS ticker, CASE WHEN o_orderkey % 2 = 0 THEN 'short' ELSE 'Event number ' || o_orderkey END AS title
+      FROM orders WHERE o_orderkey % 3 = 0) e
+    WHERE contains(lower(title || ' ' || ticker), 'number') AND contains(lower(title || ' ' || ticker), 'kxnbagame') ORDER BY ord LIMIT 20"""
+)
+def kalshi_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty events of Kalshi's own feed that have all terms."""
+    events = kalshi_feed(spark, sf_dir)[1].withColumn("ord", F.regexp_extract("ticker", r"(\d+)$", 1).cast("long"))
+    return venues.search_kalshi(events, "the number of KXNBAGAME!").select("ticker", "title")
+
+
+_MATCHED = "SELECT l_partkey * 10 + l_linenumber AS id, l_orderkey, 0.30 + 4 * l_discount AS kalshi, 0.25 + 5 * l_tax AS poly, l_extendedprice AS volume FROM lineitem"
+
+
+@query(
+    f"""SELECT id, CASE WHEN poly < kalshi THEN 'Polymarket' ELSE 'Kalshi' END AS buy_platform, round(least(poly, kalshi), 6) AS buy_price, round(greatest(poly, kalshi), 6) AS sell_price,
+      round(abs(poly - kalshi) * 100, 6) AS spread, round(volume, 2) AS total_volume
+    FROM (SELECT *, row_number() OVER (ORDER BY round(volume, 2) DESC, id) AS r FROM ({_MATCHED}) m WHERE volume >= 5000) r WHERE r <= 200"""
+)
+def external_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two hundred matches of another service with the largest volume, as opportunities."""
+    m = table(spark, sf_dir, "lineitem").select(F.expr("l_partkey * 10 + l_linenumber").alias("matchId"), (0.30 + 4 * F.col("l_discount")).alias("k"), (0.25 + 5 * F.col("l_tax")).alias("p"), F.round("l_extendedprice", 2).alias("combinedVolume"))
+    side = lambda price: F.struct(F.lit("m").alias("marketId"), F.col(price).alias("yesPrice"))
+    fed = _read(m.select("matchId", side("p").alias("polymarket"), side("k").alias("kalshi"), F.abs(F.col("p") - F.col("k")).alias("spread"), F.lit(0.0).alias("spreadPercent"), "combinedVolume"), venues.MATCHES)
+    top = venues.top_matches(fed, 200, 5000, "volume")
+    return top.select("id", "buy_platform", F.round("buy_price", 6).alias("buy_price"), F.round("sell_price", 6).alias("sell_price"), F.round("spread", 6).alias("spread"), "total_volume")

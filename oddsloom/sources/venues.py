@@ -195,3 +195,35 @@ def front_page(markets: DataFrame, n: int = 300) -> DataFrame:
     caps = {"Polymarket": min(n, 2000 if wide else 500), "Kalshi": 500 if wide else min(n, 500), "PredictIt": 50 if wide else min(n, 50)}
     cap = F.coalesce(*(F.when(F.col("platform") == p, c) for p, c in caps.items()), F.lit(0))
     return top_per(markets.withColumn("__cap", cap), ["platform"], F.col("__cap"), F.desc("volume"), "id").drop("__cap")
+
+
+def search_kalshi(events: DataFrame, query: str, n: int = 20, order: str = "ord") -> DataFrame:
+    """The first ``n`` events, in the feed's order, whose title and ticker have all terms of a query; none for a query without terms.
+
+    ``events`` has ``ticker, title`` and ``order``. Terms of up to three letters count as whole words only.
+    """
+    from oddsloom.functions.text import all_terms, query_terms
+
+    terms = query_terms(query)
+    text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("ticker", F.lit(""))))
+    return events.filter(all_terms(text, terms) if terms else F.lit(False)).orderBy(order).limit(n)
+
+
+def top_matches(rows: DataFrame, n: int = 20, least_volume: float = 5000, by: str = "spread") -> DataFrame:
+    """External matches (``MATCHES``) of ``least_volume`` or more, the ``n`` with the largest ``spread`` or ``volume``, as opportunities."""
+    column = {"spread": "spread", "volume": "combinedVolume"}[by]
+    return matches(rows.filter(F.col("combinedVolume") >= least_volume).orderBy(F.desc(column), "matchId").limit(n))
+
+
+def in_listed_order(events: DataFrame, listed: DataFrame, key: str, most: int = 120) -> DataFrame:
+    """The events that a list names, in the list's order: adds ``rank`` from 1. ``listed`` has the key and ``place``, of which the first ``most`` count.
+
+    Only the listed keys leave the list; the last event of a key that comes more than once is taken, by ``ord``.
+    """
+    first = listed.filter(F.col(key).isNotNull()).orderBy("place").limit(most)
+    # The list is short by its bound, so its order is found in one row.
+    one = first.agg(F.array_sort(F.collect_list(F.struct("place", key))).alias("keys"))
+    ranked = one.select(F.posexplode("keys").alias("at", "k")).select(F.col(f"k.{key}").alias(key), (F.col("at") + 1).cast("long").alias("rank"))
+    rest = [c for c in events.columns if c != key]
+    last = events.join(ranked, key, "left_semi").groupBy(key).agg(F.max_by(F.struct(*rest), "ord").alias("event"))
+    return ranked.join(last, key).select(key, "rank", "event.*").orderBy("rank")

@@ -104,3 +104,16 @@ def test_stream(spark, tmp_path):
     q = hours.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.hour.day, r.last_value, r.n) for r in spark.table("hours").collect()) == [(1, 1.0, 2), (2, 2.0, 2), (3, 3.0, 1)]
+
+
+def test_search_of_a_feed(spark):
+    events = spark.createDataFrame([(3, "KXNFL-1", "Saints at Rams"), (1, "KXNFL-2", "The nfl draft"), (2, None, "NFLX price"), (4, "nfl", None)], "ord int, ticker string, title string")
+    ids = lambda q, n=20: [r.ord for r in venues.search_kalshi(events, q, n).collect()]
+    assert ids("NFL") == [1, 4] and ids("will the kxnfl") == [1, 3] and ids("kxnfl", 1) == [1] and ids("the of") == [] and ids("saints draft") == []
+
+
+def test_events_in_listed_order(spark):
+    events = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "b"), ("x", 1, "x")], "ticker string, ord int, title string")
+    listed = spark.createDataFrame([("b", 5), ("missing", 1), ("a", 9), (None, 0), ("x", 10)], "ticker string, place int")
+    got = [(r.ticker, r.rank, r.title) for r in venues.in_listed_order(events, listed, "ticker", 3).collect()]
+    assert got == [("b", 2, "b"), ("a", 3, "new")]
