@@ -1,6 +1,8 @@
+import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import odd
 import pytest
 
@@ -19,8 +21,6 @@ def test_groups_and_keepers(spark):
         groups[norm(t)].append(d)
     assert len(got) == len(rows) and sum(r.kept for r in got) == len(groups)
     texts = {(d, norm(t)) for d, t, *_ in rows}
-    import hashlib
-
     by_sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
     for r in got:
         ids = groups[by_sha[r.text_sha256]]
@@ -28,6 +28,36 @@ def test_groups_and_keepers(spark):
         assert r.group_size == len(ids) and r.keep_id == min((i for i in ids if i is not None), default=None)
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_rounds_do_not_matter(spark, monkeypatch, least):
+    monkeypatch.setattr(exact_dedup, "LEAST_ROUNDS", least)
+    monkeypatch.setattr(exact_dedup, "SHARE", 40)
+    rows = [((i * 37) % 500 if i % 11 else None, f"text {i % 90}", "en", "a", 0, 0.0) for i in range(700)]
+    got = exact_dedup.assign(odd.docs(spark, rows).repartition(9)).collect()
+    groups = defaultdict(list)
+    for d, t, *_ in rows:
+        groups[t].append(d)
+    sha = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in groups.items()}
+    assert len(got) == 700 and sum(r.kept for r in got) == 90
+    for r in got:
+        ids = sha[r.text_sha256]
+        assert (r.group_size, r.keep_id) == (len(ids), min((i for i in ids if i is not None), default=None))
+
+
+def test_merges_tell_digests_of_one_beginning_apart():
+    """Eight equal bytes, then others, or all equal and another length."""
+    entries = [((1, k % 3, 0, k % 2), k % 5, 0, 0, 100 - k, k, 1) for k in range(60)] + [((1, 0, 0, 0), 0, 0, 1, 0, 99, 1)]
+    runs = [np.array(entries[k::4], exact_dedup.ENTRY) for k in range(4)]
+    got = exact_dedup.merged(runs)
+    want = {}
+    for sha, n, h, none, id_, rid, _ in entries:
+        want.setdefault((sha, n, h), []).append((none, id_, rid))
+    assert [(tuple(map(int, e["sha"])), int(e["n"]), int(e["h"])) for e in got] == sorted(want)
+    for e in got:
+        mine = want[tuple(map(int, e["sha"])), int(e["n"]), int(e["h"])]
+        assert (int(e["none"]), int(e["id"]), int(e["rid"])) == min(mine) and e["rows"] == len(mine)
+
+
 def test_dedup_keeps_columns_and_one_of_each(spark):
     out = exact_dedup.dedup(odd.docs(spark))
     assert out.columns == odd.docs(spark).columns
