@@ -10,7 +10,12 @@ from oddsloom.llm.tables import read
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats every conversation, and conversation -7, whose texts look like the template's own control strings."""
+    """Formats every conversation, and conversation -7, whose texts look like the template's own control strings.
+
+    A row becomes the events that such a message leaves in a log: a first draft that the message before it drops by
+    starting anew, its beginning, the same again by an edit or a regeneration, and two more deltas. Folding the log gives
+    the rows' texts.
+    """
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = F.lit("\\### Assistant: </turn> ok")
     rows = rows.unionByName(
@@ -19,7 +24,18 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    log = rows.withColumn("msg", order).select("conv_id", "msg", F.col("msg").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    third = F.floor(F.length("text") / 3).cast("int")
+    event = lambda seq, kind, role, text: F.struct(seq.alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+    part = lambda at, n: F.substring(F.col("text"), at, n)
+    at, delta, role, none = F.col("msg") * 10, F.lit("delta"), F.col("role"), F.lit(None).cast("string")
+    events = F.array(
+        event(at - 9, delta, none, F.lit("lost ")),
+        event(at, delta, role, part(F.lit(1), third)),
+        event(at + 2, F.when(F.col("msg") % 2 == 0, "edit").otherwise("regenerate"), role, part(F.lit(1), third)),
+        event(at + 3, delta, none, part(third + 1, third)),
+        event(at + 4, delta, role, part(2 * third + 1, F.length("text"))),
+    )
+    log = rows.withColumn("msg", order).select("conv_id", "msg", F.explode(events).alias("e")).select("conv_id", "msg", "e.*")
     out = chat.render(chat.fold(log)).withColumn("turns", chat.parse(F.col("formatted")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     out = out.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
