@@ -10,8 +10,12 @@ from (context, byte) to a code length, and a text's score is the sum over its by
 Training is a count of (context, byte) windows and words over all texts, dealt out by key. The tree's deep parts are
 worked out in tasks that each hold all contexts with the same last two bytes; nodes of depth one and nought (at most
 65 536 + 256, whatever the corpus) meet on the driver. Windows that only texts outside the training set have are nodes
-with no counts, so scoring never misses. The tables are broadcast while they have at most ``BROADCAST_ROWS`` rows;
-beyond that, texts' windows are joined to them by key.
+with no counts, so scoring never misses. A text's score is a sum over its words and windows, so the tables are dealt
+by key into blocks of about ``BLOCK_ROWS`` rows, and each block is broadcast in turn and adds what it knows: one pass
+over the texts for each block, however many there are. Between passes the texts lie with their sums in the shared folder.
+
+Words are told apart by 63 bits of their hashes: among 10**9 different words two share one with a chance of about 5 %,
+which would count them as one word.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsloom.llm import words
-from oddsloom.llm.tables import in_batches, written
+from oddsloom.llm.tables import in_batches, release, written
 
 DEPTH = 5
-BROADCAST_ROWS = 6_000_000
+#: Rows of the model that a worker holds at once: about 72 MB.
+BLOCK_ROWS = 6_000_000
 #: Windows and words that a task holds before it sends them on.
 HELD = 2_000_000
 GRAM, WORD = 0, 1
@@ -330,34 +336,22 @@ def _totals(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), value, len(bounds) - 1)
 
 
+SUMS = "n_known long, logs double, score double"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 
-def _result(batch: pa.RecordBatch, w: words.Words, n: int, v: int, known: np.ndarray, logs: np.ndarray, score: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    tokens = np.diff(w.bounds) + 1
-    rows = w.last - w.first
-    part = [batch.column(c).slice(w.first, rows) for c in (1, 2)]
-    return pa.RecordBatch.from_arrays(
-        [*part, pa.array(tokens), pa.array(known.astype(np.int64)), pa.array(np.full(rows, n, np.int64)), pa.array(logs - tokens * np.log10(n + 1.0 * (v + 1))), pa.array(score), pa.array(size.astype(np.int64)), pa.array(-score / np.log10(2) / size)],
-        names=[c.split()[0] for c in OUT.split(", ")],
-    )
-
+def _blocks(vocabulary: DataFrame, lengths: DataFrame, n: int, most: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The words' counts and the windows' code lengths, broadcast a block of both at a time, ``most`` in all, and whether it is the last."""
+    for k in range(most):
+        mine = F.pmod(F.xxhash64("key"), F.lit(most)) == k
+        tables = _collected(vocabulary.filter(mine), "<u4" if n < 1 << 32 else "<u8"), _collected(lengths.filter(mine), "<f4")
+        shared = vocabulary.sparkSession.sparkContext.broadcast(tables)
+        del tables
+        yield shared, k == most - 1
 
-def score(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of ``docs``: its words' base score and its score by the tree, with code length per byte.
 
-    Null and empty texts are the end alone, one token and one byte. Without any training text the tree gives every
-    decision 1/2. Null identifiers belong to the training texts. Repeated rows count each; other columns are ignored; an empty
-    table gives no rows.
-    """
-    counts = written(count(docs), "counts", "kind")
-    vocabulary = counts.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    lengths = written(train(counts), "lengths")
-    rows = docs.select("text", F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"))
-    if v + lengths.count() > broadcast_rows:
-        return _score_by_join(rows, vocabulary, lengths, n, v)
-    shared = docs.sparkSession.sparkContext.broadcast((_collected(vocabulary, "<u4" if n < 1 << 32 else "<u8"), _collected(lengths, "<f4")))
+def _added(shared: Broadcast, last: tuple[int, int] | None):
+    """Adds what a block knows of each text; with ``last``, the numbers of training words and of different ones, it gives the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, tree = shared.value
@@ -366,34 +360,42 @@ def score(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
                 data, bounds = stream(w)
                 c = seen.get(word_keys(w)).astype(np.int64)
                 end = int(seen.get(np.array([END_WORD]))[0])
-                known = _totals(c > 0, w.bounds) + (end > 0)
-                logs = _totals(np.log10(c + 1.0), w.bounds) + np.log10(end + 1.0)
-                yield _result(batch, w, n, v, known, logs, _totals(tree.get(windows(data, bounds)), bounds), np.diff(bounds))
-
-    return in_batches(rows, run, OUT)
-
-
-def _score_by_join(rows: DataFrame, vocabulary: DataFrame, lengths: DataFrame, n: int, v: int) -> DataFrame:
-    """The same without a broadcast: each text's distinct windows and words are joined to the tables by key."""
+                text, doc, out, *before = (x.slice(w.first, w.last - w.first) for x in batch.columns)
+                known, logs, score = (x.to_numpy() for x in before)
+                known = known + (_totals(c > 0, w.bounds) + (end > 0)).astype(np.int64)
+                logs = logs + _totals(np.log10(c + 1.0), w.bounds) + np.log10(end + 1.0)
+                score = score + _totals(tree.get(windows(data, bounds)), bounds)
+                if last is None:
+                    yield pa.RecordBatch.from_arrays([text, doc, out, *map(pa.array, (known, logs, score))], names=["text", "doc_id", "held_out", "n_known", "logs", "score"])
+                    continue
+                (n, v), tokens, size = last, np.diff(w.bounds) + 1, np.diff(bounds)
+                base = logs - tokens * np.log10(n + 1.0 * (v + 1))
+                result = tokens, known, np.full(len(tokens), n, np.int64), base, score, size.astype(np.int64), -score / np.log10(2) / size
+                yield pa.RecordBatch.from_arrays([doc, out, *map(pa.array, result)], names=[c.split()[0] for c in OUT.split(", ")])
+
+    return run
+
+
+def score(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per row of ``docs``: its words' base score and its score by the tree, with code length per byte.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in words.scan(batch.column(0), lower=True):
-                data, bounds = stream(w)
-                ends = np.full(w.last - w.first, END_WORD)
-                for kind, keys, cut in ((GRAM, windows(data, bounds), bounds), (WORD, np.insert(word_keys(w), w.bounds[1:], ends), w.bounds + np.arange(len(w.bounds)))):
-                    owner = np.repeat(np.arange(w.first, w.last), np.diff(cut))
-                    order = np.lexsort((keys, owner))
-                    keys, owner = keys[order], owner[order]
-                    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])))
-                    mine = pa.array(owner[first])
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(mine), batch.column(2).take(mine), batch.column(3).take(mine), pa.array(np.full(len(first), kind, np.int32)), pa.array(keys[first].view(np.int64)), pa.array(np.diff(first, append=len(keys)))], names=["doc_id", "held_out", "row", "kind", "key", "times"])
-
-    found = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc_id long, held_out boolean, row long, kind int, key long, times long")
-    table = vocabulary.select(F.lit(WORD).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("value"), F.lit(1).alias("hit")).unionByName(lengths.select(F.lit(GRAM).alias("kind"), "key", F.col("value").cast("double").alias("value"), F.lit(0).alias("hit")))
-    each = found.join(table, ["kind", "key"], "left").groupBy("row", "doc_id", "held_out")
-    word = F.col("kind") == WORD
-    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
-    sums = each.agg(total(F.when(word, F.col("times"))).alias("n_tokens"), total(F.when(word, F.col("times") * F.col("hit"))).alias("n_known"), total(F.when(word, F.col("times") * F.col("value"))).alias("logs"), total(F.when(~word, F.col("times") * F.col("value"))).alias("score"), total(F.when(~word, F.col("times"))).alias("n_bytes"))
-    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(n + 1.0 * (v + 1))))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"))
+    Null and empty texts are the end alone, one token and one byte. Without any training text the tree gives every
+    decision 1/2. Identifiers are whole numbers; null ones belong to the training texts. Repeated rows count each; other
+    columns are ignored; an empty table gives no rows.
+    """
+    counts = written(count(docs), "counts", "kind")
+    vocabulary = counts.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
+    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    lengths = written(train(counts), "lengths")
+    none = [F.lit(0).cast(kind).alias(name) for name, kind in (x.split() for x in SUMS.split(", "))]
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *none)
+    passes, passed = max(1, -(-(v + lengths.count()) // block_rows)), None
+    for shared, last in _blocks(vocabulary, lengths, n, passes):
+        if last:
+            break
+        rows = written(in_batches(rows, _added(shared, None), f"text string, doc_id long, held_out boolean, {SUMS}"), "score-pass")
+        shared.destroy()
+        if passed is not None:
+            release(passed)
+        passed = rows
+    return in_batches(rows, _added(shared, (n, v)), OUT)

@@ -99,11 +99,11 @@ def texts():
     return [*rows, (100, None), (101, ""), (102, " \t\n"), (103, "the\n\nthe  a "), (103, "the\n\nthe  a "), (None, "zz the"), (5, "only here: qqq")]
 
 
-@pytest.mark.parametrize("limit", [ctw.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [ctw.BLOCK_ROWS, 700, 150])
 def test_scores_equal_the_recursion(spark, limit):
     rows = texts()
     df = spark.createDataFrame([(d, t, "xx") for d, t in rows], SCHEMA).repartition(3)
-    got, want = rows_of(ctw.score(df, broadcast_rows=limit)), brute(rows)
+    got, want = rows_of(ctw.score(df, block_rows=limit)), brute(rows)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:4] == w[:4]
