@@ -517,6 +517,16 @@ _wsim = """CASE WHEN p = q THEN 1 WHEN contains(p, q) OR contains(q, p) THEN 0.8
   ELSE len(list_intersect(list_distinct(string_split(p, '')), list_distinct(string_split(q, '')))) / greatest(len(list_distinct(string_split(p, ''))), len(list_distinct(string_split(q, '')))) END"""
 
 
+def similarity_sql(a: str, b: str) -> str:
+    """The similarity of two different, trimmed texts in lower case without double spaces; neither is empty."""
+    wa, wb = (f"string_split({t}, ' ')" for t in (a, b))
+    la, lb = (f"list_filter({w}, lambda v: length(v) > 3)" for w in (wa, wb))
+    dice = f"(2 * len(list_filter({wa}, lambda v: list_contains({wb}, v))) / (len({wa}) + len({wb})))"
+    key = f"((SELECT count(*) FROM (SELECT unnest({la}) AS p) u WHERE EXISTS (SELECT 1 FROM (SELECT unnest({lb}) AS q) z WHERE ({_wsim}) > 0.7)) / greatest(len({la}), len({lb}), 1))"
+    return f"""CASE WHEN contains({a}, {b}) OR contains({b}, {a}) THEN least(length({a}), length({b})) / greatest(length({a}), length({b})) * 0.9
+      ELSE greatest({dice}, {key} * 0.85, {dice} * 0.6 + {key} * 0.4) END"""
+
+
 @query(
     f""", n AS (SELECT lower(name) AS name, string_split(lower(name), ' ') AS w, row_number() OVER (ORDER BY name) AS ord FROM x),
     p AS (SELECT a.name AS a, b.name AS b, a.w AS wa, b.w AS wb, list_filter(a.w, lambda v: length(v) > 3) AS la, list_filter(b.w, lambda v: length(v) > 3) AS lb
@@ -657,9 +667,18 @@ def event_signature_band_join(g: DataFrame) -> DataFrame:
     return pairs.select("id", "b_id", "signature")
 
 
-@query(relation=rel.GAME)
+@query(
+    """, f AS (SELECT signature, day, min(ord) AS ord, row_number() OVER (PARTITION BY signature ORDER BY min(ord)) AS k FROM x WHERE day IS NOT NULL AND signature IS NOT NULL GROUP BY signature, day),
+    o AS (SELECT * FROM (WITH RECURSIVE w AS (
+        SELECT signature, k, day, ord, [day] AS opened, TRUE AS opens FROM f WHERE k = 1
+        UNION ALL SELECT f.signature, f.k, f.day, f.ord, CASE WHEN list_has_any(opened, [f.day - 1, f.day + 1]) THEN opened ELSE list_append(opened, f.day) END, NOT list_has_any(opened, [f.day - 1, f.day + 1])
+        FROM w JOIN f ON f.signature = w.signature AND f.k = w.k + 1) SELECT * FROM w WHERE opens) r)
+    SELECT x.id, x.signature, CAST(arg_min(o.day, CASE WHEN o.day = x.day THEN 0 WHEN o.day < x.day THEN 1 ELSE 2 END) AS VARCHAR) AS group_day
+    FROM x LEFT JOIN o ON o.signature = x.signature AND o.ord <= x.ord AND o.day BETWEEN x.day - 1 AND x.day + 1 GROUP BY x.id, x.signature""",
+    rel.GAME,
+)
 def event_signature_groups(g: DataFrame) -> DataFrame:
-    """Greedy in order of arrival; tests hold it against a plain loop."""
+    """Greedy in order of arrival."""
     return matching.greedy_groups(g).select("id", "signature", F.col("group_day").cast("string").alias("group_day"))
 
 

@@ -9,7 +9,7 @@ from oddsloom.functions import display, questions, rules, teams, text
 from oddsloom.functions.expressions import once
 from oddsloom.operators import matching, ranking, similarity, sports, text_joins
 from oddsloom.plans import relations as rel
-from oddsloom.plans.queries import normal_sql, title_case_sql
+from oddsloom.plans.queries import normal_sql, similarity_sql, title_case_sql
 from oddsloom.plans.registry import query, r6, table
 
 # --- teams of titles --------------------------------------------------------------------------------------------------
@@ -174,9 +174,25 @@ def subject_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.cosine_pairs(m.join(v, "id"), 0.3).withColumn("similarity", r6("similarity"))
 
 
-@query(relation=rel.MARKET)
+_SIDE = lambda k: rf"trim(regexp_replace(trim(regexp_extract(low, '([^atvs]+)\s+(?:at|vs|v\.?|versus)\s+(.+)', {k})), '\s+({display.SIDE_NAMES})\s*$', ''))"
+_MAIN = (
+    "CASE " + " ".join(f"WHEN contains(low, '{s}') THEN '{display.ALIASES.get(s, s)}'" for s in display.MAIN_SUBJECTS)
+    + f" WHEN {_SIDE(1)} <> '' AND {_SIDE(2)} <> '' THEN left({_SIDE(1)} || '_' || {_SIDE(2)}, 50)"
+    + " ELSE coalesce(lower(list_filter(string_split(title, ' '), lambda w: w <> '' AND w[1] = upper(w[1]))[1]), list_filter(string_split(low, ' '), lambda w: length(w) > 3)[1], 'unknown') END"
+)
+
+
+@query(
+    f""", n AS (SELECT id, ord, platform, title, lower(title) AS low, {normal_sql('title')} AS normal FROM x),
+    m AS (SELECT *, {_MAIN} AS subject FROM n),
+    d AS (SELECT DISTINCT subject, normal FROM m),
+    s AS (SELECT a.subject, a.normal AS a, b.normal AS b, CASE WHEN a.normal = b.normal THEN 1 ELSE {similarity_sql('a.normal', 'b.normal')} END AS similarity FROM d a JOIN d b ON a.subject = b.subject)
+    SELECT a.id, b.id AS b_id, a.subject, round(similarity * 100, 6) AS confidence FROM m a JOIN s ON s.subject = a.subject AND s.a = a.normal JOIN m b ON b.subject = s.subject AND b.normal = s.b
+    WHERE a.ord < b.ord AND a.platform <> b.platform AND similarity >= 0.9""",
+    rel.MARKET,
+)
 def subject_text_pairs(m: DataFrame) -> DataFrame:
-    """Titles of two venues with one main subject that are similar by 0.9; tests hold it against a plain loop."""
+    """Titles of two venues with one main subject that are similar by 0.9."""
     rows = m.select("ord", "id", "platform", text.normalise_title(F.col("title")).alias("normal"), display.main_subject(F.col("title")).alias("subject"))
     pairs = text_joins.similar_pairs(rows, "subject", "normal", 0.9)
     other = rows.select(F.col("ord").alias("b_ord"), F.col("id").alias("b_id"), F.col("platform").alias("b_platform"))
@@ -251,9 +267,19 @@ def sports_repair(g: DataFrame) -> DataFrame:
 _NAMED = "CASE CAST(floor(line / 2) AS INT) % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' WHEN 2 THEN name || ' wins' ELSE 'heater' || name END"
 
 
-@query(relation=rel.PRICES)
+@query(
+    f""", n AS (SELECT *, {_NAMED} AS label, lower({_NAMED}) AS low FROM x),
+    d AS (SELECT DISTINCT low FROM n),
+    s AS (SELECT a.low AS a, b.low AS b, a.low = b.low OR (contains(a.low, 'yes') AND contains(b.low, 'yes')) OR (contains(a.low, 'no') AND contains(b.low, 'no'))
+      OR {similarity_sql('a.low', 'b.low')} > CASE WHEN a.low IN ('yes', 'no') OR b.low IN ('yes', 'no') THEN 0.7 ELSE 0.75 END AS alike FROM d a, d b),
+    p AS (SELECT a.event, a.ord AS k, b.ord AS k_b, a.kalshi AS u, b.poly AS v, least(a.kalshi, b.poly) AS buy, greatest(a.kalshi, b.poly) AS sell
+      FROM n a JOIN n b ON a.event = b.event AND a.line % 2 = 1 AND b.line % 2 = 0 JOIN s ON s.a = a.low AND s.b = b.low WHERE alike)
+    SELECT event, k, k_b, round((sell - buy) * 100, 6) AS spread, round(greatest((sell - buy) / buy * 100, 0), 6) AS max_spread, u < v AS first_buys
+    FROM p QUALIFY row_number() OVER (PARTITION BY event ORDER BY greatest((sell - buy) / buy * 100, 0) DESC, k, k_b) = 1""",
+    rel.PRICES,
+)
 def outcome_match_spread(p: DataFrame) -> DataFrame:
-    """Odd lines of an event as one market and even ones as the other, matched by name; tests hold it against a plain loop."""
+    """Odd lines of an event as one market and even ones as the other, matched by name."""
     rows = p.withColumn("label", F.expr(_NAMED))
     side = lambda odd, price: rows.filter(F.col("line") % 2 == odd).select("event", F.col("label").alias("name"), F.col(price).alias("price"), F.col("ord").alias("k"))
     best = sports.outcome_matches(side(1, "kalshi"), side(0, "poly"), "event")
