@@ -177,3 +177,33 @@ def by_choice(found: DataFrame, key: str, limit: int | None = None, *ties: Colum
     column = {"spread": "max_spread", "volume": "total_volume"}[key]
     rows = found.orderBy(F.desc_nulls_last(column), *ties)
     return rows if limit is None else rows.limit(limit)
+
+
+def confident_pairs(markets: DataFrame, least: int = 70) -> DataFrame:
+    """Pairs of markets of different platforms by the confidence that they are one game, ``least`` or more: ``id, b_id, confidence``.
+
+    ``markets``: ``ord, id, platform, title, teams, sport``, two teams or none. One team of two in common gives 65 at
+    most, so for more than that both are the same, and markets meet by their pair of teams.
+    """
+    if least <= 65:
+        raise ValueError("a confidence over 65 is needed")
+    keyed = markets.filter(F.size("teams") == 2).withColumn("pair", F.array_join(F.array_sort(F.transform("teams", lambda t: F.lower(F.trim(t)))), "|"))
+    fields = ("title", "teams", "sport")
+    b = keyed.select("pair", *(F.col(c).alias(f"b_{c}") for c in ("ord", "id", "platform", *fields)))
+    pairs = matching.dealt_join(keyed, b, ["pair"], "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    side = lambda p: {c: F.col(p + c) for c in fields}
+    return pairs.withColumn("confidence", rules.sports_confidence(side(""), side("b_"))).filter(F.col("confidence") >= least).select("id", "b_id", "confidence")
+
+
+def same_event_pairs(markets: DataFrame) -> DataFrame:
+    """Pairs of markets of different platforms with one event signature, and whether the first's Yes and the second's No stand for its two teams.
+
+    ``markets``: ``ord, id, platform, title, signature, teams``; those without a signature have no partner.
+    """
+    rows = markets.filter("signature IS NOT NULL").select("ord", "id", "platform", "title", "signature", "teams")
+    b = rows.select("signature", *(F.col(c).alias(f"b_{c}") for c in ("ord", "id", "platform", "title")))
+    pairs = matching.dealt_join(rows, b, ["signature"], "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    of = lambda name, title: teams.outcome_team(F.lit(name), F.col(title), F.col("teams"), F.lit(None).cast("string"))
+    pairs = once(pairs, one=of("Yes", "title"), two=of("No", "b_title"))
+    facing = rules.opposing(F.col("one"), F.col("two"), teams.teams_from_text(F.lit("Yes")), teams.teams_from_text(F.lit("No")), F.col("teams"))
+    return pairs.select("id", "b_id", "signature", facing.alias("opposing"))

@@ -69,6 +69,24 @@ def event_signatures(m: DataFrame) -> DataFrame:
     return rows.select("id", "signature", same.alias("same_event"), facing.alias("opposing"))
 
 
+@query(
+    _CITIES + """SELECT a.id, b.id AS b_id, 70.0::DOUBLE + CASE WHEN regexp_matches(xa.title, '\\bNFL\\b') AND regexp_matches(xb.title, '\\bNFL\\b') THEN 20 ELSE 0 END + 10 AS confidence
+    FROM k a JOIN k b ON a.pair = b.pair AND a.teams <> '' AND b.teams <> '' AND a.id < b.id AND a.platform <> b.platform JOIN x xa ON xa.id = a.id JOIN x xb ON xb.id = b.id""",
+    rel.MARKET,
+)
+def sports_confidence_pairs(m: DataFrame) -> DataFrame:
+    """All pairs of two venues' markets that are one game by a confidence of 70."""
+    sides = m.select("ord", "id", "platform", "title", rules.title_teams(F.col("title")).alias("teams"), text.entity(F.col("title"), "sport").alias("sport"))
+    return sports.confident_pairs(sides)
+
+
+@query(relation=rel.MARKET)
+def same_event_pairs(m: DataFrame) -> DataFrame:
+    """All pairs of two venues' markets with one event signature; tests hold it against a plain loop."""
+    sign = rules.event_signature(F.col("title"), F.lit("2025-03-02"), F.lit(None).cast("string"), 2025)
+    return sports.same_event_pairs(once(m.select("ord", "id", "platform", "title"), signature=sign, teams=teams.teams_from_text(F.col("title"))))
+
+
 _PARSED = ", ".join(f"nullif(regexp_extract(title, '{p}', 1), '') AS {k}" for k, p in text.ENTITIES.items())
 
 

@@ -138,6 +138,25 @@ def test_event_signatures(spark):
         assert r.opposing == (r.same_event and x is not None and x != y and {x, y} <= set(teams_in(a)))
 
 
+def test_same_event_pairs(spark):
+    LARGER = "/root/testdata/sf0.01"  # in fewer markets no game comes twice
+    m = sorted((r.ord, r.id, r.platform, r.title) for r in rel.relation(spark, LARGER, rel.MARKET).collect())
+    groups = defaultdict(list)
+    for ord_, id_, platform, title in m:
+        if len(teams_in(title)) == 2:
+            groups["-".join([*sorted(teams_in(title)), "2025-03-02"])].append((id_, platform, title))
+    want = {}
+    for sign, rows in groups.items():
+        for i, (a, p, t) in enumerate(rows):
+            for b, q, u in rows[i + 1 :]:
+                if p != q:
+                    x, y = team_of("Yes", t, teams_in(t), None), team_of("No", u, teams_in(t), None)
+                    x, y = (x, y) if x and y else (None, "saints")
+                    want[a, b] = (sign, x is not None and x != y and {x, y} <= set(teams_in(t)))
+    got = {(r.id, r.b_id): (r.signature, r.opposing) for r in registry.QUERIES["same_event_pairs"](spark, LARGER).collect()}
+    assert got == want and any(v[1] for v in want.values()) and len(want) > 500
+
+
 def test_sports_opportunities(spark):
     games = [r.asDict(True) for r in rule_queries.games(spark, SF).collect()]
     kept = []
