@@ -8,8 +8,9 @@ the estimates of all depths; it only depends on the last ``DEPTH`` bytes and the
 from (context, byte) to a code length, and a text's score is the sum over its bytes.
 
 Training is a count of (context, byte) windows and words over all texts, dealt out by key. The tree's deep parts are
-worked out in tasks that each hold all contexts with the same last two bytes; nodes of depth one and nought (at most
-65 536 + 256, whatever the corpus) meet on the driver. Windows that only texts outside the training set have are nodes
+worked out in tasks that each hold all contexts with the same last three bytes; of nodes of depth two there are 2**24 at
+most, whatever the corpus, which Spark sums and every task gets; nodes of depth one and nought (at most 65 536 + 256)
+meet on the driver. Windows that only texts outside the training set have are nodes
 with no counts, so scoring never misses. A text's score is a sum over its words and windows, so the tables are dealt
 by key into blocks of about ``BLOCK_ROWS`` rows, and each block is broadcast in turn and adds what it knows: one pass
 over the texts for each block, however many there are. Between passes the texts lie with their sums in the shared folder.
@@ -227,49 +228,84 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _up(keys: np.ndarray, n: np.ndarray, code: Code) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Levels DEPTH .. 2 of the contexts in this task."""
+    """Levels DEPTH .. 3 of the contexts in this task."""
     level, where, bit, begin = leaves(keys, n, code)
     levels, ups = [level], []
-    for depth in range(DEPTH - 1, 1, -1):
+    for depth in range(DEPTH - 1, 2, -1):
         level, up = level.parents(depth)
         levels.append(level)
         ups.append(up)
     return levels, ups, where, bit, begin
 
 
+SUMMED = ("n0", "n1", "pw")
+
+
+def _parents(level: Level, depth: int) -> pa.RecordBatch:
+    """What the nodes of a level, as far as they are here, add to those of ``depth`` bytes above them."""
+    node, up = np.unique(level.keys & np.uint64((1 << 8 * depth + 8) - 1), return_inverse=True)
+    total = lambda x: pa.array(np.bincount(up, x, len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), total(level.n0), total(level.n1), total(level.pw)], names=["node", *SUMMED])
+
+
+def _level(node: np.ndarray, n0: np.ndarray, n1: np.ndarray, pw: np.ndarray) -> Level:
+    return Level(node.astype(np.uint64), n0, n1, pw)
+
+
 def train(counts: DataFrame) -> DataFrame:
     """``key, value``: log10 of what the tree gives the window's byte in the window's context."""
-    grams = counts.filter(F.col("kind") == GRAM).select("key", "n").repartition(F.expr("(key >> 8) & 65535"))
+    spark = counts.sparkSession
+    grams = counts.filter(F.col("kind") == GRAM).select("key", "n").repartition(F.expr("(key >> 8) & 16777215"))
+    met = lambda df: df.groupBy("node").agg(*(F.sum(c).alias(c) for c in SUMMED))
+    sums = "node long, n0 double, n1 double, pw double"
 
     bytes_ = np.zeros(256, np.int64)
     for r in grams.groupBy((F.col("key").bitwiseAND(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():  # 256 rows at most
         bytes_[r["byte"]] = r["n"]
     code = Code(bytes_)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _grams(batches)
         if len(keys):
-            level = _up(keys, n, code)[0][-1]
-            node, up = np.unique(level.keys & np.uint64(0xFFFF), return_inverse=True)
-            total = lambda x: pa.array(np.bincount(up, x, len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), total(level.n0), total(level.n1), total(level.pw)], names=["node", "n0", "n1", "pw"])
+            yield _parents(_up(keys, n, code)[0][-1], 2)
+
+    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _parents(_level(*(c.to_numpy() for c in b.columns)), 1)
 
-    shallow = grams.mapInArrow(sums, "node int, n0 double, n1 double, pw double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "pw")))
+    pairs = written(met(grams.mapInArrow(deep, sums)), "pairs")
     # One row for each last byte and bit path: 65 536 at most.
-    top = shallow.orderBy("node").toPandas()
-    one = Level(top["node"].to_numpy().astype(np.uint64), top["n0"].to_numpy(), top["n1"].to_numpy(), top["pw"].to_numpy())
+    top = met(pairs.mapInArrow(middle, sums)).orderBy("node").toPandas()
+    one = _level(*(top[c].to_numpy() for c in ("node", *SUMMED)))
     root, up = one.parents(0)
     so_far, left = root.descend(np.zeros(len(root.keys)), np.ones(len(root.keys)))
     so_far, left = one.descend(so_far[up], left[up])
     dense = np.zeros((2, 1 << 16))
     dense[:, one.keys.astype(np.int64)] = so_far, left
-    shared = counts.sparkSession.sparkContext.broadcast(dense)  # 1 MB, always
+    above = spark.sparkContext.broadcast(dense)  # 1 MB, always
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                level = _level(*(c.to_numpy() for c in b.columns))
+                mixed = level.descend(*above.value[:, (level.keys & np.uint64(0xFFFF)).astype(np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (level.keys, *mixed)], names=["node", "so_far", "left"])
+
+    # One row for each two last bytes and bit path: 2**24 of 24 bytes at most whatever the corpus, some 100 000 in texts.
+    found = pairs.mapInArrow(down, "node binary, so_far binary, left binary").collect()
+    whole = lambda c, kind: np.frombuffer(b"".join(r[c] for r in found), kind)
+    order = np.argsort(whole("node", np.uint64))
+    shared = spark.sparkContext.broadcast(tuple(x[order] for x in (whole("node", np.uint64), whole("so_far", float), whole("left", float))))
+    del found
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = _grams(batches)
         if len(keys):
             levels, ups, where, bit, begin = _up(keys, n, code)
-            so_far, left = levels[-1].descend(*shared.value[:, (levels[-1].keys & np.uint64(0xFFFF)).astype(np.int64)])
+            nodes, so_far, left = shared.value
+            at = np.searchsorted(nodes, levels[-1].keys & np.uint64(0xFFFFFF))
+            so_far, left = levels[-1].descend(so_far[at], left[at])
             for level, up in zip(levels[-2::-1], ups[::-1], strict=True):
                 so_far, left = level.descend(so_far[up], left[up])
             chance = np.where(bit == 1, so_far[where], 1 - so_far[where])
