@@ -281,6 +281,8 @@ def frames_of(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
             heads.append(j[:cut])
             scans.append(j[cut:-2])
         at.append(len(scans))
+    if not np.diff(at).all():
+        raise ValueError("a file without frames")
     kinds = sorted(set(heads))
     if len({_parsed(h)[1] for h in kinds}) != 1:
         raise ValueError("frames differ in size")
@@ -294,36 +296,60 @@ def frames_of(files: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
 CLIP = "struct<start_s: double, end_s: double, frames: int, mean: double>"
 READ = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<{CLIP}>"
 
+CLIPS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("mean", pa.float64())]))
 NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"]
 
 
+def _readable(files: list[bytes | None], first: int = 0) -> Iterator[tuple[int, int, tuple | None]]:
+    """Ranges of files with their frames, or with None for a file that cannot be read; a range with such a file is halved."""
+    try:
+        if None in files:
+            raise ValueError("no file")
+        yield first, first + len(files), frames_of(files)
+    except (ValueError, LookupError, struct.error):
+        if len(files) == 1:
+            yield first, first + 1, None
+        else:
+            half = len(files) // 2
+            yield from _readable(files[:half], first)
+            yield from _readable(files[half:], first + half)
+
+
 def read(media: DataFrame) -> DataFrame:
     """Reads files back: sizes and digests of what they hold, and their clips as timed rows.
 
-    A file without a frame, and bytes that are no such file, are an error. Repeated rows are read each; an empty table
-    gives no rows; columns beside ``doc_id`` and ``media`` are ignored.
+    Of what is no such file, is cut short, has no frame or frames of other than flat blocks, only ``media_bytes`` and
+    ``media_sha256`` are given; clips and all else are null. A null file has null for these too. Repeated rows are read
+    each; an empty table gives no rows; columns beside ``doc_id`` and ``media`` are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
             files = batch.column(1).to_pylist()
-            for a, b in _slices([len(f) for f in files]):
-                frames, at, paces = frames_of(files[a:b])
-                first = np.zeros(len(frames), bool)
-                first[at[:-1]] = True
-                begins = np.flatnonzero(cuts(frames, first))
-                many = np.diff(begins, append=len(frames))
-                mean = np.round(np.add.reduceat(frames.sum(1, dtype=np.int64), begins) / (many * frames.shape[1]), 6)
-                own = np.searchsorted(begins, at)
-                pace = np.repeat(np.array(paces) / 1e6, np.diff(own))
-                start = (begins - np.repeat(at[:-1], np.diff(own))) * pace
-                clips = pa.StructArray.from_arrays([pa.array(start), pa.array(start + many * pace), pa.array(many.astype(np.int32)), pa.array(mean)], names=["start_s", "end_s", "frames", "mean"])
-                rows = []
-                for k, f in enumerate(files[a:b]):
-                    held = frames[at[k] : at[k + 1]].tobytes()
-                    rows.append((len(held.rstrip(b"\xff")), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]), len(f), hashlib.sha256(f).hexdigest()))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, pa.ListArray.from_arrays(own.astype(np.int32), clips)], names=NAMES)
+            for x, y in _slices([len(f or b"") for f in files]):
+                for a, b, found in _readable(files[x:y], x):
+                    ids = batch.column(0).slice(a, b - a)
+                    if found is None:
+                        f = files[a]
+                        row = (None, None, None, None, None if f is None else len(f), None if f is None else hashlib.sha256(f).hexdigest(), None)
+                        yield pa.RecordBatch.from_arrays([ids, *(pa.array([v], t) for v, t in zip(row, (*kinds, CLIPS), strict=True))], names=NAMES)
+                        continue
+                    frames, at, paces = found
+                    first = np.zeros(len(frames), bool)
+                    first[at[:-1]] = True
+                    begins = np.flatnonzero(cuts(frames, first))
+                    many = np.diff(begins, append=len(frames))
+                    mean = np.round(np.add.reduceat(frames.sum(1, dtype=np.int64), begins) / (many * frames.shape[1]), 6)
+                    own = np.searchsorted(begins, at)
+                    pace = np.repeat(np.array(paces) / 1e6, np.diff(own))
+                    start = (begins - np.repeat(at[:-1], np.diff(own))) * pace
+                    clips = pa.StructArray.from_arrays([pa.array(start), pa.array(start + many * pace), pa.array(many.astype(np.int32)), pa.array(mean)], names=["start_s", "end_s", "frames", "mean"])
+                    rows = []
+                    for k, f in enumerate(files[a:b]):
+                        held = frames[at[k] : at[k + 1]].tobytes()
+                        rows.append((len(held.rstrip(b"\xff")), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-32:]), len(f), hashlib.sha256(f).hexdigest()))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([ids, *columns, pa.ListArray.from_arrays(own.astype(np.int32), clips)], names=NAMES)
 
     return in_batches(media.select("doc_id", "media"), run, READ)

@@ -27,6 +27,26 @@ def test_shots_end_where_histograms_jump():
     assert np.flatnonzero(media.cuts(frames, first)).tolist() == [0, 12]
 
 
+def test_files_that_cannot_be_read(spark):
+    stored = {r.doc_id: bytes(r.media) for r in media.store(spark.createDataFrame([(k, "text " * k) for k in range(1, 400, 40)], "doc_id long, text string")).collect()}
+    good = stored[361]
+    other = bytearray(good)
+    other[good.index(b"\xff\xdb") + 5] = 9  # another quantiser
+    cut = bytearray(good)
+    cut[-40:-20] = b"\xff" * 20
+    bad = {900: None, 901: b"", 902: b"RIFF", 903: b"no file", 904: good[: len(good) // 2], 905: bytes(other), 906: media.avi([b"none"]), 907: good.replace(b"idx1", b"none"), 908: bytes(cut)}
+    rows = spark.createDataFrame([*stored.items(), *bad.items()], "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.read(rows).collect()}
+    assert got.keys() == stored.keys() | bad.keys()
+    for d, f in bad.items():
+        r = got[d]
+        assert (r.media_bytes, r.media_sha256) == ((None, None) if f is None else (len(f), hashlib.sha256(f).hexdigest()))
+        assert r.clips is None and r.n_bytes is None and r.payload_sha256 is None and r.tail_crc32 is None
+    for d, f in stored.items():
+        held = media.payload(b"text " * d)
+        assert got[d].payload_sha256 == hashlib.sha256(held).hexdigest() and got[d].clips and got[d].media_bytes == len(f)
+
+
 def test_media_rows(spark):
     got = media.read(media.store(odd.docs(spark))).collect()
     assert len(got) == len(odd.ROWS) and media.read(media.store(odd.docs(spark, []))).collect() == []
