@@ -212,6 +212,17 @@ def test_empty_tables(spark, folder, name):
     assert queries.QUERIES[name](spark, f"{folder}/empty").collect() == []
 
 
+def test_empty_conversations_and_labels(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    odd.docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (only,) = queries.op1_chat_formatting(spark, str(tmp_path)).collect()
+    assert (only.conv_id, only.n_turns) == (-7, 2)
+    assert queries.op10_quality(spark, str(tmp_path)).collect() == []
+    docs = odd.docs(spark)
+    assert {r.score for r in quality.score(docs, quality.fit(docs, read(spark, str(tmp_path), "labels"))).collect()} == {0.5}
+
+
 def run_stages(spark, docs, sf):
     """Each stage's input and output."""
     for name, stage in corpus_pipeline.STAGES:
