@@ -110,6 +110,7 @@ def sports_agree(a: Column, b: Column) -> Column:
 
     The sides' class leaves out the letters v and s, so most such titles are not read and pass.
     """
+    # Fixed value: the pattern of two sides.
     sides = r"^([^@vs]+)(?:\s+(?:at|vs|@)\s+)([^@vs]+)$"
     a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
     words = lambda t: F.concat(*(F.split(F.trim(F.regexp_extract(t, sides, k)), r"\s+") for k in (1, 2)))
@@ -128,6 +129,7 @@ def politics_agree(a: Column, b: Column) -> Column:
         return F.coalesce(*(F.when(t.contains(s), s) for s in POLL_STATES))
 
     def primary(t: Column) -> Column:
+        # Fixed value: the pattern of a party's primary.
         kind = r"\s+(?:senate|house|gubernatorial)?\s*primary"
         return F.when(t.rlike(f"republican{kind}"), "republican").when(t.rlike(f"democratic?{kind}"), "democratic")
 
@@ -137,6 +139,7 @@ def politics_agree(a: Column, b: Column) -> Column:
 
 def city_of(side: Column) -> Column:
     """The city of one side of a game: the city that it begins with, else that of the longest nickname in it; null if it has none."""
+    # Fixed value: leagues that a side may begin with.
     s = F.regexp_replace(F.trim(F.lower(side)), r"^(nhl|nba|nfl|mlb|ncaa|ahl|shl|ufc):\s*", "")
     city = F.nullif(F.regexp_extract(s, rf"^({'|'.join(GAME_CITIES)})(?: |\z)", 1), F.lit(""))
     nickname = F.get(names_in(s, GAME_NICKNAMES, longest_first(GAME_NICKNAMES)), F.lit(0))
@@ -176,6 +179,7 @@ def game_teams(platform: Column, title: Column, link: Column) -> Column:
     """Teams of a game: for Polymarket the two of the slug, else of the title; for Kalshi of the title, else two of the link."""
     link = F.lower(F.coalesce(link, F.lit("")))
     slug = F.replace(link, F.lit("https://polymarket.com/event/"), F.lit(""))
+    # Fixed value: the form of a game's slug.
     pattern = r"^(nfl|nba|nhl|cbb|cfb|cwbb)-([a-z]+)-([a-z]+)-(\d{4}-\d{2}-\d{2})"
     of_slug = F.when(slug.rlike(pattern), F.array(F.regexp_extract(slug, pattern, 2), F.regexp_extract(slug, pattern, 3)))
 

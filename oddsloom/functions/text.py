@@ -250,6 +250,7 @@ def text_similarity(a: Column, b: Column) -> Column:
     return bound(of, F.trim(F.lower(a)), F.trim(F.lower(b)))
 
 
+# Names of months.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 LONG_MONTHS = "january february march april may june july august september october november december".split()
 

@@ -137,9 +137,11 @@ def usable_titles(m: DataFrame) -> DataFrame:
 
 _PRICE = "(5 + id * 37 % 89) / 100.0"
 _WORDS = r"list_concat(string_split(trim(regexp_extract({t}, '{p}', 1)), ' '), string_split(trim(regexp_extract({t}, '{p}', 2)), ' '))"
+# Fixed value: the pattern of titles that are read as two sides.
 _READ = r"^([^@vs]+)(?:\s+(?:at|vs|@)\s+)([^@vs]+)$"
 _OFFICE = "CASE WHEN contains({t}, 'senate') THEN 1 WHEN contains({t}, 'house') THEN 2 WHEN contains({t}, 'governor') THEN 3 WHEN contains({t}, 'presidential') THEN 4 END"
 _STATE = "CASE " + " ".join(f"WHEN contains({{t}}, '{s}') THEN '{s}'" for s in rules.POLL_STATES) + " END"
+# Fixed value: the pattern of a primary.
 _KIND = r"\s+(?:senate|house|gubernatorial)?\s*primary"
 _PRIMARY = rf"CASE WHEN regexp_matches({{t}}, 'republican{_KIND}') THEN 1 WHEN regexp_matches({{t}}, 'democratic?{_KIND}') THEN 2 END"
 
