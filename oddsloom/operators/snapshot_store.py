@@ -62,15 +62,16 @@ def retain(spark: SparkSession, path: str, as_of: datetime, days: int) -> dict[s
 
     Whole days before the cut are dropped as folders. Of the cut's day only folders with rows on both sides of the cut
     are written anew, each replaced by what of it survives; all other files stay as they are. Doing it again changes
-    nothing. Rows without a time are kept, as no cut is after them. Days are those of the session's time zone.
+    nothing. Rows without a time are kept, as no cut is after them. Days, and ``as_of``, are in the session's time zone.
     """
     if days < 1:
         raise ValueError("at least one day is kept")
     cut = as_of - timedelta(days=days)
     table = spark.read.parquet(path)
     parts = [c for c in ("platform", "batch") if c in table.columns]
-    whole, last = F.col("day") < F.lit(cut.date()), F.col("day") == F.lit(cut.date())
-    old = F.col("recorded_at") < F.lit(cut)
+    day = F.lit(str(cut.date())).cast("date")
+    whole, last = F.col("day") < day, F.col("day") == day
+    old = F.col("recorded_at") < F.lit(cut.isoformat(" ")).cast("timestamp")
     gone = table.filter(whole).groupBy("day").count().collect()
     cells = table.filter(last).groupBy("day", *parts).agg(F.count_if(old).alias("old"), F.count_if(~old).alias("kept")).collect()
     split = [r for r in cells if r.old and r.kept]
@@ -79,7 +80,8 @@ def retain(spark: SparkSession, path: str, as_of: datetime, days: int) -> dict[s
         same = [table[c].eqNullSafe(mine[c]) for c in ("day", *parts)]
         kept = table.filter(last & ~old).join(F.broadcast(mine), same, "left_semi").select(*table.columns)
         _laid_out(kept, *parts).select(*table.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", *parts).parquet(path)
-    named = lambda r: "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else r[c]}" for c in parts)
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    named = lambda r: "/".join(f"{c}={'__HIVE_DEFAULT_PARTITION__' if r[c] is None else escaped(str(r[c]))}" for c in parts)
     for r in cells:
         if r.old and not r.kept:
             shared.remove(spark, f"{path}/day={r.day}/{named(r)}")

@@ -97,7 +97,7 @@ def test_retention_in_place(spark, tmp_path, hours):
 
 def test_folders_without_survivors_go(spark, tmp_path):
     path = f"{tmp_path}/t"
-    early = rows(spark, 10).withColumns({"recorded_at": F.lit(START), "platform": F.lit("gone")})
+    early = rows(spark, 10).withColumns({"recorded_at": F.lit(START), "platform": F.lit("gone: a/b")})
     store.write(early.unionByName(rows(spark, 10).withColumns({"recorded_at": F.lit(START + datetime.timedelta(hours=9)), "platform": F.lit("stays")})), path)
     before = files(path)
     assert store.retain(spark, path, START + datetime.timedelta(days=1, hours=8), 1)["deleted"] == 10
@@ -142,3 +142,10 @@ def test_a_stream_that_starts_again(spark, tmp_path):
     run()
     assert content(spark.read.parquet(path)) == content(rows(spark, 1200))
     assert store.read_latest(spark, last).count() == rows(spark, 1200).select("market_id", "outcome_index").distinct().count()
+
+
+def test_no_rows(spark, tmp_path):
+    none = rows(spark).limit(0)
+    assert store.write(none, f"{tmp_path}/t") == {"n": 0, "markets": 0, "outcome_rows": 0}
+    assert store.write_batch(none, 0, f"{tmp_path}/b", f"{tmp_path}/latest")["n"] == 0
+    assert store.read_latest(spark, f"{tmp_path}/latest").count() == 0 and store.read_latest(spark, f"{tmp_path}/nothing") is None
