@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.functions import questions
 from oddsloom.functions.text import text_similarity
+from oddsloom.operators.similarity import cosine_counts, cosine_pairs, cosine_top, similarity_histogram, similarity_stats  # noqa: F401  (also found here)
 
 #: Rows of one key that meet others in one task; keys with more are dealt into blocks.
 BLOCK = 512
