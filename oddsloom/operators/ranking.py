@@ -58,11 +58,15 @@ RANGES, SAMPLED = 1024, 32_768
 
 
 def _splitters(keys: DataFrame) -> DataFrame:
-    """One row: at most ``RANGES`` bounds between keys (column ``k``), equally far apart in the ``SAMPLED`` keys of the smallest hashes."""
-    some = keys.orderBy(F.xxhash64("k"), "k").limit(SAMPLED)
+    """One row: at most ``RANGES`` bounds between keys (column ``k``), equally far apart in up to ``SAMPLED`` different keys.
+
+    The keys are those whose hashes have a fixed remainder, so the same rows have the same bounds, and a task sends few.
+    """
+    every = F.greatest(F.floor(keys.agg(F.count("*")).scalar() / (2 * SAMPLED)), F.lit(1))
+    some = keys.filter(F.pmod(F.xxhash64("k"), every) == 0).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLED)
     line = some.agg(F.array_sort(F.collect_list("k")).alias("k"), F.ceil(F.count("*") / RANGES).cast("int").alias("step"))
-    every = F.filter("k", lambda _, place: place % F.greatest("step", F.lit(1)) == 0)
-    return line.select(F.array_distinct(every).alias("splitters"))
+    bounds = F.filter("k", lambda _, place: place % F.greatest("step", F.lit(1)) == 0)
+    return line.select(F.array_distinct(bounds).alias("splitters"))
 
 
 def _range_of(key: Column, splitters: Column) -> Column:

@@ -82,12 +82,14 @@ def choose_pivots(vectors: DataFrame) -> dict:
         if taken + r.k > ALL_PIVOTS:
             break
         taken += r.k
-        asked.append((r.category, r.k))
+        # About four times as many as are wanted have hashes of this remainder: a task sends few, whatever it holds.
+        asked.append((r.category, r.k, max(1, r.n // (4 * r.k))))
     if not asked:
         return {}
-    wanted = vectors.sparkSession.createDataFrame(asked, f"category {vectors.schema['category'].dataType.simpleString()}, k long")
+    wanted = vectors.sparkSession.createDataFrame(asked, f"category {vectors.schema['category'].dataType.simpleString()}, k long, every long")
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("id"), "id"))
-    picked = vectors.join(F.broadcast(wanted), "category").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).filter("rank <= k")
+    picked = vectors.join(F.broadcast(wanted), "category").filter(F.pmod(F.xxhash64("id"), F.col("every")) == 0)
+    picked = picked.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).filter("rank <= k")
     found: dict = {}
     for r in picked.select("category", "vec").collect():
         found.setdefault(r.category, []).append(r.vec)
