@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +53,12 @@ def interleaved(df: DataFrame, platform: str, platform_order: list[str], rounds:
 
 #: Ranges that rows are dealt into for their ranks, and rows that the bounds of the ranges are taken from.
 RANGES, SAMPLED = 1024, 32_768
+#: Bounds that are searched together, after every so many of them have been.
+BLOCK = 32
 
 
 def _splitters(keys: DataFrame) -> DataFrame:
-    """One row: at most ``RANGES`` bounds between keys (column ``k``), equally far apart in up to ``SAMPLED`` different keys.
+    """One row: ``all``, at most ``RANGES`` bounds between keys (column ``k``), equally far apart in up to ``SAMPLED`` different keys, and every so many of them, ``heads``.
 
     The keys are those whose hashes have a fixed remainder, so the same rows have the same bounds, and a task sends few.
     """
@@ -66,15 +66,18 @@ def _splitters(keys: DataFrame) -> DataFrame:
     some = keys.filter(F.pmod(F.xxhash64("k"), every) == 0).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLED)
     line = some.agg(F.array_sort(F.collect_list("k")).alias("k"), F.ceil(F.count("*") / RANGES).cast("int").alias("step"))
     bounds = F.filter("k", lambda _, place: place % F.greatest("step", F.lit(1)) == 0)
-    return line.select(F.array_distinct(bounds).alias("splitters"))
+    line = line.select(F.array_distinct(bounds).alias("all"))
+    return line.select(F.struct("all", F.filter("all", lambda _, place: place % BLOCK == 0).alias("heads")).alias("splitters"))
 
 
 def _range_of(key: Column, splitters: Column) -> Column:
     """How many of the sorted bounds are at most ``key``, found in a block of bounds and then inside the block."""
-    size = math.isqrt(RANGES)
-    upto = lambda some: F.size(F.filter(some, lambda s: s <= key))
-    heads = F.filter(splitters, lambda _, place: place % size == 0)
-    return bound(lambda block: F.when(block == 0, 0).otherwise((block - 1) * size + upto(F.slice(splitters, (block - 1) * size + 1, size))), upto(heads))
+    def of(k: Column, cut: Column) -> Column:
+        upto = lambda some: F.size(F.filter(some, lambda s: s <= k))
+        inside = lambda block: F.slice(cut["all"], (block - 1) * BLOCK + 1, BLOCK)
+        return bound(lambda block: F.when(block == 0, 0).otherwise((block - 1) * BLOCK + upto(inside(block))), upto(cut["heads"]))
+
+    return bound(of, key, splitters)
 
 
 def rank_by_ranges(df: DataFrame, by: str, *keys: Column | str, name: str = "rank") -> DataFrame:
