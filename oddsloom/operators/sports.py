@@ -198,12 +198,13 @@ def confident_pairs(markets: DataFrame, least: int = 70) -> DataFrame:
 def same_event_pairs(markets: DataFrame) -> DataFrame:
     """Pairs of markets of different platforms with one event signature, and whether the first's Yes and the second's No stand for its two teams.
 
-    ``markets``: ``ord, id, platform, title, signature, teams``; those without a signature have no partner.
+    ``markets``: ``ord, id, platform, title, signature, teams``; those without a signature have no partner. What faces
+    what is worked out once for two titles of an event: ``id, b_id, signature, opposing``.
     """
-    rows = markets.filter("signature IS NOT NULL").select("ord", "id", "platform", "title", "signature", "teams")
-    b = rows.select("signature", *(F.col(c).alias(f"b_{c}") for c in ("ord", "id", "platform", "title")))
-    pairs = matching.dealt_join(rows, b, ["signature"], "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    rows = matching.classed(markets.filter("signature IS NOT NULL"), "signature", "title", "teams")
+    first, second = matching.class_sides(rows)
+    met = matching.dealt_join(first, second.withColumnRenamed("b_signature", "signature"), ["signature"], "cls", "b_cls")
     of = lambda name, title: teams.outcome_team(F.lit(name), F.col(title), F.col("teams"), F.lit(None).cast("string"))
-    pairs = once(pairs, one=of("Yes", "title"), two=of("No", "b_title"))
+    met = once(met, one=of("Yes", "title"), two=of("No", "b_title"))
     facing = rules.opposing(F.col("one"), F.col("two"), teams.teams_from_text(F.lit("Yes")), teams.teams_from_text(F.lit("No")), F.col("teams"))
-    return pairs.select("id", "b_id", "signature", facing.alias("opposing"))
+    return matching.members(rows, met.select("cls", "b_cls", "signature", facing.alias("opposing")))
