@@ -39,3 +39,9 @@ def test_markets_of_one_event_meet_by_title(spark, met):
     rows, df = markets(spark, ["Saints vs Rams", "Rams at Saints"])
     found = df.withColumns({"signature": F.lit("rams-saints-2025-03-02"), "teams": F.array(F.lit("saints"), F.lit("rams"))})
     held(sports.same_event_pairs(found), rows, met)
+
+
+@pytest.mark.parametrize("name", ["category_title_pairs"])
+def test_pairs_of_titles_are_not_joined_again(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "b_ord" not in plan and "__rows" in plan
