@@ -41,7 +41,7 @@ def test_markets_of_one_event_meet_by_title(spark, met):
     held(sports.same_event_pairs(found), rows, met)
 
 
-@pytest.mark.parametrize("name", ["category_title_pairs"])
+@pytest.mark.parametrize("name", ["category_title_pairs", "subject_text_pairs"])
 def test_pairs_of_titles_are_not_joined_again(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "b_ord" not in plan and "__rows" in plan
