@@ -45,3 +45,9 @@ def test_markets_of_one_event_meet_by_title(spark, met):
 def test_pairs_of_titles_are_not_joined_again(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "b_ord" not in plan and "__rows" in plan
+
+
+def test_questions_meet_by_what_they_say(spark, met):
+    rows, df = markets(spark, [f"Will it {w} {k}?" for k in range(40) for w in ("rise", "fall")])
+    asked = df.withColumns({"signature": F.lit("price_above"), "subject": F.lit("it"), "outcome": F.lit("yes"), "timeframe": F.lit(None).cast("string")})
+    held(matching.question_pairs(asked), rows, met)
