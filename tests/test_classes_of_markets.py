@@ -51,3 +51,9 @@ def test_questions_meet_by_what_they_say(spark, met):
     rows, df = markets(spark, [f"Will it {w} {k}?" for k in range(40) for w in ("rise", "fall")])
     asked = df.withColumns({"signature": F.lit("price_above"), "subject": F.lit("it"), "outcome": F.lit("yes"), "timeframe": F.lit(None).cast("string")})
     held(matching.question_pairs(asked), rows, met)
+
+
+def test_races_meet_by_what_is_scored(spark, met):
+    rows, df = markets(spark, [f"Ohio Senate race {k}" for k in range(40)])
+    races = df.withColumns({"state": F.lit("Ohio"), "office": F.lit("Senate"), "year": F.lit("2024")})
+    held(matching.entity_pairs(races), rows, met)
