@@ -187,12 +187,14 @@ def confident_pairs(markets: DataFrame, least: int = 70) -> DataFrame:
     """
     if least <= 65:
         raise ValueError("a confidence over 65 is needed")
-    keyed = markets.filter(F.size("teams") == 2).withColumn("pair", F.array_join(F.array_sort(F.transform("teams", lambda t: F.lower(F.trim(t)))), "|"))
     fields = ("title", "teams", "sport")
-    b = keyed.select("pair", *(F.col(c).alias(f"b_{c}") for c in ("ord", "id", "platform", *fields)))
-    pairs = matching.dealt_join(keyed, b, ["pair"], "id", "b_id").filter((F.col("ord") < F.col("b_ord")) & (F.col("platform") != F.col("b_platform")))
+    pair = F.array_join(F.array_sort(F.transform("teams", lambda t: F.lower(F.trim(t)))), "|")
+    rows = matching.classed(markets.filter(F.size("teams") == 2), *fields, pair=pair)
+    one, other = matching.class_sides(rows)
+    met = matching.dealt_join(one, other.withColumnRenamed("b_pair", "pair"), ["pair"], "cls", "b_cls")
     side = lambda p: {c: F.col(p + c) for c in fields}
-    return pairs.withColumn("confidence", rules.sports_confidence(side(""), side("b_"))).filter(F.col("confidence") >= least).select("id", "b_id", "confidence")
+    met = met.select("cls", "b_cls", rules.sports_confidence(side(""), side("b_")).alias("confidence"))
+    return matching.members(rows, met.filter(F.col("confidence") >= least))
 
 
 def same_event_pairs(markets: DataFrame) -> DataFrame:

@@ -57,3 +57,9 @@ def test_races_meet_by_what_is_scored(spark, met):
     rows, df = markets(spark, [f"Ohio Senate race {k}" for k in range(40)])
     races = df.withColumns({"state": F.lit("Ohio"), "office": F.lit("Senate"), "year": F.lit("2024")})
     held(matching.entity_pairs(races), rows, met)
+
+
+def test_games_meet_by_what_gives_confidence(spark, met):
+    rows, df = markets(spark, ["NFL: Saints vs Rams", "NFL: Rams at Saints"])
+    games = df.withColumns({"teams": F.array(F.lit("saints"), F.lit("rams")), "sport": F.lit("NFL")})
+    held(sports.confident_pairs(games), rows, met)
