@@ -63,3 +63,11 @@ def test_games_meet_by_what_gives_confidence(spark, met):
     rows, df = markets(spark, ["NFL: Saints vs Rams", "NFL: Rams at Saints"])
     games = df.withColumns({"teams": F.array(F.lit("saints"), F.lit("rams")), "sport": F.lit("NFL")})
     held(sports.confident_pairs(games), rows, met)
+
+
+def test_markets_of_two_teams_become_pairs_from_lists(spark, met):
+    rows, df = markets(spark, ["x"])
+    games = df.withColumn("teams", F.when(F.col("ord") % 2 == 0, F.array(F.lit("saints"), F.lit("rams"))).otherwise(F.array(F.lit("rams"), F.lit("saints"))))
+    found = matching.team_set_pairs(games)
+    held(found, rows)
+    assert not met and "__rows" in found._jdf.queryExecution().optimizedPlan().toString()
