@@ -30,14 +30,16 @@ def candle_price(candle: Column) -> Column:
     return F.coalesce(*(truthy(candle[c].cast("double")) for c in ("price_close", "price", "close_price", "close", "last_price")), F.lit(0.0))
 
 
-def kalshi_history(markets: DataFrame, candles: DataFrame) -> DataFrame:
+def kalshi_history(markets: DataFrame, candles: DataFrame, *own: str) -> DataFrame:
     """``event_ticker, ticker, time, value``: candles of each event's largest market that has any.
 
     ``markets``: ``event_ticker, ticker, volume, ord``; ``candles``: ``event_ticker, market_ticker, candlesticks`` (array).
-    Of markets of one volume the first counts; of rows with one ticker any.
+    Of markets of one volume the first counts. Markets of an event that share a ticker are told apart by the columns
+    ``own``, which both tables have; of rows of candles with one ticker, and equal in these, the smallest counts.
     """
-    some = candles.filter(F.size("candlesticks") > 0).groupBy("event_ticker", F.col("market_ticker").alias("ticker")).agg(F.first("candlesticks").alias("candlesticks"))
-    listed = markets.filter(F.length("ticker") > 0).join(some, ["event_ticker", "ticker"])
+    key = ["event_ticker", "ticker", *own]
+    some = candles.filter(F.size("candlesticks") > 0).withColumnRenamed("market_ticker", "ticker").groupBy(*key).agg(F.min("candlesticks").alias("candlesticks"))
+    listed = markets.filter(F.length("ticker") > 0).join(some, key)
     best = F.row_number().over(Window.partitionBy("event_ticker").orderBy(F.desc(F.coalesce("volume", F.lit(0.0))), "ord"))
     first = listed.withColumn("__k", best).filter("__k = 1")
     each = first.select("event_ticker", "ticker", F.explode("candlesticks").alias("c"))

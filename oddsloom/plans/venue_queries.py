@@ -298,10 +298,11 @@ _CANDLES = ("end_period_ts", "timestamp", "time", "start_period_ts", "price_clos
     SELECT o AS event_ticker, 'T' || k AS ticker, CAST(ms AS BIGINT) + u * 3600000 AS time, CASE WHEN n % 2 = 0 THEN 0 ELSE q + u END AS value FROM r, unnest([0, 1]) t(u) WHERE r = 1"""
 )
 def kalshi_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines are markets; those of every third number have no candles, times are in seconds or milliseconds."""
+    """Lines are markets, and some of an order share a ticker; those of every third number have no candles, times are in seconds or milliseconds."""
     li = table(spark, sf_dir, "lineitem").withColumn("k", F.expr(f"{_KEY} * 1000 + l_suppkey"))
     ticker = F.concat(F.lit("T"), F.col("k"))
-    markets = li.select(F.col("l_orderkey").alias("event_ticker"), ticker.alias("ticker"), F.col("l_extendedprice").alias("volume"), F.col("k").alias("ord"))
+    line = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("line")
+    markets = li.select(F.col("l_orderkey").alias("event_ticker"), ticker.alias("ticker"), line, F.col("l_extendedprice").alias("volume"), F.col("k").alias("ord"))
     # Twenty years on, as times are told apart by their size.
     seconds, n = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6 + 631152000).cast("double"), F.col("l_linenumber")
 
@@ -311,7 +312,7 @@ def kalshi_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(*(own.get(c, F.lit(None)).cast("double").alias(c) for c in _CANDLES))
 
     candles = F.when(n % 3 > 0, F.array(candle(0), candle(1))).otherwise(F.slice(F.array(candle(0)), 1, 0))
-    return histories.kalshi_history(markets, li.select(F.col("l_orderkey").alias("event_ticker"), ticker.alias("market_ticker"), candles.alias("candlesticks")))
+    return histories.kalshi_history(markets, li.select(F.col("l_orderkey").alias("event_ticker"), ticker.alias("market_ticker"), line, candles.alias("candlesticks")), "line")
 
 
 @query(
