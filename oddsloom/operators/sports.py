@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsloom.functions import rules, teams
@@ -40,11 +40,12 @@ def grouped(games: DataFrame, as_of_year: int) -> DataFrame:
     return dated.join(homes, ["ord", "sport"])
 
 
-def outcome_pairs(events: DataFrame) -> DataFrame:
+def outcome_pairs(events: DataFrame, firsts: bool = False) -> DataFrame:
     """Each outcome of a Kalshi market with each of a Polymarket one of the same event, unless both stand for the same team.
 
     ``events`` has ``sport, signature, group_day`` and markets' ``ord, title, teams, outcomes`` (array of ``name, price,
-    teamName``), ``volume_text, liquidity_text``. Markets on anything but who wins are left out.
+    teamName``), ``volume_text, liquidity_text``. Markets on anything but who wins are left out. With ``firsts``, of a
+    side's outcomes of one event, team and price only the first by market and place goes out.
     """
     rows = events.filter(rules.team_win(F.col("title"), F.transform("outcomes", lambda o: o["name"])))
     pair = F.array_sort("teams")
@@ -53,9 +54,13 @@ def outcome_pairs(events: DataFrame) -> DataFrame:
     def side(platform: str, p: str) -> DataFrame:
         fields = {"ord": "ord", "id": "id", "place": "place", "name": "o.name", "price": "o.price", "team": "team", "volume": "volume_text", "liquidity": "liquidity_text"}
         keys = ["sport", "signature", F.coalesce(F.col("group_day").cast("string"), F.lit("")).alias("group_day")]
-        return each.filter(F.col("platform") == platform).select(*keys, *(F.col(c).alias(f"{p}_{k}") for k, c in fields.items()))
+        rows = each.filter(F.col("platform") == platform).select(*keys, *(F.col(c).alias(f"{p}_{k}") for k, c in fields.items()))
+        if not firsts:
+            return rows
+        w = Window.partitionBy("sport", "signature", "group_day", F.trim(F.lower(f"{p}_team")), f"{p}_price").orderBy(f"{p}_ord", f"{p}_place")
+        return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
 
-    pairs = matching.dealt_join(side(KALSHI, "k"), side(POLYMARKET, "p"), ["sport", "signature", "group_day"], "k_ord", "p_ord")
+    pairs = matching.dealt_join(side(KALSHI, "k"), side(POLYMARKET, "p"), ["sport", "signature", "group_day"], "k_ord", "p_ord", merged=firsts)
     return pairs.filter(~F.coalesce(F.trim(F.lower("k_team")) == F.trim(F.lower("p_team")), F.lit(False)))
 
 
@@ -79,11 +84,15 @@ def opportunities(pairs: DataFrame, investment: float = 1000.0, least_roi: float
 def best_of_games(markets: DataFrame, as_of_year: int, least_roi: float = 0.0) -> DataFrame:
     """The best opportunity of each game of each sport: largest signed spread, of equals the first by markets and outcomes.
 
-    ``sport_ord`` is the key to sort by.
+    ``sport_ord`` is the key to sort by. What an opportunity is worth depends on prices, and which are held against each
+    other on teams, so the first outcomes of each team and price have the best one. The join is a merge: its rows come in
+    order of events, so the best of each is found as they come, and none but that one is kept.
     """
-    found = opportunities(outcome_pairs(grouped(of_sports(markets), as_of_year)), least_roi=least_roi)
-    found = found.withColumn("__first", F.struct("k_ord", "p_ord", "k_place", "p_place"))
-    best = arbitrage.best_per(found, ["sport", "signature"], "max_spread", "__first").drop("__first")
+    found = opportunities(outcome_pairs(grouped(of_sports(markets), as_of_year), firsts=True), least_roi=least_roi)
+    value = F.col("max_spread")
+    rank = (value.isNull().alias("none"), (~F.isnan(value)).alias("number"), (-value).alias("less"), "k_ord", "p_ord", "k_place", "p_place")
+    event = found.groupBy("sport", "signature", "group_day").agg(F.min(F.struct(*rank, F.struct(*found.columns).alias("row"))).alias("m"))
+    best = event.groupBy("sport", "signature").agg(F.min("m").alias("m")).select("m.row.*")
     return best.withColumn("sport_ord", F.array_position(F.array(*map(F.lit, rules.SPORTS)), F.col("sport")))
 
 
