@@ -207,19 +207,26 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id, comp``: the smallest identifier that links lead to, for each end of a link.
 
-    Labels go to neighbours, then along labels' own labels, until none changes; each round is written and read again.
+    Each end points to a smaller one or to itself. In a round, pointers go on to where their ends point, links go along
+    their ends' pointers, and an end that points to itself takes the smallest end that it is linked to. Links whose ends
+    have become one are dropped and others that have become equal are one, so rounds have fewer and fewer; when none is
+    left and no pointer moves, all point to the smallest. Each round is written and read again.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    left = written(ends.filter("a <> b").distinct(), "links")
+    labels = written(ends.unionByName(ends.select("b", F.col("b").alias("a"))).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("comp").alias("far"))
-        new = written(step.join(jump, "next", "left").select("id", "was", F.least("next", F.coalesce("far", "next")).alias("comp")), "labels")
-        release(labels)
-        labels = new.select("id", "comp")
-        if new.filter("comp <> was").isEmpty():
-            release(both)
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+        moved = left.join(of("a"), "a").join(of("b"), "b").filter("comp_a <> comp_b")
+        fewer = written(moved.select(F.greatest("comp_a", "comp_b").alias("a"), F.least("comp_a", "comp_b").alias("b")).distinct(), "links")
+        nearest = fewer.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+        jump = labels.select(F.col("id").alias("was"), F.col("comp").alias("far"))
+        step = labels.withColumnRenamed("comp", "was").join(jump, "was").join(nearest, "id", "left")
+        new = written(step.select("id", "was", F.when(F.col("id") == F.col("far"), F.coalesce("near", "far")).otherwise(F.col("far")).alias("comp")), "labels")
+        release(left, labels)
+        left, labels = fewer, new.select("id", "comp")
+        if left.isEmpty() and new.filter("comp <> was").isEmpty():
+            release(left)
             return labels
 
 

@@ -114,3 +114,24 @@ def test_rows_without_or_with_repeated_identifiers_keep_their_own_classes(spark)
     assert sorted(home[r.text] for r in kept) == sorted(texts)
     least = {t: min(none if d is None else d for d, u in rows if home[u] == t) for t in texts}
     assert all((none if r.doc_id is None else r.doc_id) == least[home[r.text]] for r in kept)
+
+
+def test_components_have_fewer_links_each_round(spark, monkeypatch):
+    """What a round of components joins must not be all links again: large groups have many, and rounds add up."""
+    sizes = []
+
+    def written(df, name):
+        out = tables.written(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", written)
+    rng = random.Random(3)
+    groups = [rng.sample(range(-(10**6), 10**6), n) for n in (1, 2, 40, 200)]
+    links = [(x, rng.choice(g)) for g in groups for x in g for _ in range(5)] + [(x, y) for g in groups for x, y in zip(g, g[1:])]
+    path = sorted(rng.sample(range(2 * 10**6, 3 * 10**6), 100))
+    links += list(zip(path, path[1:]))
+    got = {r.id: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(g) for g in [*groups, path] for x in g}
+    assert sizes[0] == len({(max(p), min(p)) for p in links if p[0] != p[1]}) and sum(sizes[1:]) < sizes[0]
