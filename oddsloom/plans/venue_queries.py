@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.functions import text
+from oddsloom.functions.expressions import once
 from oddsloom.operators import histories, ranking, sports
 from oddsloom.plans import relations as rel
 from oddsloom.plans.queries import label_sql
@@ -21,13 +22,13 @@ _KEY = "l_partkey * 10 + l_linenumber"
 
 def _read(rows: DataFrame, schema: str) -> DataFrame:
     """Structs written as JSON and read by the feed's own schema."""
-    return rows.select(F.from_json(F.to_json(F.struct("*")), schema).alias("e")).select("e.*")
+    return once(rows.select(F.to_json(F.struct("*")).alias("text")), e=F.from_json("text", schema)).select("e.*")
 
 
 def _children(spark: SparkSession, sf_dir: str, child: Column) -> DataFrame:
     """Per order its lines as an array in order of part and line."""
     li = table(spark, sf_dir, "lineitem")
-    listed = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.expr(_KEY).alias("k"), "l_suppkey", child.alias("c")))).alias("cs"))
+    listed = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.expr(_KEY).alias("k"), "l_suppkey", child.alias("c")))).alias("cs"))
     return listed.select("l_orderkey", F.transform("cs", lambda x: x.c).alias("children"))
 
 

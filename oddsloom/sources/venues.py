@@ -113,7 +113,7 @@ def kalshi(markets: DataFrame, events: DataFrame | None = None, series: DataFram
     """
     m = markets.filter("event_ticker IS NOT NULL").withColumn("series", F.coalesce(truthy_text(F.col("series_ticker")), series_of(F.col("event_ticker"))))
     fields = ["ticker", "title", "subtitle", "yes_sub_title", "no_sub_title", "series_title", "event_title", "yes_bid", "last_price", "volume", "expiration_time"]
-    g = m.groupBy("event_ticker", "series").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ms"), F.sum(F.coalesce("volume", F.lit(0.0))).alias("raw_volume"))
+    g = m.groupBy("event_ticker", "series").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ms"), F.count("*").cast("int").alias("n"), F.sum(F.coalesce("volume", F.lit(0.0))).alias("raw_volume"))
     titles = []
     for df, key, names in ((events, "event_ticker", ("title", "question", "event_title", "sub_title")), (series, "series", ("title", "question", "sub_title"))):
         if df is not None:
@@ -125,7 +125,7 @@ def kalshi(markets: DataFrame, events: DataFrame | None = None, series: DataFram
     price = lambda x, default: F.coalesce(truthy(x.yes_bid), truthy(x.last_price), F.lit(default))
     one = price(first, 50.0)
     outcomes = F.when(
-        F.size("ms") == 1,
+        F.col("n") == 1,
         F.array(outcome(F.lit("Yes"), one / 100, first.yes_sub_title, first.ticker), outcome(F.lit("No"), (100 - one) / 100, first.no_sub_title, first.ticker)),
     ).otherwise(F.transform("ms", lambda x: outcome(F.lit("Yes"), price(x, 0.0) / 100, x.yes_sub_title, x.ticker)))
     volume = cents(F.col("raw_volume"))
@@ -138,7 +138,7 @@ def kalshi(markets: DataFrame, events: DataFrame | None = None, series: DataFram
         currency_label(volume).alias("volume_text"),
         F.date_format(F.expr("try_to_timestamp(ms[0].expiration_time)"), "yyyy-MM-dd").alias("date"),
         F.concat(F.lit("https://kalshi.com/markets/"), F.lower("series"), F.lit("/"), F.lower("event_ticker")).alias("link"),
-        F.size("ms").alias("markets"),
+        F.col("n").alias("markets"),
     )
 
 

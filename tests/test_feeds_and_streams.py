@@ -117,3 +117,12 @@ def test_events_in_listed_order(spark):
     listed = spark.createDataFrame([("b", 5), ("missing", 1), ("a", 9), (None, 0), ("x", 10)], "ticker string, place int")
     got = [(r.ticker, r.rank, r.title) for r in venues.in_listed_order(events, listed, "ticker", 3).collect()]
     assert got == [("b", 2, "b"), ("a", 3, "new")]
+
+
+def test_a_feed_is_parsed_once_a_row(spark):
+    from oddsloom.plans import venue_queries
+
+    found = venue_queries.venue_union(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    parsed = [line for line in plan.splitlines() if "from_json(" in line]
+    assert len(parsed) == 3 and all(line.count("from_json(") == 1 and "Generate" in line for line in parsed)
