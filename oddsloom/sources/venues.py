@@ -6,6 +6,8 @@ identifier are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,13 +190,11 @@ def market(markets: DataFrame, market_id: str) -> DataFrame:
 
 
 def front_page(markets: DataFrame, n: int = 300) -> DataFrame:
-    """The largest markets of each venue up to its cap."""
-    from oddsloom.operators.ranking import top_per
-
+    """The largest markets of each venue up to its cap. A venue's come by a limit, so a task holds no more than its cap of them."""
     wide = n >= 1000
     caps = {"Polymarket": min(n, 2000 if wide else 500), "Kalshi": 500 if wide else min(n, 500), "PredictIt": 50 if wide else min(n, 50)}
-    cap = F.coalesce(*(F.when(F.col("platform") == p, c) for p, c in caps.items()), F.lit(0))
-    return top_per(markets.withColumn("__cap", cap), ["platform"], F.col("__cap"), F.desc("volume"), "id").drop("__cap")
+    largest = (markets.filter(F.col("platform") == p).orderBy(F.desc("volume"), "id").limit(c) for p, c in caps.items())
+    return reduce(DataFrame.unionByName, largest)
 
 
 def search_kalshi(events: DataFrame, query: str, n: int = 20, order: str = "ord") -> DataFrame:

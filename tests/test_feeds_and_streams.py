@@ -126,3 +126,10 @@ def test_a_feed_is_parsed_once_a_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     parsed = [line for line in plan.splitlines() if "from_json(" in line]
     assert len(parsed) == 3 and all(line.count("from_json(") == 1 and "Generate" in line for line in parsed)
+
+
+def test_a_front_page_comes_by_limits(spark):
+    from oddsloom.plans import venue_queries
+
+    plan = venue_queries.front_page(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("GlobalLimit") == 3
