@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Numbers of a tile of vectors; a slice has as many visitors as ``VISITORS`` tiles. Products that are held at once.
 VALUES, VISITORS, PRODUCTS = 1 << 20, 8, 1 << 22
+#: Steps of a similarity of six digits from 0 to 1; products that are counted at once.
+DIGITS, COUNTED = 10**6, 1 << 20
 #: Vectors for one pivot; pivots of a category, and of all: the largest categories have theirs first.
 CELL, PIVOTS, ALL_PIVOTS = 256, 512, 8192
 #: Vectors of the join that finds a threshold for the best pairs.
@@ -190,9 +192,12 @@ def _dealt(vectors: DataFrame, cells: Cells, reach: float, tile: int) -> DataFra
 def _met(table: pa.Table, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of the pairs of a tile that are in reach: rows, other rows, and the cosines of all of them; each pair once."""
     column = lambda c: table.column(c).combine_chunks()
-    vec, angle, own = _vectors(column("vec")), column("angle").to_numpy(), column("own").to_numpy(zero_copy_only=False)
+    angle, own = column("angle").to_numpy(), column("own").to_numpy(zero_copy_only=False)
     home, away = (np.flatnonzero(x) for x in (own, ~own))
     home, away = (x[np.argsort(angle[x], kind="stable")] for x in (home, away))
+    # Visitors are many, so only those of a step are held as unit vectors.
+    raw = column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+    residents = _unit(raw[home], len(home))
     step = max(1, PRODUCTS // max(1, len(home)))
     for rows, inside in ((home, True), (away, False)):
         if inside and table.column("slice")[0].as_py():
@@ -203,7 +208,7 @@ def _met(table: pa.Table, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray
             hi = np.searchsorted(angle[home], angle[some[-1]] + reach, side="right")
             others = home[lo:hi]
             if len(others):
-                products = vec[some] @ vec[others].T
+                products = (residents[k : k + step] if inside else _unit(raw[some], len(some))) @ residents[lo:hi].T
                 if inside:  # each row with those after it
                     products[np.arange(len(others))[None, :] < np.arange(len(some))[:, None]] = np.nan
                 yield some, others, products
@@ -304,14 +309,15 @@ def cosine_counts(vectors: DataFrame) -> DataFrame:
 
     def keep(table: pa.Table, blocks: Iterator) -> pa.Table:
         platform = _platforms(table)
-        values, counts = np.zeros(0), np.zeros(0, np.int64)
+        counts = np.zeros(2 * DIGITS + 3, np.int64)
         for some, others, products in blocks:
-            met = np.round(products[(platform[some][:, None] != platform[others][None, :]) & ~np.isnan(products)], 6)
-            new, n = np.unique(met, return_counts=True)
-            every = np.concatenate([values, new])
-            values, which = np.unique(every, return_inverse=True)
-            counts = np.bincount(which, np.concatenate([counts, n]), len(values)).astype(np.int64)
-        return pa.table({"similarity": pa.array(values + 0.0, pa.float64()), "n": pa.array(counts, pa.int64())})
+            step = max(1, COUNTED // len(others))
+            for k in range(0, len(some), step):
+                part = products[k : k + step]
+                met = part[(platform[some[k : k + step]][:, None] != platform[others][None, :]) & ~np.isnan(part)]
+                counts += np.bincount(np.rint(met * DIGITS).astype(np.int64) + DIGITS + 1, minlength=len(counts))
+        at = np.flatnonzero(counts)
+        return pa.table({"similarity": pa.array((at - DIGITS - 1) / DIGITS, pa.float64()), "n": pa.array(counts[at], pa.int64())})
 
     return _joined(vectors, -2.0, keep, "similarity double, n long").groupBy("similarity").agg(F.sum("n").alias("n"))
 

@@ -87,3 +87,12 @@ def test_clusters_meet_few(spark, monkeypatch):
 def test_no_vectors(spark):
     none = frame(spark, [])
     assert similarity.cosine_pairs(none, 0.5).collect() == [] and similarity.cosine_top(none, 3).collect() == [] and similarity.compared(none, 0.5).collect() == []
+
+
+def test_counts_are_exact_however_few_are_counted_at_once(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "COUNTED", 50)
+    table = rows("clusters", 150)
+    want = {}
+    for p in all_pairs(table):
+        want[round(p[3], 6) + 0.0] = want.get(round(p[3], 6) + 0.0, 0) + 1
+    assert {r.similarity: r.n for r in similarity.cosine_counts(frame(spark, table)).collect()} == want
