@@ -110,17 +110,31 @@ def sports_agree(a: Column, b: Column) -> Column:
 
     The sides' class leaves out the letters v and s, so most such titles are not read and pass.
     """
+    return sides_agree(side_words(a), side_words(b))
+
+
+def side_words(title: Column) -> Column:
+    """The words of more than three letters of a title that is read as two sides; null if it is not."""
     # Fixed value: the pattern of two sides.
     sides = r"^([^@vs]+)(?:\s+(?:at|vs|@)\s+)([^@vs]+)$"
-    a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
-    words = lambda t: F.concat(*(F.split(F.trim(F.regexp_extract(t, sides, k)), r"\s+") for k in (1, 2)))
-    shared = F.exists(words(a), lambda w: (F.length(w) > 3) & F.array_contains(words(b), w))
-    return ~(a.rlike(sides) & b.rlike(sides)) | shared
+    t = F.lower(F.coalesce(title, F.lit("")))
+    words = F.concat(*(F.split(F.trim(F.regexp_extract(t, sides, k)), r"\s+") for k in (1, 2)))
+    return F.when(t.rlike(sides), F.filter(words, lambda w: F.length(w) > 3))
+
+
+def sides_agree(a: Column, b: Column) -> Column:
+    """``sports_agree`` of two ``side_words``."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(True))
 
 
 def politics_agree(a: Column, b: Column) -> Column:
     """Office, state and primary party are equal or missing in one; a primary never meets a general election."""
-    a, b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+    return races_agree(race_of(a), race_of(b))
+
+
+def race_of(title: Column) -> Column:
+    """``office, state, primary`` of a political title, each null if it names none."""
+    t = F.lower(F.coalesce(title, F.lit("")))
 
     def office(t: Column) -> Column:
         return F.when(t.contains("senate"), "senate").when(t.contains("house"), "house").when(t.contains("governor"), "governor").when(t.contains("presidential"), "president")
@@ -133,8 +147,13 @@ def politics_agree(a: Column, b: Column) -> Column:
         kind = r"\s+(?:senate|house|gubernatorial)?\s*primary"
         return F.when(t.rlike(f"republican{kind}"), "republican").when(t.rlike(f"democratic?{kind}"), "democratic")
 
-    apart = lambda f: F.coalesce(f(a) != f(b), F.lit(False))
-    return ~apart(office) & ~apart(state) & primary(a).eqNullSafe(primary(b))
+    return F.struct(office(t).alias("office"), state(t).alias("state"), primary(t).alias("primary"))
+
+
+def races_agree(a: Column, b: Column) -> Column:
+    """``politics_agree`` of two ``race_of``."""
+    apart = lambda f: F.coalesce(a[f] != b[f], F.lit(False))
+    return ~apart("office") & ~apart("state") & a["primary"].eqNullSafe(b["primary"])
 
 
 def city_of(side: Column) -> Column:

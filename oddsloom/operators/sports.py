@@ -158,18 +158,19 @@ def similar_opportunities(vectors: DataFrame, markets: DataFrame, least: float =
     """Pairs of markets of two venues that their vectors, the rules of their category and their prices make an opportunity.
 
     ``vectors``: ``id, vec``; ``markets``: ``id, platform, title, price`` (of the first outcome). Markets without a usable
-    title or without a vector are left out.
+    title or without a vector are left out. What the rules and the spread need goes with the vectors, so pairs are neither
+    joined nor moved: ``id, b_id, category, similarity, price, b_price, spread, tier``.
     """
     usable = markets.filter(rules.usable_title(F.col("title"))).withColumn("category", rules.vector_category(F.col("title")))
     place = F.create_map(*(F.lit(x) for i, p in enumerate((POLYMARKET, KALSHI, "PredictIt")) for x in (p, i)))
-    rows = usable.join(vectors, "id").select("id", "category", F.element_at(place, F.col("platform")).alias("platform"), "vec")
-    pairs = similarity.cosine_pairs(rows, least)
-    side = lambda p: usable.select(F.col("id").alias(f"{p}id"), F.col("title").alias(f"{p}title"), F.col("price").alias(f"{p}price"))
-    pairs = pairs.join(side(""), "id").join(side("b_"), "b_id")
-    agree = F.when(F.col("category") == "sports", rules.sports_agree(F.col("title"), F.col("b_title"))).when(F.col("category") == "politics", rules.politics_agree(F.col("title"), F.col("b_title"))).otherwise(True)
-    pairs = pairs.filter(agree).withColumn("spread", arbitrage.first_outcome_spread(F.col("price"), F.col("b_price")))
+    of = lambda category, value: F.when(F.col("category") == category, value)
+    more = F.struct("price", of("sports", rules.side_words(F.col("title"))).alias("sides"), of("politics", rules.race_of(F.col("title"))).alias("race"))
+    rows = usable.join(vectors, "id").select("id", "category", F.element_at(place, F.col("platform")).alias("platform"), "vec", more.alias("more"))
+    pairs = similarity.cosine_pairs(rows, least).select("id", "b_id", "category", "similarity", *(F.col(f"{p}more.{c}").alias(f"{p}{c}") for p in ("", "b_") for c in ("price", "sides", "race")))
+    pairs = pairs.withColumn("spread", arbitrage.first_outcome_spread(F.col("price"), F.col("b_price"))).filter(F.col("spread") > least_points)
+    agree = F.when(F.col("category") == "sports", rules.sides_agree(F.col("sides"), F.col("b_sides"))).when(F.col("category") == "politics", rules.races_agree(F.col("race"), F.col("b_race"))).otherwise(True)
     tier = F.when(F.col("similarity") > 0.75, "high").when(F.col("similarity") > 0.70, "medium").otherwise("low")
-    return pairs.filter(F.col("spread") > least_points).withColumn("tier", tier)
+    return pairs.filter(agree).drop("sides", "b_sides", "race", "b_race").withColumn("tier", tier)
 
 
 def without_vector(markets: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -96,3 +96,18 @@ def test_counts_are_exact_however_few_are_counted_at_once(spark, monkeypatch):
     for p in all_pairs(table):
         want[round(p[3], 6) + 0.0] = want.get(round(p[3], 6) + 0.0, 0) + 1
     assert {r.similarity: r.n for r in similarity.cosine_counts(frame(spark, table)).collect()} == want
+
+
+def test_small_cells_share_a_tile(spark, monkeypatch):
+    """A vector that visits all cells is sent to each tile once, not to each cell."""
+    monkeypatch.setattr(similarity, "CELL", 40)
+    big = max(similarity.compared(frame(spark, rows("scattered")), 0.1).collect(), key=lambda r: r.vectors)
+    assert big.copies <= 2
+
+
+def test_pairs_of_opportunities_stay_in_their_tasks(spark):
+    from oddsloom.plans import registry, rule_queries  # noqa: F401
+
+    plan = registry.QUERIES["similar_opportunities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("FlatMapGroupsInArrow")[0]
+    assert above != plan and "Join" not in above and "Sort" not in above
