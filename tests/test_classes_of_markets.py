@@ -71,3 +71,20 @@ def test_markets_of_two_teams_become_pairs_from_lists(spark, met):
     found = matching.team_set_pairs(games)
     held(found, rows)
     assert not met and "__rows" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_games_of_a_band_become_pairs_from_lists(spark, monkeypatch):
+    import datetime
+
+    monkeypatch.setattr(matching, "BLOCK", 16)
+    day = lambda k: None if k % 3 == 0 else datetime.date(1970, 1, 1 + k % 5)
+    rows = [(k, None if k % 17 == 0 else ["saints-rams", "heat-lakers"][k % 7 == 0], day(k), k % 2) for k in range(300)]
+    games = spark.createDataFrame(rows, "id long, signature string, day date, venue int")
+    for days in (1, 2):
+        found = matching.band_pairs(games.filter("venue = 0"), games.filter("venue = 1"), "signature", "day", days)
+        assert found.columns == ["id", "signature", "day", "venue", "b_id", "b_signature", "b_day", "b_venue"]
+        near = lambda x, y: x == y if x is None or y is None else abs((x - y).days) <= days  # noqa: B023, E731
+        want = {a + b for a in rows for b in rows if a[3] == 0 and b[3] == 1 and a[1] == b[1] and a[1] is not None and near(a[2], b[2])}
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "__b_rows" in found._jdf.queryExecution().optimizedPlan().toString()
