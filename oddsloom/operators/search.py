@@ -16,6 +16,8 @@ from oddsloom.functions.numbers import parse_volume
 from oddsloom.functions.text import API_CATEGORIES, SEARCH_STOP_WORDS, SYNONYMS, keyword_category, query_terms_of
 
 RUN = "[a-z0-9]+"
+#: Parts of the markets that one word, category or token meets in: what a task holds of a common one.
+PARTS = 32
 
 
 def _plain(text: Column) -> Column:
@@ -27,6 +29,16 @@ def _longest_run(text: Column) -> Column:
     return F.get(F.array_sort(runs), F.lit(0)).run
 
 
+def _met(markets: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows of markets (with ``id``) and of what is asked with an equal ``key``.
+
+    Few words, categories and tokens are in most markets. So markets are dealt into ``PARTS`` by their identifiers, and
+    what is asked, which has no market in it, goes to each part.
+    """
+    each = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return markets.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).join(each, [key, "__part"]).drop("__part")
+
+
 def parsed_queries(queries: DataFrame) -> DataFrame:
     """``qid, q, originals, synonyms, asked`` of queries (``qid, query``) that have a letter or digit.
 
@@ -51,7 +63,7 @@ def _held(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     parts = parts.select("token", F.expr("substring(token, at, size)").alias("run")).distinct()
     by_part = parts.join(inside.select("run", "word"), "run").select("token", "word")
     by_token = vocabulary.join(wanted.filter("whole").select(F.col("run").alias("token"), "word"), "token").select("token", "word")
-    return postings.join(by_part.unionByName(by_token).distinct(), "token").select("id", "word").distinct()
+    return _met(postings, by_part.unionByName(by_token).distinct(), "token").select("id", "word").distinct()
 
 
 def search_many(markets: DataFrame, queries: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def search_many(markets: DataFrame, queries: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.array_join("outcomes", " ")))
     docs = once(markets.select("id", "title", "volume_text", text.alias("text")), category=keyword_category(F.col("text"), API_CATEGORIES, "Other"))
     asked = parsed_queries(queries)
-    terms = asked.select("qid", F.explode(F.concat(F.transform("originals", lambda t: F.struct(t.alias("term"), F.lit(True).alias("own"))), F.transform("synonyms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("own"))))).alias("t")).select("qid", "t.term", "t.own")
+    terms = asked.select("qid", F.explode(F.concat(F.transform("originals", lambda t: F.struct(t.alias("term"), F.lit(True).alias("own"))), F.transform("synonyms", lambda t: F.struct(t.alias("term"), F.lit(False).alias("own"))))).alias("t"), F.size("originals").alias("terms")).select("qid", "terms", "t.term", "t.own")
     postings = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))).alias("token"))
 
     words = terms.select(F.col("term").alias("word")).distinct().select("word", _longest_run(F.col("word")).alias("run"))
@@ -73,18 +85,20 @@ def search_many(markets: DataFrame, queries: DataFrame) -> DataFrame:
     whole = F.when(F.col("word").rlike(f"^{RUN}$"), alone).otherwise(F.expr(r"text RLIKE concat('\\b', word, '\\b')"))
     hits = met.withColumn("whole", whole).filter(F.col("whole") | ((F.length("word") > 3) & F.contains("text", "word")))
     none = {c: F.lit(0) for c in ("n", "w", "s", "o")} | {c: F.lit(False) for c in ("of_asked", "exact")}
-    found = lambda df, **has: df.select("qid", "id", *((has.get(c, v)).alias(c) for c, v in none.items()))
-    by_term = hits.select("id", F.col("word").alias("term"), "whole").join(terms, "term")
+    found = lambda df, **has: df.select("qid", "id", "terms", *((has.get(c, v)).alias(c) for c, v in none.items()))
+    by_term = _met(hits.select("id", F.col("word").alias("term"), "whole"), terms, "term")
     by_term = found(by_term, n=F.lit(1), w=F.col("whole").cast("int"), s=(~F.col("own")).cast("int"), o=F.col("own").cast("int"))
 
-    by_category = found(asked.filter("asked != 'Other'").select("qid", F.col("asked").alias("category")).join(docs.select("id", "category"), "category"), of_asked=F.lit(True))
+    of_category = asked.filter("asked != 'Other'").select("qid", F.size("originals").alias("terms"), F.col("asked").alias("category"))
+    by_category = found(_met(docs.select("id", "category"), of_category, "category"), of_asked=F.lit(True))
 
     phrases = asked.select(F.col("q").alias("word")).distinct().select("word", _longest_run(F.col("word")).alias("run"), F.lit(False).alias("whole"))
     exact = _held(postings, phrases).join(docs.select("id", "title"), "id").filter(F.contains(F.lower("title"), "word"))
-    exact = found(exact.select("id", F.col("word").alias("q")).join(asked.select("qid", "q"), "q"), exact=F.lit(True))
+    exact = found(_met(exact.select("id", F.col("word").alias("q")), asked.select("qid", F.size("originals").alias("terms"), "q"), "q"), exact=F.lit(True))
 
-    rows = by_term.unionByName(by_category).unionByName(exact).groupBy("qid", "id").agg(*(F.sum(c).alias(c) for c in ("n", "w", "s", "o")), F.bool_or("of_asked").alias("of_asked"), F.bool_or("exact").alias("exact"))
-    rows = rows.join(asked.select("qid", F.size("originals").alias("terms")), "qid")
+    # By market, as the next join is, and by a fixed number: partitions of few bytes are not put together, and what a task adds up stays small.
+    tasks = int(markets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = by_term.unionByName(by_category).unionByName(exact).repartition(tasks, "id").groupBy("qid", "id").agg(F.max("terms").alias("terms"), *(F.sum(c).alias(c) for c in ("n", "w", "s", "o")), F.bool_or("of_asked").alias("of_asked"), F.bool_or("exact").alias("exact"))
     n, w, s, every = F.col("n"), F.col("w"), F.col("s"), F.col("o") == F.col("terms")
     ladder = (
         F.when(F.col("of_asked"), 100 + F.when(every, 100).otherwise(n * 20) + s * 10)

@@ -49,3 +49,11 @@ def test_a_search_compiles(spark, query, capfd):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
     assert len(best) == 3 and "grows beyond 64 KB" not in capfd.readouterr().err
+
+
+def test_common_words_are_met_in_parts(spark):
+    """No task holds all markets of a word or category, and what is found is dealt by market."""
+    plan = search_many(markets(spark), spark.createDataFrame([(1, "nfl saints")], "qid int, query string"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and ("word#" in line or "token#" in line or "term#" in line or "category#" in line)]
+    assert any("__part" in line for line in joins) and "RepartitionByExpression [id#" in plan
+    assert all("__part" in line for line in joins if "category#" in line)
