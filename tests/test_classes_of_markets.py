@@ -88,3 +88,43 @@ def test_games_of_a_band_become_pairs_from_lists(spark, monkeypatch):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert "__b_rows" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_without_a_pair_in_order_do_not_meet(spark, met):
+    rows, df = markets(spark, ["x"], 400)
+    of = matching.classed(df, t=F.lit("x"))
+    pairs = of.select("cls", F.col("cls").alias("b_cls")).distinct()
+    lists = matching.met_lists(of, pairs).select(F.size("__rows").alias("n"), F.size("b___rows").alias("m")).collect()
+    assert max(max(r) for r in lists) <= 16
+    assert sum(r.n * r.m for r in lists) < 1.3 * len(every(rows))
+    held(matching.members(of, pairs), rows)
+
+
+def test_members_in_any_order_of_numbers(spark, met):
+    ords = [k * 7919 % 1009 * 10 ** (k % 3) for k in range(150)]
+    rows = [(o, f"m{o}", "ABC"[k % 3]) for k, o in enumerate(sorted(set(ords)))]
+    df = spark.createDataFrame([(*r, "x") for r in reversed(rows)], "ord long, id string, platform string, title string")
+    of = matching.classed(df, t=F.lit("x"))
+    held(matching.members(of, of.select("cls", F.col("cls").alias("b_cls")).distinct()), rows)
+
+
+@pytest.mark.parametrize("name", ["question_same_pairs"])
+def test_what_titles_say_is_worked_out_once_a_title(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(plan) if "RepartitionByExpression [title" in line]
+    assert dealt
+    # Nothing of a title is worked out by what reads the markets, below the step that deals their titles.
+    for k in dealt:
+        depth = len(plan[k]) - len(plan[k].lstrip(" :+-"))
+        below = []
+        for line in plan[k + 1 :]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                break
+            below.append(line)
+        assert below and not any("rlike" in line.lower() or "regexp" in line.lower() for line in below)
+
+
+def test_titles_are_joined_back_to_all_markets(spark):
+    df = spark.createDataFrame([(1, "A b"), (2, "A b"), (3, None), (4, "")], "id long, title string")
+    got = matching.by_titles(df, low=F.lower("title"), n=F.when(F.col("title") == "", None).otherwise(F.length("title")))
+    assert sorted(map(tuple, got.select("id", "title", "low", "n").collect())) == [(1, "A b", "a b", 3), (2, "A b", "a b", 3), (4, "", "", None)]
