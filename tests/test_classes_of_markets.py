@@ -108,7 +108,7 @@ def test_members_in_any_order_of_numbers(spark, met):
     held(matching.members(of, of.select("cls", F.col("cls").alias("b_cls")).distinct()), rows)
 
 
-@pytest.mark.parametrize("name", ["question_same_pairs", "subject_text_pairs"])
+@pytest.mark.parametrize("name", ["question_same_pairs", "subject_text_pairs", "category_title_pairs"])
 def test_what_titles_say_is_worked_out_once_a_title(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     dealt = [k for k, line in enumerate(plan) if "RepartitionByExpression [title" in line]
